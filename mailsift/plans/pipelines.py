@@ -1,0 +1,132 @@
+"""Whole jobs composed from operators: enrichment, classification, digest, backfill merge."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from mailsift.functions.measure import at
+from mailsift.operators import backfill as bf
+from mailsift.operators import threads as th
+from mailsift.operators.infer import score_threads
+from mailsift.operators.noise import new_since
+from mailsift.operators.scoring import classify_heuristic, score_confidence, score_extraction
+from mailsift.operators.senders import sender_stats
+from mailsift.operators.state import REVIEW_FIELDS, apply_sender_results, merge_state, with_optional
+
+
+def split_enrichment(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(resolved, ambiguous): user-reviewed and heuristic types first, the rest for a model.
+
+    Two filters instead of one expression, so that a model only ever sees ambiguous rows.
+    """
+    stats = with_optional(stats, REVIEW_FIELDS)
+    guessed = classify_heuristic(stats)
+    by_user = F.coalesce(F.col("sender_type_source") == "user", F.lit(False)) | F.col(
+        "reviewed_sender_type"
+    ).isNotNull()
+    flagged = guessed.withColumn("_by_user", by_user)
+    sure = F.col("_by_user") | (F.col("heuristic_type") != "unknown")
+    typed = {
+        "sender_type": F.when(
+            F.col("_by_user"), F.coalesce("reviewed_sender_type", "sender_type", F.lit("unknown"))
+        ).otherwise(F.col("heuristic_type")),
+        "sender_type_confidence": F.when(F.col("_by_user"), F.col("sender_type_confidence")).otherwise(
+            F.col("heuristic_confidence")
+        ),
+        "sender_type_source": F.when(F.col("_by_user"), "user").otherwise("heuristic"),
+    }
+    resolved = flagged.filter(sure).select(*[typed.get(c, F.col(c)).alias(c) for c in stats.columns])
+    return resolved, flagged.filter(~sure).select(*stats.columns)
+
+
+def enrich(stats: DataFrame, model_results: DataFrame) -> DataFrame:
+    """Typed senders with the extraction flag; ``model_results`` is (email, sender_type, confidence)."""
+    resolved, ambiguous = split_enrichment(stats)
+    return score_extraction(resolved.unionByName(apply_sender_results(ambiguous, model_results)))
+
+
+def analyze(messages: DataFrame, stored: DataFrame, model_results: DataFrame, as_of, dialect: str = "gmail") -> DataFrame:
+    """Messages to scored sender state: statistics, merge, enrichment, noise score."""
+    merged = merge_state(sender_stats(messages), stored, dialect)
+    return score_confidence(enrich(merged, model_results), as_of, dialect)
+
+
+def classify_with_results(messages: DataFrame, rules: DataFrame, results: DataFrame, as_of) -> DataFrame:
+    """Classifications of all threads: rules first, given model results for the rest."""
+    heads = th.thread_heads(messages)
+    by_rule = th.classify_rules(heads, rules, as_of)
+    rest = th.unmatched_threads(heads, by_rule)
+    return th.all_classifications(by_rule, th.apply_thread_results(rest, results, as_of))
+
+
+def run_classification(
+    messages: DataFrame, bodies: DataFrame, rules: DataFrame, scorer: Callable, as_of
+) -> dict[str, DataFrame]:
+    """Classification with a live scorer.
+
+    Bodies are read late: the anti join on rule matches comes first, so only messages of
+    unmatched threads meet the body table.
+    """
+    heads = th.thread_heads(messages)
+    by_rule = th.classify_rules(heads, rules, as_of)
+    open_messages = th.unmatched_messages(messages, by_rule)
+    collapsed = th.collapse_threads(open_messages, bodies)
+    results = score_threads(collapsed, scorer)
+    best = F.max_by(F.struct("category", "confidence", "actionable", "summary"), F.struct("confidence", "category"))
+    one_each = results.groupBy("thread_id").agg(best.alias("_r")).select("thread_id", "_r.*")
+    by_model = th.apply_thread_results(th.unmatched_threads(heads, by_rule), one_each, as_of)
+    everything = th.all_classifications(by_rule, by_model)
+    return {"classifications": everything, "categories": th.known_categories(by_rule), "unmatched": open_messages}
+
+
+def classification_counts(classifications: DataFrame) -> DataFrame:
+    """Threads in all, by rule and by model: one row."""
+    return classifications.agg(
+        F.count(F.lit(1)).alias("threads"),
+        F.count_if(F.col("classified_by") == "rule").alias("by_rule"),
+        F.count_if(F.col("classified_by") == "llm").alias("by_model"),
+    )
+
+
+def digest_counts(messages: DataFrame, classifications: DataFrame) -> DataFrame:
+    """New messages, categorized threads and actionable threads: one row."""
+    counts = classifications.agg(
+        F.count(F.lit(1)).alias("categorized"), F.count_if("actionable").alias("actionable")
+    )
+    return counts.withColumn("total_new", messages.agg(F.count(F.lit(1))).scalar())
+
+
+def category_counts(classifications: DataFrame) -> DataFrame:
+    return classifications.groupBy("category").agg(F.count(F.lit(1)).alias("threads"))
+
+
+def digest(messages: DataFrame, rules: DataFrame, results: DataFrame, since, as_of) -> dict[str, DataFrame]:
+    """Digest of mail since a date: classifications, counts, categories, actionable items."""
+    fresh = new_since(messages, at(since))
+    heads = th.thread_heads(fresh)
+    classified = classify_with_results(fresh, rules, results, as_of)
+    described = classified.join(heads.select("thread_id", "sender_email", "subject", "first_seq"), "thread_id")
+    return {
+        "messages": fresh,
+        "classifications": described,
+        "counts": digest_counts(fresh, classified),
+        "categories": category_counts(classified),
+        "actionable": described.filter("actionable").select("thread_id", "sender_email", "subject", "category"),
+    }
+
+
+def backfill_merge(errors: DataFrame, staged: DataFrame, residuals: DataFrame) -> dict[str, DataFrame]:
+    """Recovery run: targets, recovered rows, residual errors, the new error list, the report."""
+    targets = bf.recovery_ids(errors)
+    recovered = bf.recovered_rows(staged.join(targets, "message_id", "left_semi"))
+    residual = bf.residual_errors(residuals, targets, recovered)
+    return {
+        "targets": targets,
+        "recovered": recovered,
+        "residual": residual,
+        "errors": bf.new_errors(errors, recovered),
+        "report": bf.backfill_report(targets, recovered, residual),
+    }

@@ -115,7 +115,7 @@ def normalize_graph(raw: DataFrame, inbox_id: str | Column) -> tuple[DataFrame,
         F.try_to_timestamp("receivedDateTime").alias("date_received"),
         F.lit("unknown").alias("category"),
         graph_labels(inbox_id).alias("labels"),
-        ~F.coalesce("isRead", F.lit(False)).alias("is_unread"),
+        (~F.coalesce("isRead", F.lit(False))).alias("is_unread"),
         F.coalesce("bodyPreview", F.lit("")).alias("snippet"),
         "ingest_seq",
         reason.alias("reason"),

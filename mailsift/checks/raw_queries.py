@@ -19,7 +19,8 @@ from mailsift.operators import decisions as dc
 from mailsift.operators import folders as fd
 from mailsift.operators import infer, normalize, quality
 from mailsift.operators import threads as th
-from mailsift.plans import pipelines
+from mailsift.operators.senders import category_breakdown
+from mailsift.plans import composed
 from mailsift.ranking import assert_max_rows
 
 # --- normalization ----------------------------------------------------------------------
@@ -253,7 +254,7 @@ REPORT = """SELECT (SELECT count(*) FROM v_targets) AS targets, count(*) AS reco
 
 @query("g16_backfill_report", REPORT)
 def g16(v):
-    return pipelines.backfill_merge(v.errors, starred(v), residuals(v))["report"]
+    return composed.backfill_merge(v.errors, starred(v), residuals(v))["report"]
 
 
 @query(
@@ -263,7 +264,7 @@ def g16(v):
          OR coalesce(message_id, named_id) NOT IN (SELECT message_id FROM v_recovered)""",
 )
 def s31(v):
-    merged = pipelines.backfill_merge(v.errors, starred(v), residuals(v))
+    merged = composed.backfill_merge(v.errors, starred(v), residuals(v))
 
     def part(name, table, column):
         return merged[table].select(F.lit(name).alias("part"), F.col(column).cast("string").alias("id"))
@@ -284,9 +285,9 @@ def j5(v):
     return bf.pending_bodies(v.messages, done, v.messages.filter("is_unread"))
 
 
-@query("p9_max_rows", "SELECT r_regionkey FROM region")
+@query("p9_max_rows", "SELECT category, count(*) AS emails FROM v_messages GROUP BY 1")
 def p9(v):
-    return assert_max_rows(v.table("region"), 10_000, "regions").select("r_regionkey")
+    return assert_max_rows(category_breakdown(v.messages), 10_000, "categories")
 
 
 # --- data quality -----------------------------------------------------------------------
@@ -377,12 +378,12 @@ def first_word(batch: pd.DataFrame) -> pd.DataFrame:
         UNION ALL SELECT thread_id, category, actionable FROM v_by_rule""",
 )
 def f1(v):
-    run = pipelines.run_classification(v.mail, v.bodies, v.rules, first_word, AS_OF)
+    run = composed.run_classification(v.mail, v.bodies, v.rules, first_word, AS_OF)
     return run["classifications"].select("thread_id", "category", "actionable")
 
 
 def ambiguous(v: Views) -> DataFrame:
-    return pipelines.split_enrichment(stats(v))[1]
+    return composed.ambiguous_senders(stats(v))
 
 
 def prompts(v: Views) -> DataFrame:

@@ -11,7 +11,7 @@ from mailsift.checks.views import AS_OF, STORED_BEFORE, Views
 from mailsift.functions import address, measure
 from mailsift.operators import scoring, senders, state
 from mailsift.operators.review import audit_rows, read_audit_decisions
-from mailsift.plans import pipelines
+from mailsift.plans import composed
 
 NOW = "2024-02-16 08:00:00"
 
@@ -43,7 +43,7 @@ def sender_results(s: DataFrame) -> DataFrame:
 
 def enriched(v: Views) -> DataFrame:
     s = stats(v)
-    return pipelines.enrich(s, sender_results(s))
+    return composed.enrich(s, sender_results(s))
 
 
 def scored_state(v: Views) -> DataFrame:

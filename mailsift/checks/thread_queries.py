@@ -13,7 +13,7 @@ from mailsift.functions import text as tx
 from mailsift.operators import labels as lb
 from mailsift.operators import noise, senders
 from mailsift.operators import threads as th
-from mailsift.plans import pipelines, reports
+from mailsift.plans import composed, reports
 from mailsift.sources.readers import normalize_rules
 
 CLASS = "thread_id, category, confidence, actionable, summary, classified_by, rule_name"
@@ -33,7 +33,7 @@ def thread_results(heads: DataFrame) -> DataFrame:
 
 def classified(v: Views) -> DataFrame:
     results = thread_results(th.thread_heads(v.mail))
-    return pipelines.classify_with_results(v.mail, v.rules, results, AS_OF)
+    return composed.classify_with_results(v.mail, v.rules, results, AS_OF)
 
 
 def label_ids(classifications: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def u1(v):
        count(*) FILTER (WHERE classified_by = 'llm') AS by_model FROM v_classified""",
 )
 def s11(v):
-    return pipelines.classification_counts(classified(v))
+    return composed.classification_counts(classified(v))
 
 
 @query("g17_known_categories", "SELECT DISTINCT category FROM v_classified")
@@ -181,7 +181,7 @@ def g17(v):
 
 @query("g8_category_counts", "SELECT category, count(*) AS threads FROM v_classified GROUP BY 1")
 def g8(v):
-    return pipelines.category_counts(classified(v))
+    return composed.category_counts(classified(v))
 
 
 @query(
@@ -319,7 +319,7 @@ def digest(v: Views) -> dict[str, DataFrame]:
         F.lit(True).alias("actionable"),
         F.lit("").alias("summary"),
     )
-    return pipelines.digest(v.messages, rules, results, SINCE, AS_OF)
+    return composed.digest(v.messages, rules, results, SINCE, AS_OF)
 
 
 @query("s30_digest", "SELECT thread_id, sender_email, subject, category, actionable FROM v_digest")

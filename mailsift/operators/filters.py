@@ -12,6 +12,7 @@ from mailsift.operators.decisions import latest_decisions
 from mailsift.operators.noise import remove_labels_for
 from mailsift.operators.packing import pack_or_queries
 from mailsift.schema import INBOX, NOISE_ACTIONS, NOISE_LABEL, UNREAD
+from mailsift.session import durable
 
 # Filters a mailbox can hold.
 MAX_FILTERS = 1000
@@ -78,9 +79,12 @@ def delete_targets(classified: DataFrame) -> DataFrame:
 
 
 def consolidation_plan(filters: DataFrame, decisions: DataFrame, label: str = NOISE_LABEL) -> dict[str, DataFrame]:
-    """The plan as tables: ``classified``, ``deletes``, ``planned`` and ``creates``."""
-    classified = classify_filters(filters, decisions, label)
-    planned = planned_filters(classified, label)
+    """The plan as tables: ``classified``, ``deletes``, ``planned`` and ``creates``.
+
+    The plan is frozen: it is written down, so later decisions do not change it.
+    """
+    classified = durable(classify_filters(filters, decisions, label), "classified-filters")
+    planned = durable(planned_filters(classified, label), "planned-filters")
     return {
         "classified": classified,
         "deletes": delete_targets(classified),

@@ -28,12 +28,12 @@ def label_failures(classifications: DataFrame, messages: DataFrame, labels: Data
 
     A thread without messages is reported before a category without a label.
     """
+    threads = messages.select("thread_id").distinct().withColumn("_known", F.lit(True))
+    named = labels.select(F.col("name").alias("category"), F.lit(True).alias("_named"))
     wanted = classifications.select("thread_id", "category")
-    threads = messages.select("thread_id").distinct()
-    lost = wanted.join(threads, "thread_id", "left_anti").withColumn("reason", F.lit("no messages"))
-    named = labels.select(F.col("name").alias("category"))
-    unlabeled = wanted.join(named, "category", "left_anti").join(threads, "thread_id", "left_semi")
-    return lost.unionByName(unlabeled.withColumn("reason", F.lit("no label")))
+    reason = F.when(F.col("_known").isNull(), "no messages").when(F.col("_named").isNull(), "no label")
+    checked = wanted.join(threads, "thread_id", "left").join(named, "category", "left")
+    return checked.select("thread_id", "category", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def _texts(*values: str) -> Column:

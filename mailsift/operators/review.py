@@ -15,6 +15,7 @@ from mailsift.operators.labels import REQUEST_IDS, request_rows
 from mailsift.operators.state import OPTIONAL_FIELDS, REVIEW_FIELDS, with_optional
 from mailsift.ranking import last_wins
 from mailsift.schema import ACTIONS, INBOX, STARRED, TRIAGE_LABEL
+from mailsift.session import durable
 
 STEPS = ["filter_status", "archive_status", "log_status", "state_status", "sheet_status"]
 BATCH = ["run_id", "batch_id"]
@@ -291,7 +292,7 @@ def review_counts(resolved: DataFrame) -> DataFrame:
 
 def finalize_plan(decisions: DataFrame, triage: DataFrame, size: int = REQUEST_IDS) -> DataFrame:
     """Modify requests of a review. Any decision that is not ok rejects the whole review."""
-    resolved = resolve_decisions(decisions, triage)
+    resolved = durable(resolve_decisions(decisions, triage), "resolved")
     rejected = resolved.filter(F.col("outcome") != "ok").limit(1).collect()
     if rejected:
         raise ValueError(f"review rejected: {rejected[0]['review_id']} is {rejected[0]['outcome']}")

@@ -96,22 +96,25 @@ def apply_review(state: DataFrame, manifest: DataFrame, now) -> DataFrame:
     return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in state.columns])
 
 
-def apply_sender_results(senders: DataFrame, results: DataFrame) -> DataFrame:
-    """Model results (email, sender_type, confidence) onto senders; no result means unknown and 0."""
-    found = results.select(
+def model_result_columns(results: DataFrame) -> DataFrame:
+    """Model results (email, sender_type, confidence) as join columns (_key, _type, _confidence)."""
+    return results.select(
         sender_key("email").alias("_key"),
         F.col("sender_type").alias("_type"),
         F.col("confidence").alias("_confidence"),
     )
-    joined = senders.withColumn("_key", sender_key("sender_email")).join(found, "_key", "left")
-    hit = F.col("_type").isNotNull()
+
+
+def apply_sender_results(senders: DataFrame, results: DataFrame) -> DataFrame:
+    """Model results onto senders; no result means unknown with confidence 0."""
+    joined = senders.withColumn("_key", sender_key("sender_email")).join(model_result_columns(results), "_key", "left")
     typed = {
         "sender_type": F.coalesce("_type", F.lit("unknown")),
         "sender_type_confidence": F.coalesce("_confidence", F.lit(0.0)),
-        "sender_type_source": F.when(hit, F.lit("llm")),
+        "sender_type_source": F.when(F.col("_type").isNotNull(), F.lit("llm")),
     }
     plain = [c for c in senders.columns if c not in typed]
-    return joined.select(*plain, *[v.alias(k) for k, v in typed.items()])
+    return joined.select(*plain, *[value.alias(name) for name, value in typed.items()])
 
 
 def rescore_candidates(state: DataFrame, manifests: DataFrame, cut: float = 0.7) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from mailsift.ranking import hot_keys
 
 # Messages of one thread that may be gathered into one row. Longer threads come as
 # several rows (parts) whose pieces, read in order, are the whole thread.
-PART_MESSAGES = 10_000
+PART_MESSAGES = 2_000
 # Messages per part of such a long thread.
 LONG_PART_MESSAGES = 1_000
 
@@ -154,27 +156,30 @@ def match_rules(threads: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def classify_rules(threads: DataFrame, rules: DataFrame, as_of) -> DataFrame:
-    """Classifications of threads that a rule decides.
+def _rule_columns(as_of) -> dict[str, Column]:
+    """Classification by a matched rule; the category is NULL where no rule decides.
 
-    A sender rule beats a domain rule, also when its category is NULL: such a thread is
-    left to the model.
+    A sender rule beats a domain rule, also when its own category is NULL: such a thread
+    is left to the model.
     """
-    matched = match_rules(threads, rules)
     by_sender = F.col("sender_matched")
-    category = F.when(by_sender, F.col("sender_category")).otherwise(F.col("domain_category"))
     rule = F.when(by_sender, F.concat(F.lit("sender:"), "sender_key")).otherwise(
         F.concat(F.lit("domain:"), "domain_key")
     )
-    return matched.withColumn("category", category).filter(F.col("category").isNotNull()).select(
-        "thread_id",
-        "category",
-        F.lit(1.0).alias("confidence"),
-        within_days("last_date", as_of).alias("actionable"),
-        F.lit("").alias("summary"),
-        F.lit("rule").alias("classified_by"),
-        rule.alias("rule_name"),
-    )
+    return {
+        "category": F.when(by_sender, F.col("sender_category")).otherwise(F.col("domain_category")),
+        "confidence": F.lit(1.0),
+        "actionable": within_days("last_date", as_of),
+        "summary": F.lit(""),
+        "classified_by": F.lit("rule"),
+        "rule_name": rule,
+    }
+
+
+def classify_rules(threads: DataFrame, rules: DataFrame, as_of) -> DataFrame:
+    """Classifications of the threads that a rule decides."""
+    columns = [value.alias(name) for name, value in _rule_columns(as_of).items()]
+    return match_rules(threads, rules).select("thread_id", *columns).filter(F.col("category").isNotNull())
 
 
 def unmatched_threads(threads: DataFrame, classified: DataFrame) -> DataFrame:
@@ -186,31 +191,52 @@ def unmatched_messages(messages: DataFrame, classified: DataFrame) -> DataFrame:
     return messages.join(classified.select("thread_id"), "thread_id", "left_anti")
 
 
-def apply_thread_results(threads: DataFrame, results: DataFrame, as_of) -> DataFrame:
-    """Classifications from model results.
+def _result_columns(as_of) -> dict[str, Column]:
+    """Classification by a joined model result; without one the thread is uncategorized.
 
-    A thread without a result is uncategorized; a thread older than a year is never
-    actionable.
+    A thread older than a year is never actionable.
     """
-    found = results.select(
-        "thread_id",
-        "category",
-        "confidence",
-        F.col("actionable").alias("_actionable"),
-        "summary",
-        F.lit(True).alias("_found"),
-    )
-    joined = threads.select("thread_id", "last_date").join(found, "thread_id", "left")
     hit = F.coalesce("_found", F.lit(False))
-    return joined.select(
-        "thread_id",
-        F.when(hit, F.col("category")).otherwise("uncategorized").alias("category"),
-        F.when(hit, F.col("confidence")).otherwise(F.lit(0.0)).alias("confidence"),
-        (hit & F.coalesce("_actionable", F.lit(False)) & within_days("last_date", as_of)).alias("actionable"),
-        F.when(hit, F.col("summary")).otherwise("Classification failed.").alias("summary"),
-        F.lit("llm").alias("classified_by"),
-        F.lit(None).cast("string").alias("rule_name"),
+    return {
+        "category": F.when(hit, F.col("_category")).otherwise("uncategorized"),
+        "confidence": F.when(hit, F.col("_confidence")).otherwise(F.lit(0.0)),
+        "actionable": hit & F.coalesce("_actionable", F.lit(False)) & within_days("last_date", as_of),
+        "summary": F.when(hit, F.col("_summary")).otherwise("Classification failed."),
+        "classified_by": F.lit("llm"),
+        "rule_name": F.lit(None).cast("string"),
+    }
+
+
+def _result_table(results: DataFrame) -> DataFrame:
+    named = [F.col(c).alias(f"_{c}") for c in ("category", "confidence", "actionable", "summary")]
+    return results.select(F.col("thread_id").alias("_result_id"), *named, F.lit(True).alias("_found"))
+
+
+def apply_thread_results(threads: DataFrame, results: DataFrame, as_of) -> DataFrame:
+    """Classifications of ``threads`` from model results."""
+    table = _result_table(results)
+    joined = threads.join(table, threads["thread_id"] == table["_result_id"], "left")
+    columns = [value.alias(name) for name, value in _result_columns(as_of).items()]
+    return joined.select("thread_id", *columns)
+
+
+def classify_all(
+    threads: DataFrame, rules: DataFrame, results: DataFrame, as_of, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Every thread once: by rule where one decides, else by model result.
+
+    Only threads without a deciding rule carry a join key for the results, so the union
+    of both kinds takes one pass. ``keep`` names thread columns to carry along.
+    """
+    by_rule, by_model = _rule_columns(as_of), _result_columns(as_of)
+    matched = match_rules(threads, rules).withColumn("_rule_category", by_rule["category"])
+    ruled = F.col("_rule_category").isNotNull()
+    table = _result_table(results)
+    joined = matched.withColumn("_open_id", F.when(~ruled, F.col("thread_id"))).join(
+        table, F.col("_open_id") == F.col("_result_id"), "left"
     )
+    columns = [F.when(ruled, by_rule[c]).otherwise(by_model[c]).alias(c) for c in by_rule]
+    return joined.select("thread_id", *columns, *keep)
 
 
 def all_classifications(by_rule: DataFrame, by_model: DataFrame) -> DataFrame:

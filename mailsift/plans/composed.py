@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailsift.functions.address import sender_key
 from mailsift.functions.measure import at
 from mailsift.operators import backfill as bf
 from mailsift.operators import threads as th
@@ -14,38 +15,46 @@ from mailsift.operators.infer import score_threads
 from mailsift.operators.noise import new_since
 from mailsift.operators.scoring import classify_heuristic, score_confidence, score_extraction
 from mailsift.operators.senders import sender_stats
-from mailsift.operators.state import REVIEW_FIELDS, apply_sender_results, merge_state, with_optional
+from mailsift.operators.state import REVIEW_FIELDS, merge_state, model_result_columns, with_optional
+from mailsift.session import durable
 
 
-def split_enrichment(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(resolved, ambiguous): user-reviewed and heuristic types first, the rest for a model.
-
-    Two filters instead of one expression, so that a model only ever sees ambiguous rows.
-    """
-    stats = with_optional(stats, REVIEW_FIELDS)
-    guessed = classify_heuristic(stats)
+def _guessed(stats: DataFrame) -> DataFrame:
+    """Statistics with the heuristic type, ``_by_user`` and ``_sure``."""
     by_user = F.coalesce(F.col("sender_type_source") == "user", F.lit(False)) | F.col(
         "reviewed_sender_type"
     ).isNotNull()
-    flagged = guessed.withColumn("_by_user", by_user)
-    sure = F.col("_by_user") | (F.col("heuristic_type") != "unknown")
-    typed = {
-        "sender_type": F.when(
-            F.col("_by_user"), F.coalesce("reviewed_sender_type", "sender_type", F.lit("unknown"))
-        ).otherwise(F.col("heuristic_type")),
-        "sender_type_confidence": F.when(F.col("_by_user"), F.col("sender_type_confidence")).otherwise(
-            F.col("heuristic_confidence")
-        ),
-        "sender_type_source": F.when(F.col("_by_user"), "user").otherwise("heuristic"),
-    }
-    resolved = flagged.filter(sure).select(*[typed.get(c, F.col(c)).alias(c) for c in stats.columns])
-    return resolved, flagged.filter(~sure).select(*stats.columns)
+    guessed = classify_heuristic(with_optional(stats, REVIEW_FIELDS)).withColumn("_by_user", by_user)
+    return guessed.withColumn("_sure", F.col("_by_user") | (F.col("heuristic_type") != "unknown"))
+
+
+def ambiguous_senders(stats: DataFrame) -> DataFrame:
+    """Senders that neither a user nor the heuristics typed: the only ones a model is asked about."""
+    helpers = ["_by_user", "_sure", "heuristic_type", "heuristic_confidence"]
+    return _guessed(stats).filter(~F.col("_sure")).drop(*helpers)
 
 
 def enrich(stats: DataFrame, model_results: DataFrame) -> DataFrame:
-    """Typed senders with the extraction flag; ``model_results`` is (email, sender_type, confidence)."""
-    resolved, ambiguous = split_enrichment(stats)
-    return score_extraction(resolved.unionByName(apply_sender_results(ambiguous, model_results)))
+    """Typed senders with the extraction flag; ``model_results`` is (email, sender_type, confidence).
+
+    User-reviewed types come first, then heuristics, then model results. Only ambiguous
+    senders carry a join key, so one pass over the statistics does all three.
+    """
+    guessed = _guessed(stats)
+    key = F.when(~F.col("_sure"), sender_key("sender_email"))
+    joined = guessed.withColumn("_key", key).join(model_result_columns(model_results), "_key", "left")
+    by_user, sure = F.col("_by_user"), F.col("_sure")
+    typed = {
+        "sender_type": F.when(by_user, F.coalesce("reviewed_sender_type", "sender_type", F.lit("unknown")))
+        .when(sure, F.col("heuristic_type"))
+        .otherwise(F.coalesce("_type", F.lit("unknown"))),
+        "sender_type_confidence": F.when(by_user, F.col("sender_type_confidence"))
+        .when(sure, F.col("heuristic_confidence"))
+        .otherwise(F.coalesce("_confidence", F.lit(0.0))),
+        "sender_type_source": F.when(by_user, "user").when(sure, "heuristic").when(F.col("_type").isNotNull(), "llm"),
+    }
+    columns = with_optional(stats, REVIEW_FIELDS).columns
+    return score_extraction(joined.select(*[typed.get(c, F.col(c)).alias(c) for c in columns]))
 
 
 def analyze(messages: DataFrame, stored: DataFrame, model_results: DataFrame, as_of, dialect: str = "gmail") -> DataFrame:
@@ -56,10 +65,7 @@ def analyze(messages: DataFrame, stored: DataFrame, model_results: DataFrame, as
 
 def classify_with_results(messages: DataFrame, rules: DataFrame, results: DataFrame, as_of) -> DataFrame:
     """Classifications of all threads: rules first, given model results for the rest."""
-    heads = th.thread_heads(messages)
-    by_rule = th.classify_rules(heads, rules, as_of)
-    rest = th.unmatched_threads(heads, by_rule)
-    return th.all_classifications(by_rule, th.apply_thread_results(rest, results, as_of))
+    return th.classify_all(th.thread_heads(messages), rules, results, as_of)
 
 
 def run_classification(
@@ -71,10 +77,11 @@ def run_classification(
     unmatched threads meet the body table.
     """
     heads = th.thread_heads(messages)
-    by_rule = th.classify_rules(heads, rules, as_of)
+    by_rule = durable(th.classify_rules(heads, rules, as_of), "by-rule")
     open_messages = th.unmatched_messages(messages, by_rule)
     collapsed = th.collapse_threads(open_messages, bodies)
-    results = score_threads(collapsed, scorer)
+    # Written down, so that no later action asks the model again.
+    results = durable(score_threads(collapsed, scorer), "thread-results")
     best = F.max_by(F.struct("category", "confidence", "actionable", "summary"), F.struct("confidence", "category"))
     one_each = results.groupBy("thread_id").agg(best.alias("_r")).select("thread_id", "_r.*")
     by_model = th.apply_thread_results(th.unmatched_threads(heads, by_rule), one_each, as_of)
@@ -106,22 +113,21 @@ def category_counts(classifications: DataFrame) -> DataFrame:
 def digest(messages: DataFrame, rules: DataFrame, results: DataFrame, since, as_of) -> dict[str, DataFrame]:
     """Digest of mail since a date: classifications, counts, categories, actionable items."""
     fresh = new_since(messages, at(since))
-    heads = th.thread_heads(fresh)
-    classified = classify_with_results(fresh, rules, results, as_of)
-    described = classified.join(heads.select("thread_id", "sender_email", "subject", "first_seq"), "thread_id")
+    heads = ["sender_email", "subject", "first_seq"]
+    described = th.classify_all(th.thread_heads(fresh), rules, results, as_of, keep=heads)
     return {
         "messages": fresh,
         "classifications": described,
-        "counts": digest_counts(fresh, classified),
-        "categories": category_counts(classified),
+        "counts": digest_counts(fresh, described),
+        "categories": category_counts(described),
         "actionable": described.filter("actionable").select("thread_id", "sender_email", "subject", "category"),
     }
 
 
 def backfill_merge(errors: DataFrame, staged: DataFrame, residuals: DataFrame) -> dict[str, DataFrame]:
     """Recovery run: targets, recovered rows, residual errors, the new error list, the report."""
-    targets = bf.recovery_ids(errors)
-    recovered = bf.recovered_rows(staged.join(targets, "message_id", "left_semi"))
+    targets = durable(bf.recovery_ids(errors), "targets")
+    recovered = durable(bf.recovered_rows(staged.join(targets, "message_id", "left_semi")), "recovered")
     residual = bf.residual_errors(residuals, targets, recovered)
     return {
         "targets": targets,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mailsift.functions.measure import at, thousands, whole_percent, ymd
 from mailsift.operators.review import BATCH, batch_summary
+from mailsift.session import durable
 
 ORDER = ["section", "major", "minor"]
 
@@ -35,11 +36,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def digest_lines(digest: dict[str, DataFrame], as_of) -> DataFrame:
     """The daily digest; categories and items in the order in which threads were classified."""
-    counts = digest["counts"]
+    counts = durable(digest["counts"], "digest-counts")
     title = F.concat(F.lit("# Daily Digest — "), ymd(at(as_of)))
     some, top = counts.filter("total_new > 0"), F.lit("")
     order = F.concat(F.when(F.col("classified_by") == "rule", "0").otherwise("1"), _number(F.col("first_seq")))
-    placed = digest["classifications"].withColumn("_at", order)
+    placed = durable(digest["classifications"].withColumn("_at", order), "digest-threads")
     categories = placed.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_at"))
     plural = F.when(F.col("n") == 1, "").otherwise("s")
     return _union(
@@ -79,6 +80,7 @@ def digest_lines(digest: dict[str, DataFrame], as_of) -> DataFrame:
 def action_lines(items: DataFrame, as_of) -> DataFrame:
     """The action report: a heading per category, then its items in locale order."""
     title = F.concat(F.lit("# Action Pass Report — "), ymd(at(as_of)))
+    items = durable(items, "action-items")
     counts = items.agg(F.count(F.lit(1)).alias("n"))
     blank = F.lit("")
     empty = counts.filter("n = 0").select(blank.alias("category"), F.array(title, blank, F.lit("No actionable items to review.")).alias("t"))

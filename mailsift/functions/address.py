@@ -16,6 +16,12 @@ EMAIL_SYNTAX = (
     r"@((\[[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\])|(([a-zA-Z\-0-9]+\.)+[a-zA-Z]{2,}))$"
 )
 
+# The characters that trimming removes.
+WHITE_SPACE = (
+    "\t\n\u000b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
 # Mailbox tab labels and the category each one stands for.
 CATEGORY_LABELS = {
     "CATEGORY_PERSONAL": "primary",
@@ -34,7 +40,7 @@ def _col(c: Column | str) -> Column:
 
 def trim_all(c: Column | str) -> Column:
     """Trim every Unicode white space and U+FEFF, not only blanks."""
-    return F.regexp_replace(_col(c), r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+\z", "")
+    return F.btrim(_col(c), F.lit(WHITE_SPACE))
 
 
 def sender_key(email: Column | str) -> Column:
@@ -71,6 +77,11 @@ def header(headers: Column | str, name: str) -> Column:
     return F.try_element_at(found, F.lit(1))["value"]
 
 
+def _is_bracketed(value: Column) -> Column:
+    """True for ``name <address>``; the cheap test on the last character comes first."""
+    return value.endswith(">") & value.rlike(BRACKETED)
+
+
 def _unquoted(name: Column) -> Column:
     name = trim_all(name)
     quoted = name.startswith('"') & name.endswith('"') & (F.length(name) >= 2)
@@ -86,7 +97,7 @@ def from_header(raw: Column | str, max_chars: int | None = None) -> Column:
     value = trim_all(raw)
     if max_chars is not None:
         value = F.substring(value, 1, max_chars)
-    bracketed = value.rlike(BRACKETED)
+    bracketed = _is_bracketed(value)
     email = F.when(bracketed, trim_all(F.regexp_extract(value, BRACKETED, 2))).otherwise(trim_all(value))
     name = F.when(bracketed, _unquoted(F.regexp_extract(value, BRACKETED, 1))).otherwise(F.lit(""))
     return F.struct(email.alias("email"), name.alias("name"))
@@ -108,7 +119,7 @@ def address_list(raw: Column | str, max_chars: int | None = None) -> Column:
     entries = F.transform(F.split(F.array_join(pieces, '"'), "\u0001", -1), trim_all)
     addresses = F.transform(
         entries,
-        lambda e: F.when(e.rlike(BRACKETED), trim_all(F.regexp_extract(e, BRACKETED, 2))).otherwise(e),
+        lambda e: F.when(_is_bracketed(e), trim_all(F.regexp_extract(e, BRACKETED, 2))).otherwise(e),
     )
     return F.coalesce(F.filter(addresses, lambda a: a != ""), F.array().cast("array<string>"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mailsift.functions.address import NO_SUBJECT, address_list, from_header, header, infer_category, is_email
 from mailsift.functions.text import decode_body, strip_html
+from mailsift.ranking import computed_once
 from mailsift.schema import IMPORTANT, INBOX, MESSAGE, MIME_DEPTH, STARRED, UNREAD
 
 SCHEMA_FAILURE = "Schema validation failed"
@@ -27,8 +28,8 @@ def _split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
         & F.forall("recipients.cc", is_email)
         & F.col("date_received").isNotNull()
     )
-    checked = parsed.withColumn(
-        "reason", F.coalesce("reason", F.when(~F.coalesce(valid, F.lit(False)), SCHEMA_FAILURE))
+    checked = computed_once(
+        parsed.withColumn("reason", F.coalesce("reason", F.when(~F.coalesce(valid, F.lit(False)), SCHEMA_FAILURE)))
     )
     messages = checked.filter(F.col("reason").isNull()).select(*MESSAGE.fieldNames())
     rejects = checked.filter(F.col("reason").isNotNull()).select(F.col("message_id").alias("id"), "reason")
@@ -38,30 +39,41 @@ def _split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def normalize_gmail(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(messages, rejects) of Gmail-shaped raw messages with an ``ingest_seq``."""
     headers = F.col("payload.headers")
-    sender = header(headers, "From")
-    labels = F.coalesce("labelIds", _no_texts())
+    # Header values are looked up once; all parsing below works on plain text columns.
+    values = computed_once(
+        raw.select(
+            F.col("id").alias("message_id"),
+            F.col("threadId").alias("thread_id"),
+            "internalDate",
+            F.coalesce("labelIds", _no_texts()).alias("labels"),
+            F.coalesce("snippet", F.lit("")).alias("snippet"),
+            F.col("payload").isNull().alias("no_payload"),
+            *[header(headers, name).alias(f"{name.lower()}_text") for name in ("From", "To", "Cc", "Subject")],
+            "ingest_seq",
+        )
+    )
     reason = (
-        F.when(_blank(F.col("id")), "Missing message id")
-        .when(_blank(F.col("threadId")), "Missing threadId")
+        F.when(_blank(F.col("message_id")), "Missing message id")
+        .when(_blank(F.col("thread_id")), "Missing threadId")
         .when(_blank(F.col("internalDate")), "Missing internalDate")
-        .when(F.col("payload").isNull(), "Missing payload")
-        .when(sender.isNull(), "Missing From header")
+        .when(F.col("no_payload"), "Missing payload")
+        .when(F.col("from_text").isNull(), "Missing From header")
     )
 
     def listed(name: str) -> Column:
-        return F.coalesce(address_list(header(headers, name)), _no_texts())
-
-    parsed = raw.select(
-        F.col("id").alias("message_id"),
-        F.col("threadId").alias("thread_id"),
-        from_header(sender).alias("sender"),
-        F.struct(listed("To").alias("to"), listed("Cc").alias("cc")).alias("recipients"),
-        F.coalesce(header(headers, "Subject"), F.lit(NO_SUBJECT)).alias("subject"),
+        return F.coalesce(address_list(name), _no_texts())
+
+    parsed = values.select(
+        "message_id",
+        "thread_id",
+        from_header("from_text").alias("sender"),
+        F.struct(listed("to_text").alias("to"), listed("cc_text").alias("cc")).alias("recipients"),
+        F.coalesce("subject_text", F.lit(NO_SUBJECT)).alias("subject"),
         F.timestamp_millis(F.col("internalDate").try_cast("bigint")).alias("date_received"),
-        infer_category(labels).alias("category"),
-        labels.alias("labels"),
-        F.array_contains(labels, UNREAD).alias("is_unread"),
-        F.coalesce("snippet", F.lit("")).alias("snippet"),
+        infer_category("labels").alias("category"),
+        "labels",
+        F.array_contains("labels", UNREAD).alias("is_unread"),
+        "snippet",
         "ingest_seq",
         reason.alias("reason"),
     )

@@ -61,6 +61,7 @@ def _entries(messages: DataFrame) -> DataFrame:
         "ingest_seq",
         "message_id",
         F.col("sender.email").alias("email"),
+        "subject",
         trim_all(unique_content(body)).alias("content"),
     )
 
@@ -70,15 +71,22 @@ def _joined(pieces: Column) -> Column:
 
 
 def _short_threads(entries: DataFrame) -> DataFrame:
-    listed = F.array_sort(
-        F.collect_list(F.struct("date_received", "ingest_seq", "message_id", "email", "content"))
-    )
-    return entries.groupBy("thread_id").agg(listed.alias("_m")).select(
+    """Everything about a thread from one sorted list: one shuffle."""
+    fields = ["date_received", "ingest_seq", "message_id", "email", "subject", "content"]
+    listed = entries.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_m"))
+    first, last = F.col("_m")[0], F.element_at("_m", -1)
+    return listed.select(
         "thread_id",
         F.lit(0).cast("bigint").alias("part_no"),
         F.array_distinct(F.col("_m.email")).alias("participants"),
         F.col("_m.message_id").alias("message_ids"),
         _joined(F.col("_m.content")).alias("content"),
+        first["email"].alias("sender_email"),
+        first["subject"].alias("subject"),
+        first["date_received"].alias("first_date"),
+        last["date_received"].alias("last_date"),
+        F.size("_m").cast("bigint").alias("message_count"),
+        F.array_min(F.col("_m.ingest_seq")).alias("first_seq"),
     )
 
 
@@ -109,15 +117,13 @@ def collapse_threads(
     come as several rows ordered by ``part_no``, each with the participants that first
     appear, the message ids and the content of its run of messages.
     """
-    heads = thread_heads(messages)
-    entries = _entries(messages if bodies is None else with_bodies(messages, bodies))
     long_ids = hot_keys(messages.select("thread_id"), "thread_id", part_messages)
+    full = messages if bodies is None else with_bodies(messages, bodies)
     if long_ids is None:
-        parts = _short_threads(entries)
-    else:
-        short = _short_threads(entries.join(long_ids, "thread_id", "left_anti"))
-        parts = short.unionByName(_long_threads(entries.join(long_ids, "thread_id", "left_semi")))
-    return parts.join(heads, "thread_id")
+        return _short_threads(_entries(full))
+    short = _short_threads(_entries(full.join(long_ids, "thread_id", "left_anti")))
+    long = full.join(long_ids, "thread_id", "left_semi")
+    return short.unionByName(_long_threads(_entries(long)).join(thread_heads(long), "thread_id"))
 
 
 def thread_messages(messages: DataFrame) -> DataFrame:

@@ -107,6 +107,15 @@ def hot_keys(df: DataFrame, key: str | Sequence[str], bound: int) -> DataFrame |
     return None if hot.isEmpty() else hot
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """The same table, with a border that filters on its columns do not cross.
+
+    A filter is pushed through a projection by copying the column's expression into it;
+    for costly expressions that doubles the work. It is not pushed through a generator.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def assert_max_rows(df: DataFrame, limit: int, what: str = "result") -> DataFrame:
     """Fail, rather than truncate, when ``df`` has more than ``limit`` rows."""
     if df.limit(limit + 1).count() > limit:

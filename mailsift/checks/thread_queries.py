@@ -105,7 +105,7 @@ def n12_documents(v):
 
 @query(
     "n11_strip_html",
-    """SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]{0,1000}>', ' ', 'g'), '<[^>]{0,1000}[^>]{0,1000}>', ' ', 'g'),
+    """SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'),
        '[ \\t]{2,}', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM pages""",
 )
 def n11(v):

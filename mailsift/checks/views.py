@@ -11,8 +11,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.schema import RAW_GMAIL
-
 AS_OF = "2024-02-15 00:00:00"
 SINCE = "2024-01-25 00:00:00"
 STORED_BEFORE = "2024-01-15 00:00:00"
@@ -284,9 +282,12 @@ class Views:
             leaves.alias("parts"),
         )
         payload = F.struct(
-            F.lit("multipart/mixed").alias("mimeType"), headers.alias("headers"), F.array(inner).alias("parts")
+            F.lit("multipart/mixed").alias("mimeType"),
+            headers.alias("headers"),
+            F.struct(F.lit(None).cast("string").alias("data")).alias("body"),
+            F.array(inner).alias("parts"),
         )
-        shaped = self.raw.select(
+        return self.raw.select(
             "id",
             F.col("thread_id").alias("threadId"),
             labels.alias("labelIds"),
@@ -295,9 +296,6 @@ class Views:
             payload.alias("payload"),
             "ingest_seq",
         )
-        # Through JSON into the declared schema, as a file source would deliver it.
-        body = F.to_json(F.struct(*[c for c in shaped.columns if c != "ingest_seq"]))
-        return shaped.select(F.from_json(body, RAW_GMAIL).alias("r"), "ingest_seq").select("r.*", "ingest_seq")
 
     @cached_property
     def raw_graph(self) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailsift.joins import spread_join
 from mailsift.ranking import chunk
 from mailsift.schema import INBOX, TRIAGE_LABEL
 
@@ -18,9 +19,8 @@ def label_targets(classifications: DataFrame, messages: DataFrame, labels: DataF
     ``labels`` is (name, label_id) with unique names.
     """
     named = labels.select(F.col("name").alias("category"), "label_id")
-    return classifications.select("thread_id", "category", "actionable").join(named, "category").join(
-        messages.select("thread_id", "message_id", "ingest_seq"), "thread_id"
-    )
+    labeled = classifications.select("thread_id", "category", "actionable").join(named, "category")
+    return spread_join(messages.select("thread_id", "message_id", "ingest_seq"), labeled, "thread_id", "inner")
 
 
 def label_failures(classifications: DataFrame, messages: DataFrame, labels: DataFrame) -> DataFrame:

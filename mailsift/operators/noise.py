@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.functions.address import sender_key
+from mailsift.joins import spread_join
 from mailsift.operators.decisions import noise_senders
 from mailsift.operators.labels import REQUEST_IDS, request_rows
 from mailsift.operators.packing import pack_or_queries
@@ -40,7 +41,7 @@ def inbox_from(messages: DataFrame, senders: DataFrame) -> DataFrame:
     """Inbox messages of the given senders (column sender_key)."""
     inbox = messages.filter(F.array_contains("labels", INBOX))
     keyed = inbox.withColumn("sender_key", sender_key("sender.email"))
-    return keyed.join(senders.select("sender_key"), "sender_key", "left_semi")
+    return spread_join(keyed, senders.select("sender_key").distinct(), "sender_key", "left_semi")
 
 
 def noise_in_inbox(messages: DataFrame, noise: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def extraction_messages(messages: DataFrame, state: DataFrame) -> DataFrame:
     """Messages of senders worth extracting content from."""
     wanted = state.filter(F.col("extraction_candidate")).select(sender_key("sender_email").alias("sender_key"))
     keyed = messages.withColumn("sender_key", sender_key("sender.email"))
-    return keyed.join(wanted, "sender_key", "left_semi")
+    return spread_join(keyed, wanted.distinct(), "sender_key", "left_semi")
 
 
 def add_noise_category(messages: DataFrame, label: str = NOISE_LABEL) -> DataFrame:
@@ -95,7 +96,7 @@ def cap_per_sender(
     if max_senders is not None:
         active = active.orderBy("sender_key").limit(max_senders)
     keyed = messages.withColumn("sender_key", sender_key("sender.email"))
-    own = keyed.join(active, "sender_key", "left_semi").select("sender_key", "message_id", "ingest_seq")
+    own = spread_join(keyed, active, "sender_key", "left_semi").select("sender_key", "message_id", "ingest_seq")
     if max_messages is None:
         return own.withColumn("truncated", F.lit(False))
     totals = own.groupBy("sender_key").agg((F.count(F.lit(1)) > max_messages).alias("truncated"))

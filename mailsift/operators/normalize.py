@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailsift.functions.address import NO_SUBJECT, address_list, from_header, header, infer_category, is_email
 from mailsift.functions.text import decode_body, strip_html
@@ -147,9 +148,19 @@ def _leaves(node: Column, levels: int) -> Column:
     return found.otherwise(none)
 
 
-def extract_bodies(raw: DataFrame, depth: int = MIME_DEPTH) -> DataFrame:
-    """(message_id, body): the first plain text leaf, even if empty, else the first HTML leaf as text."""
-    leaves = raw.select(F.col("id").alias("message_id"), F.coalesce(_leaves(F.col("payload"), depth), F.array()).alias("_l"))
+def _levels(part: T.StructType) -> int:
+    """Levels of MIME parts that a schema holds below this one."""
+    return 1 + _levels(part["parts"].dataType.elementType) if "parts" in part.fieldNames() else 0
+
+
+def extract_bodies(raw: DataFrame) -> DataFrame:
+    """(message_id, body): the first plain text leaf, even if empty, else the first HTML leaf as text.
+
+    Looks as deep as the schema of ``payload`` goes, at most ``MIME_DEPTH`` levels.
+    """
+    depth = min(MIME_DEPTH, _levels(raw.schema["payload"].dataType))
+    found = F.coalesce(_leaves(F.col("payload"), depth), F.array())
+    leaves = computed_once(raw.select(F.col("id").alias("message_id"), found.alias("_l")))
 
     def first(mime: str) -> Column:
         return F.try_element_at(F.filter("_l", lambda leaf: leaf["mime"] == mime), F.lit(1))

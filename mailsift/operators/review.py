@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mailsift.functions.address import sender_key, trim_all
 from mailsift.functions.measure import at, iso_instant, whole_percent, ymd
+from mailsift.joins import spread_join
 from mailsift.operators.decisions import not_yet_logged
 from mailsift.operators.labels import REQUEST_IDS, request_rows
 from mailsift.operators.state import OPTIONAL_FIELDS, REVIEW_FIELDS, with_optional
@@ -297,7 +298,7 @@ def finalize_plan(decisions: DataFrame, triage: DataFrame, size: int = REQUEST_I
     if rejected:
         raise ValueError(f"review rejected: {rejected[0]['review_id']} is {rejected[0]['outcome']}")
     threads = resolved.select("thread_id", "decision").distinct()
-    targets = triage.select("thread_id", "message_id", "ingest_seq").join(threads, "thread_id")
+    targets = spread_join(triage.select("thread_id", "message_id", "ingest_seq"), threads, "thread_id", "inner")
     plan = request_rows(targets, ["decision"], size)
     star = F.col("decision") == "star"
     none = F.array().cast("array<string>")

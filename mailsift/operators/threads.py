@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mailsift.functions.address import decision_key, domain, trim_all
 from mailsift.functions.measure import arrival_order, within_days
 from mailsift.functions.text import preview, unique_content
+from mailsift.joins import spread_join
 from mailsift.ranking import hot_keys
 
 # Messages of one thread that may be gathered into one row. Longer threads come as
@@ -121,8 +122,8 @@ def collapse_threads(
     full = messages if bodies is None else with_bodies(messages, bodies)
     if long_ids is None:
         return _short_threads(_entries(full))
-    short = _short_threads(_entries(full.join(long_ids, "thread_id", "left_anti")))
-    long = full.join(long_ids, "thread_id", "left_semi")
+    short = _short_threads(_entries(spread_join(full, long_ids, "thread_id", "left_anti")))
+    long = spread_join(full, long_ids, "thread_id", "left_semi")
     return short.unionByName(_long_threads(_entries(long)).join(thread_heads(long), "thread_id"))
 
 
@@ -194,7 +195,7 @@ def unmatched_threads(threads: DataFrame, classified: DataFrame) -> DataFrame:
 
 def unmatched_messages(messages: DataFrame, classified: DataFrame) -> DataFrame:
     """Messages of threads that no classification covers yet."""
-    return messages.join(classified.select("thread_id"), "thread_id", "left_anti")
+    return spread_join(messages, classified.select("thread_id").distinct(), "thread_id", "left_anti")
 
 
 def _result_columns(as_of) -> dict[str, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.functions.address import sender_key
+from mailsift.functions.flags import has_label, received_since
 from mailsift.joins import spread_join
 from mailsift.operators.decisions import noise_senders
 from mailsift.operators.labels import REQUEST_IDS, request_rows
@@ -30,7 +31,7 @@ def in_scope(messages: DataFrame) -> DataFrame:
 
 
 def new_since(messages: DataFrame, since: Column) -> DataFrame:
-    return in_scope(messages).filter(F.col("date_received") >= since)
+    return in_scope(messages).filter(received_since(messages, since))
 
 
 def messages_from(messages: DataFrame, sender: str) -> DataFrame:
@@ -39,7 +40,7 @@ def messages_from(messages: DataFrame, sender: str) -> DataFrame:
 
 def inbox_from(messages: DataFrame, senders: DataFrame) -> DataFrame:
     """Inbox messages of the given senders (column sender_key)."""
-    inbox = messages.filter(F.array_contains("labels", INBOX))
+    inbox = messages.filter(has_label(messages, INBOX))
     keyed = inbox.withColumn("sender_key", sender_key("sender.email"))
     return spread_join(keyed, senders.select("sender_key").distinct(), "sender_key", "left_semi")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsift.functions.address import local_part, sender_key
+from mailsift.functions.flags import has_label
 from mailsift.functions.measure import arrival_order
 from mailsift.ranking import number_by_order
 from mailsift.schema import IMPORTANT, SENDER_TYPES, STARRED
@@ -32,7 +33,7 @@ def _profiles(messages: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.count_if("is_unread").alias("n_unread"),
-            F.count_if(F.array_contains("labels", STARRED)).alias("n_starred"),
+            F.count_if(has_label(messages, STARRED)).alias("n_starred"),
             F.count_if(F.array_contains("labels", IMPORTANT)).alias("n_important"),
             F.min("date_received").alias("first_date"),
             F.max("date_received").alias("last_date"),

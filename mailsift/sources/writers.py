@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailsift.functions.flags import with_flags
 from mailsift.functions.measure import iso_instant
 from mailsift.operators.quality import check_state, check_stats
 from mailsift.ranking import chunk
-from mailsift.schema import INBOX, STARRED
 from mailsift.session import durable
 
 SHARD_RECORDS = 500
@@ -41,15 +41,6 @@ def write_shards(messages: DataFrame, path: str, size: int = SHARD_RECORDS) -> N
     arrays.withColumn("shard", F.lpad((F.col("shard") + 1).cast("string"), 5, "0")).write.partitionBy("shard").text(path)
 
 
-def with_flags(messages: DataFrame) -> DataFrame:
-    """Add in_inbox, is_starred and month, which Parquet can prune on; labels it cannot."""
-    return (
-        messages.withColumn("in_inbox", F.array_contains("labels", INBOX))
-        .withColumn("is_starred", F.array_contains("labels", STARRED))
-        .withColumn("month", F.date_format("date_received", "yyyy-MM"))
-    )
-
-
 def write_messages(messages: DataFrame, path: str) -> None:
     """The message table: Parquet, one folder per month of receipt.
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from mailsift.functions.address import sender_key
+from mailsift.functions.flags import has_label, with_flags
 from mailsift.operators.noise import sweep_plan
 from mailsift.schema import INBOX, MESSAGE, STARRED, UNREAD
 
@@ -29,8 +30,13 @@ def _start(writer, every: str | None) -> StreamingQuery:
 def ingest_stream(
     spark: SparkSession, src: str, dst: str, ckpt: str, schema: T.StructType = MESSAGE, every: str | None = None
 ) -> StreamingQuery:
-    """Copy new message files into the message table; a restart continues where it stopped."""
-    writer = message_stream(spark, src, schema).writeStream.format("parquet").option("checkpointLocation", ckpt)
+    """Copy new message files into the message table; a restart continues where it stopped.
+
+    The table gets its flag columns and one folder per month here, where each row is
+    touched once anyway.
+    """
+    flagged = with_flags(message_stream(spark, src, schema))
+    writer = flagged.writeStream.format("parquet").option("checkpointLocation", ckpt).partitionBy("month")
     return _start(writer.option("path", dst).outputMode("append"), every)
 
 
@@ -85,8 +91,8 @@ def running_stats(messages: DataFrame) -> DataFrame:
     return messages.groupBy(sender_key("sender.email").alias("sender_email")).agg(
         F.count(F.lit(1)).alias("email_count"),
         F.count_if(F.array_contains("labels", UNREAD)).alias("unread_count"),
-        F.count_if(F.array_contains("labels", STARRED)).alias("starred_count"),
-        F.count_if(F.array_contains("labels", INBOX)).alias("inbox_count"),
+        F.count_if(has_label(messages, STARRED)).alias("starred_count"),
+        F.count_if(has_label(messages, INBOX)).alias("inbox_count"),
         F.min("date_received").alias("first_email_date"),
         F.max("date_received").alias("last_email_date"),
     )

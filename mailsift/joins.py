@@ -9,6 +9,8 @@ from mailsift.ranking import hot_keys
 
 # Rows of one key from which on its rows are spread over several tasks.
 HOT_ROWS = 1_000_000
+# Rows of a hot key that its check expects to see.
+SAMPLED_ROWS = 10_000
 # Tasks that share the rows of one hot key.
 SPREAD = 64
 # Hot keys that may be broadcast: a table of n rows has at most n / HOT_ROWS of them.
@@ -26,12 +28,15 @@ def spread_join(
 ) -> DataFrame:
     """Join ``large`` to ``keyed``, which has one row per ``key``.
 
-    A check counts the rows per key (one column, reduced map-side). Usually no key is hot
-    and the plain join is returned. Otherwise the rows of hot keys are salted by column
+    A check estimates the rows per key from a sample of the key column. Usually no key is
+    hot and the plain join is returned. Otherwise the rows of hot keys are salted by column
     ``by``, and the rows of ``keyed`` with a hot key are copied once per salt. Inner, left,
-    semi and anti joins all keep their meaning, as every row still meets its one partner.
+    semi and anti joins all keep their meaning, as every row still meets its one partner;
+    which keys the check picks has no effect on the result.
     """
-    hot = hot_keys(large.select(key), key, hot_rows)
+    share = min(1.0, SAMPLED_ROWS / hot_rows)
+    probe = large.select(key) if share == 1.0 else large.select(key).sample(share, seed=1)
+    hot = hot_keys(probe, key, int(hot_rows * share))
     if hot is None:
         return large.join(keyed, key, how)
     hot = hot.withColumn("_hot", F.lit(True))

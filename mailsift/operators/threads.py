@@ -94,12 +94,13 @@ def _short_threads(entries: DataFrame) -> DataFrame:
 def _long_threads(entries: DataFrame) -> DataFrame:
     """Parts of long threads: a range sort cuts each thread into ordered runs of bounded size."""
     arrived = entries.withColumn("_arrival", arrival_order("date_received", "ingest_seq"))
-    first = arrived.groupBy("thread_id", "email").agg(F.min("_arrival").alias("_first"))
-    marked = arrived.join(first, ["thread_id", "email"])
+    # First appearances are joined on the arrival, which is unique, not on the sender, who may be hot.
+    first = arrived.groupBy("thread_id", "email").agg(F.min("_arrival").alias("_arrival"))
+    newcomers = first.select("thread_id", "_arrival", F.col("email").alias("newcomer"))
+    marked = arrived.join(newcomers, ["thread_id", "_arrival"], "left")
     placed = marked.repartitionByRange("thread_id", "_arrival").sortWithinPartitions("thread_id", "_arrival")
     parted = placed.withColumn("part_no", F.expr(f"monotonically_increasing_id() div {LONG_PART_MESSAGES}"))
-    newcomer = F.when(F.col("_arrival") == F.col("_first"), F.col("email"))
-    listed = F.array_sort(F.collect_list(F.struct("_arrival", "message_id", newcomer.alias("newcomer"), "content")))
+    listed = F.array_sort(F.collect_list(F.struct("_arrival", "message_id", "newcomer", "content")))
     return parted.groupBy("thread_id", "part_no").agg(listed.alias("_m")).select(
         "thread_id",
         "part_no",
@@ -122,8 +123,9 @@ def collapse_threads(
     full = messages if bodies is None else with_bodies(messages, bodies)
     if long_ids is None:
         return _short_threads(_entries(full))
-    short = _short_threads(_entries(spread_join(full, long_ids, "thread_id", "left_anti")))
-    long = spread_join(full, long_ids, "thread_id", "left_semi")
+    # The ids are a small written table, so these joins broadcast it or split the long threads.
+    short = _short_threads(_entries(full.join(long_ids, "thread_id", "left_anti")))
+    long = full.join(long_ids, "thread_id", "left_semi")
     return short.unionByName(_long_threads(_entries(long)).join(thread_heads(long), "thread_id"))
 
 

@@ -101,10 +101,14 @@ def _pick(df: DataFrame, key: Sequence[Column | str], choose, order: Column) ->
 
 
 def hot_keys(df: DataFrame, key: str | Sequence[str], bound: int) -> DataFrame | None:
-    """Keys with more than ``bound`` rows, or None when a check finds none."""
+    """Keys with more than ``bound`` rows, or None when a check finds none.
+
+    The usual answer is None and costs one map-side reduced count. Found keys are written
+    down, since several joins use them; the small table also tells the planner its size.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound).drop("_n")
-    return None if hot.isEmpty() else hot
+    return None if hot.isEmpty() else durable(hot, "hot-keys")
 
 
 def computed_once(df: DataFrame) -> DataFrame:

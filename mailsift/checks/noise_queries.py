@@ -451,6 +451,16 @@ def j10(v):
     )
 
 
+@query(
+    "s18_reviewed_types",
+    f"""SELECT s.sender_email, coalesce(m.reviewed_sender_type, s.sender_type) AS sender_type,
+        CASE WHEN m.reviewed_sender_type IS NOT NULL THEN TIMESTAMP '{NOW}' END AS reviewed_at
+        FROM v_state s LEFT JOIN v_manifest m USING (sender_email)""",
+)
+def s18(v):
+    return apply_review(scored_state(v), manifest(v), NOW).select("sender_email", "sender_type", "reviewed_at")
+
+
 @query(
     "j11_update_audit",
     f"""SELECT s.sender_email, coalesce(m.user_decision, '') AS user_decision, coalesce(m.reviewed_sender_type, m.presented_sender_type, s.sender_type) AS sender_type,

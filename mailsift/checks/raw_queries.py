@@ -146,6 +146,14 @@ def n4(v):
     )
 
 
+@query(
+    "n6_unread_and_subject",
+    "SELECT id AS message_id, is_unread, coalesce(subject, '(no subject)') AS subject FROM v_gmail WHERE reason = ''",
+)
+def n6(v):
+    return normalize.normalize_gmail(v.raw_gmail)[0].select("message_id", "is_unread", "subject")
+
+
 @query("n5_category", "SELECT ingest_seq, CASE category WHEN 'forums' THEN 'unknown' ELSE category END AS category FROM v_raw")
 def n5(v):
     return v.raw_gmail.select("ingest_seq", address.infer_category("labelIds").alias("category"))

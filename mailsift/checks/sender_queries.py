@@ -433,3 +433,85 @@ def x7(v):
         measure.two_decimals("value").alias("two"),
         measure.thousands(F.col("event_id") * 1000).alias("big"),
     )
+
+
+@query("x2_local_part", "SELECT DISTINCT sender_email, lower(split_part(sender_email, '@', 1)) AS local_part FROM v_messages")
+def x2(v):
+    return v.flat.select("sender_email").distinct().select("sender_email", address.local_part("sender_email").alias("local_part"))
+
+
+@query(
+    "x3_freemail_domain",
+    f"SELECT sender_email, email_count, regexp_matches(sender_email, '@(.*\\.)?(yahoo\\.co\\.uk|gmail\\.com|example\\.org)$') AS listed FROM v_stats",
+)
+def x3(v):
+    listed = address.in_domains(address.domain("sender_email"), ["yahoo.co.uk", "gmail.com", "example.org"])
+    return stats(v).select("sender_email", "email_count", listed.alias("listed"))
+
+
+@query("x5_query_dates", "SELECT strftime(date_received, '%Y/%m/%d') AS query_date, count(*) AS n FROM v_messages GROUP BY 1")
+def x5(v):
+    return v.messages.groupBy(measure.query_date("date_received").alias("query_date")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x6_iso_instants", "SELECT message_id, strftime(date_received, '%Y-%m-%dT%H:%M:%S.%gZ') AS instant FROM v_mail")
+def x6(v):
+    return v.mail.select("message_id", measure.iso_instant("date_received").alias("instant"))
+
+
+@query("x8_two_decimals", "SELECT sender_email, floor(unread_ratio * 100 + CAST(0.5 AS DOUBLE)) / 100 AS ratio FROM v_stats")
+def x8(v):
+    return stats(v).select("sender_email", measure.two_decimals("unread_ratio").alias("ratio"))
+
+
+@query("x9_thousands", "SELECT doc_id, format('{:,}', n_chars * 1000) AS chars FROM documents")
+def x9(v):
+    return v.table("documents").select("doc_id", measure.thousands(F.col("n_chars") * 1000).alias("chars"))
+
+
+@query(
+    "x14_within_a_year",
+    f"SELECT thread_id, last_date >= TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY AS recent FROM v_heads",
+)
+def x14(v):
+    from mailsift.operators.threads import thread_heads
+
+    return thread_heads(v.mail).select("thread_id", measure.within_days("last_date", AS_OF).alias("recent"))
+
+
+OVERRIDES = "split_part(sender_email, '@', 1) IN ('noreply','no-reply','notifications')"
+
+
+@query("s2_noreply_override", f"SELECT sender_email, confidence_tier, recommended_action FROM v_state WHERE {OVERRIDES}")
+def s2(v):
+    noreply = address.local_part("sender_email").isin(scoring.NOREPLY_LOCAL_PARTS)
+    return scored_state(v).filter(noreply).select("sender_email", "confidence_tier", "recommended_action")
+
+
+@query("s4_noise_score", "SELECT sender_email, round(noise_score, 9) AS noise_score FROM v_state WHERE noise_score IS NOT NULL")
+def s4(v):
+    scored = scored_state(v).filter(F.col("noise_score").isNotNull())
+    return scored.select("sender_email", F.round("noise_score", 9).alias("noise_score"))
+
+
+@query(
+    "s5_type_noise",
+    """SELECT sender_type, category, count(*) AS senders, round(min(noise_score), 9) AS low, round(max(noise_score), 9) AS high
+       FROM v_state GROUP BY 1, 2""",
+)
+def s5(v):
+    return scored_state(v).groupBy("sender_type", "category").agg(
+        F.count(F.lit(1)).alias("senders"),
+        F.round(F.min("noise_score"), 9).alias("low"),
+        F.round(F.max("noise_score"), 9).alias("high"),
+    )
+
+
+@query("s6_tiers", "SELECT confidence_tier, recommended_action, count(*) AS senders FROM v_state GROUP BY 1, 2")
+def s6(v):
+    return scored_state(v).groupBy("confidence_tier", "recommended_action").agg(F.count(F.lit(1)).alias("senders"))
+
+
+@query("s7_surprises", "SELECT sender_email, surprises_flag FROM v_state")
+def s7(v):
+    return scored_state(v).select("sender_email", "surprises_flag")

@@ -13,6 +13,7 @@ from mailsift.operators.labels import REQUEST_IDS, request_rows
 from mailsift.operators.packing import pack_or_queries
 from mailsift.ranking import number_by_sequence
 from mailsift.schema import INBOX, NOISE_LABEL, UNREAD
+from mailsift.session import durable
 
 # Labels outside the mailbox scope.
 OUT_OF_SCOPE = ["SPAM", "TRASH", "DRAFT", "SENT"]
@@ -62,8 +63,13 @@ def add_noise_category(messages: DataFrame, label: str = NOISE_LABEL) -> DataFra
 
 
 def sweep_plan(messages: DataFrame, decisions: DataFrame, size: int = REQUEST_IDS) -> DataFrame:
-    """Modify requests over the inbox messages of noise senders."""
-    found = noise_in_inbox(messages, noise_senders(decisions)).select("message_id", "ingest_seq")
+    """Modify requests over the inbox messages of noise senders.
+
+    The noise senders are written down first: numbering reads the sweep twice, and the
+    decision log should be reduced once.
+    """
+    noise = durable(noise_senders(decisions), "noise-senders")
+    found = noise_in_inbox(messages, noise).select("message_id", "ingest_seq")
     plan = request_rows(found, [], size)
     return plan.withColumn("add_labels", _labels(NOISE_LABEL)).withColumn("remove_labels", _labels(INBOX))
 
@@ -96,6 +102,7 @@ def cap_per_sender(
     active = senders.select("sender_key").distinct()
     if max_senders is not None:
         active = active.orderBy("sender_key").limit(max_senders)
+    active = durable(active, "active-senders")
     keyed = messages.withColumn("sender_key", sender_key("sender.email"))
     own = spread_join(keyed, active, "sender_key", "left_semi").select("sender_key", "message_id", "ingest_seq")
     if max_messages is None:

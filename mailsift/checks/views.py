@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailsift.session import apply_settings
+
 AS_OF = "2024-02-15 00:00:00"
 SINCE = "2024-01-25 00:00:00"
 STORED_BEFORE = "2024-01-15 00:00:00"
@@ -144,7 +146,7 @@ class Views:
     """The views as DataFrames for one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = apply_settings(spark), sf_dir
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

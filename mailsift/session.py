@@ -26,6 +26,13 @@ def configure(builder):
     return builder
 
 
+def apply_settings(spark: SparkSession) -> SparkSession:
+    """Apply the engine's settings to a session that something else built."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 

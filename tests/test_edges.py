@@ -280,6 +280,15 @@ def test_write_sender_state_checks_first(spark, tmp_path):
     assert rows(spark.read.parquet(path), "email_count") == [(2,)]
 
 
+def test_report_and_audit_files(spark, tmp_path):
+    lines = spark.createDataFrame([(1, "b"), (0, "a"), (2, "")], "section int, line string")
+    writers.write_lines(lines, ["section"], str(tmp_path / "report"))
+    files = sorted((tmp_path / "report").glob("part-*"))
+    assert "".join(f.read_text() for f in files) == "a\nb\n\n"
+    writers.write_audit(spark.createDataFrame([("a@x.org", "85%")], "sender_email string, unread_ratio string"), str(tmp_path / "audit"))
+    assert "sender_email,unread_ratio\na@x.org,85%" in next((tmp_path / "audit").glob("part-*")).read_text()
+
+
 # --- streams ----------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import language, packing
+from mailsift.llm import fingerprints, language, mixing, packing, secrets
 from mailsift.llm.common import read_table
 
 # The byte-level vocabulary of the packing query, in both of its forms.
@@ -26,6 +26,19 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(read_table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secrets.digest(secrets.scan(docs))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.train_and_identify(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -33,6 +46,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_harmonic_packing": op3_harmonic_packing,
+    "op4_merkle_fingerprints": op4_merkle_fingerprints,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_source_mix": op6_source_mix,
     "op9_language_id": op9_language_id,
 }
 

@@ -117,40 +117,37 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """``docs`` with ``_spans``: all base spans, and the other spans of live-looking values.
+    """``doc``, the row as a struct, and ``spans``: all base spans, and the other spans of live-looking values.
 
     A span has start, kind (a place in KINDS), end, and live: whether fewer than
     ``example_owners`` distinct sources carry the value. A null source is one owner.
     Null and empty texts have no spans; repeated rows are scanned one by one and count as
-    documents of their own. Other columns pass through, whatever their names.
+    documents of their own. Further columns are carried in the struct, whatever their names.
     """
-    rows = docs.withColumns(
-        {
-            "_spans_row": F.monotonically_increasing_id(),
-            "_spans": candidates(F.coalesce(F.col("text").cast("string"), F.lit(""))),
-        }
+    rows = staged(
+        docs.select(
+            F.monotonically_increasing_id().alias("row"),
+            F.struct("*").alias("doc"),
+            candidates(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("found"),
+        ),
+        "secret-spans",
     )
-    rows = staged(rows, "secret-spans")
-    found = rows.filter(F.size("_spans") > 0).select("_spans_row", "source", F.explode("_spans").alias("m"))
-    found = found.select("_spans_row", "source", "m.*")
-    owners = ownership(found.dropDuplicates(["_spans_row", "value"]))
+    held = rows.filter(F.size("found") > 0)
+    found = held.select("row", F.col("doc.source").alias("source"), F.explode("found").alias("m"))
+    found = found.select("row", "source", "m.*")
+    owners = ownership(found.dropDuplicates(["row", "value"]))
     judged = (
         found.join(owners, "value")
         .withColumn("live", F.col("owners") < example_owners)
         .filter(F.col("live") | (F.col("kind") < KINDS.index("value")))
-        .groupBy("_spans_row")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("_judged"))
+        .groupBy("row")
+        .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("spans"))
     )
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,live:boolean>>")
-    plain = rows.filter(F.size("_spans") == 0).withColumn("_spans", none).drop("_spans_row")
-    held = (
-        rows.filter(F.size("_spans") > 0)
-        .drop("_spans")
-        .join(judged, "_spans_row", "left")
-        .withColumn("_spans", F.coalesce("_judged", none))
-        .drop("_spans_row", "_judged")
+    plain = rows.filter(F.size("found") == 0).select("doc", none.alias("spans"))
+    return plain.unionByName(
+        held.join(judged, "row", "left").select("doc", F.coalesce("spans", none).alias("spans"))
     )
-    return plain.unionByName(held)
 
 
 def spelled(spans: Column) -> Column:
@@ -169,23 +166,23 @@ def spelled(spans: Column) -> Column:
 
 def digest(scanned: DataFrame) -> DataFrame:
     """Counts and digest of the spans of a scanned table."""
-    base = F.filter("_spans", lambda s: s["kind"] < KINDS.index("value"))
-    count = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < KINDS.index("value"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return scanned.select(
-        "doc_id",
+        "doc.doc_id",
         *[count(k).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(spelled(base), 256).alias("base_sha256"),
-        spelled(F.col("_spans")).alias("spans"),
-        F.size(F.filter("_spans", lambda s: s["live"])).cast("long").alias("n_live"),
+        spelled(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
     )
 
 
-def redact(scanned: DataFrame, columns: list[str]) -> DataFrame:
-    """The scanned documents with live secrets replaced; n_chars follows the new text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def redact(scanned: DataFrame) -> DataFrame:
+    """The scanned documents, their live secrets replaced; n_chars follows the new text."""
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     hidden = F.aggregate(
-        F.filter("_spans", lambda s: s["live"]),
+        F.filter("spans", lambda s: s["live"]),
         start,
         lambda a, s: F.struct(
             F.when(
@@ -202,10 +199,9 @@ def redact(scanned: DataFrame, columns: list[str]) -> DataFrame:
         ),
         lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2**31 - 1))),
     )
-    live = F.exists("_spans", lambda s: s["live"])
-    changed = scanned.withColumn("text", F.when(live, hidden).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        changed = changed.withColumn(
-            "n_chars", F.when(live, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-        )
-    return changed.select(*columns)
+    live = F.exists("spans", lambda s: s["live"])
+    changed = scanned.withColumn("text", F.when(live, hidden).otherwise(F.col("doc.text")))
+    chars = F.when(live, F.char_length("text").cast("long")).otherwise(F.col("doc.n_chars"))
+    columns = scanned.schema["doc"].dataType.names
+    replaced = {"text": F.col("text"), "n_chars": chars}
+    return changed.select(*[replaced.get(c, F.col(f"doc.`{c}`")).alias(c) for c in columns])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import fingerprints, language, mixing, packing, secrets
+from mailsift.llm import fingerprints, language, mixing, packing, privacy, secrets
 from mailsift.llm.common import read_table
 
 # The byte-level vocabulary of the packing query, in both of its forms.
@@ -39,6 +39,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digest(privacy.scan(read_table(spark, sf_dir, "documents")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.train_and_identify(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -49,6 +53,7 @@ QUERIES = {
     "op4_merkle_fingerprints": op4_merkle_fingerprints,
     "op5_secret_scan": op5_secret_scan,
     "op6_source_mix": op6_source_mix,
+    "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
 }
 

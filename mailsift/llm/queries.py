@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import fingerprints, language, mixing, neardup, packing, privacy, secrets
+from mailsift.llm import fingerprints, language, mixing, neardup, neighbours, packing, privacy, secrets
 from mailsift.llm.common import read_table
 
 # The byte-level vocabulary of the packing query, in both of its forms.
@@ -52,6 +52,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.train_and_identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op2_minhash_forest": op2_minhash_forest,
     "op3_harmonic_packing": op3_harmonic_packing,
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_source_mix": op6_source_mix,
     "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
+    "op10_projection_forest": op10_projection_forest,
 }
 
 ORACLES: dict[str, str] = {}

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailsift.llm.common import staged
+
 # Borders of sections and paragraphs, and the leaves; in a row, leaves make up the text.
 SECTION = r"(?<=\n\n)(?!\n)"
 PARAGRAPH = r"(?<=\n)(?!\n)"
@@ -115,13 +117,13 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     ids = rows.select("doc_id").dropna().withColumn("g", F.shiftright("doc_id", SPAN_BITS))
-    first = ids.groupBy("g").agg(F.min("doc_id").alias("first"))
+    first = staged(ids.groupBy("g").agg(F.min("doc_id").alias("first")), "merkle-windows")
     after = following(first.select(F.col("g").alias("k")))
     ends = first.agg(F.min("g").alias("low"), F.max("g").alias("high"))
     nexts = after.crossJoin(F.broadcast(ends)).select(
         F.col("k").alias("home"), F.coalesce("after", "low").alias("g")
     )
-    guests = nexts.join(first, "g").select(F.col("first").alias("guest_id"), "home")
+    guests = staged(nexts.join(first, "g").select(F.col("first").alias("guest_id"), "home"), "merkle-guests")
     placed = rows.join(guests, F.col("doc_id") == F.col("guest_id"), "left").select(
         "doc_id",
         "text",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +30,27 @@ def fold(doc_id: Column | str, modulus: int) -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Bits of a filter of keys. The filter only spares work: keys that it lets through by
+# chance are joined away, so a filter that has filled up makes nothing wrong.
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame, hashed: Column, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit for each key's 64-bit hash; the size is fixed, whatever the number of keys."""
+    words = (
+        keys.select(F.pmod(hashed, F.lit(bits)).alias("bit"))
+        .groupBy(F.expr("bit div 64").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+        .toArrow()
+    )
+    table = np.zeros(bits // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return table
+
+
+def may_hold(table: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Which of the hashes a filter lets through."""
+    bit = np.mod(hashed, np.int64(len(table) * 64))
+    return (table[bit >> 6] >> (bit & 63)) & 1 == 1

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import staged
+from mailsift.llm.common import key_filter, may_hold, staged
 
 # The base patterns in the order of their kinds.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -137,26 +137,15 @@ def candidate_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float =
     )
 
 
-def term_filter(pairs: DataFrame) -> np.ndarray:
-    """A bit filter of the candidate terms; its size is fixed, whatever their number."""
-    words = (
-        pairs.select(F.expr(f"pmod(term, {FILTER_BITS})").alias("bit"))
-        .groupBy(F.expr("bit div 64").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-        .toArrow()
-    )
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return table
-
-
 def marks(text: str, table: np.ndarray | None) -> list[tuple[int, int, int, int]]:
     """Base spans, and the terms that may be candidates: (start, kind, end, term hash)."""
     base = [(s, k, e, 0) for s, k, e, _ in entities(text)]
     if table is None:
         return base
     words = {w: _hash(w.lower()) for w in set(TERM.findall(text))}
-    hits = {w: h for w, h in words.items() if table[h % FILTER_BITS >> 6] >> (h & 63) & 1}
+    spelled = list(words)
+    held = may_hold(table, np.array([words[w] for w in spelled], np.int64))
+    hits = {spelled[i]: words[spelled[i]] for i in np.flatnonzero(held)}
     if hits:
         base += [(m.start(), 4, m.end(), hits[m[0]]) for m in TERM.finditer(text) if m[0] in hits]
     return sorted(base)
@@ -171,7 +160,7 @@ def scan(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pairs = staged(candidate_terms(rows, support, disclosure), "privacy-candidates")
-    bits = term_filter(pairs)
+    bits = key_filter(pairs, F.col("term"), FILTER_BITS)
     table = docs.sparkSession.sparkContext.broadcast(bits if bits.any() else None)
     mark = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("term", pa.int64())]))
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import fingerprints, language, mixing, neardup, neighbours, packing, privacy, secrets
+from mailsift.llm import fingerprints, language, mixing, neardup, neighbours, packing, privacy, repeats, secrets
 from mailsift.llm.common import read_table
 
 # The byte-level vocabulary of the packing query, in both of its forms.
@@ -19,6 +19,10 @@ def tokenizer_files() -> tuple[str, str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
 def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), width=4)
 
@@ -57,6 +61,7 @@ def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_forest": op2_minhash_forest,
     "op3_harmonic_packing": op3_harmonic_packing,
     "op4_merkle_fingerprints": op4_merkle_fingerprints,

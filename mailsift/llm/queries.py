@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import fingerprints, language, mixing, neardup, neighbours, packing, privacy, repeats, secrets
+from mailsift.llm import fingerprints, language, mixing, neardup, neighbours, ngrams, packing, privacy, repeats, secrets
 from mailsift.llm.common import read_table
 
 # The byte-level vocabulary of the packing query, in both of its forms.
@@ -47,6 +47,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(read_table(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.digest(privacy.scan(read_table(spark, sf_dir, "documents")))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op4_merkle_fingerprints": op4_merkle_fingerprints,
     "op5_secret_scan": op5_secret_scan,
     "op6_source_mix": op6_source_mix,
+    "op7_ngram_trie": op7_ngram_trie,
     "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
     "op10_projection_forest": op10_projection_forest,

@@ -111,12 +111,36 @@ def mix(
     are one source, the last; a null doc_id is carried and placed like any value. Rows
     that repeat are separate documents. An empty table gives an empty result.
     """
+    sized = docs.select(
+        F.monotonically_increasing_id().alias("_row"), "doc_id", "source", word_count("text").alias("size")
+    )
+    return _mix(staged(sized, "mix-sizes"), weights, repeats, blocks, shard_rows, seed).drop("_row")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The documents of the mix: every row as often as its words are taken, to the nearest whole copy.
+
+    At most one document of a shard is taken in part; it counts if half of it is taken.
+    """
+    rows = staged(
+        docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("doc")), "mix-documents"
+    )
     sized = staged(
-        docs.select("doc_id", "source", word_count("text").alias("size")).withColumn(
-            "_row", F.monotonically_increasing_id()
-        ),
-        "mix-sizes",
+        rows.select("_row", "doc.doc_id", "doc.source", word_count("doc.text").alias("size")), "mix-sizes"
     )
+    taken = _mix(sized, **options).filter("taken > 0").select("_row", F.round(F.col("taken") / F.col("size")).alias("copies"))
+    copies = taken.filter("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.join(copies.select("_row"), "_row").select("doc.*")
+
+
+def _mix(
+    sized: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    repeats: int = REPEATS,
+    blocks: int = BLOCKS,
+    shard_rows: int = SHARD_ROWS,
+    seed: int = SEED,
+) -> DataFrame:
     sources = targets(
         sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")),
         weights,
@@ -158,6 +182,7 @@ def mix(
         placed.withColumn("_before", before)
         .join(won, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_p")))
         .select(
+            "_row",
             "doc_id",
             "size",
             "source_size",

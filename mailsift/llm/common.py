@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,19 @@ def may_hold(table: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     """Which of the hashes a filter lets through."""
     bit = np.mod(hashed, np.int64(len(table) * 64))
     return (table[bit >> 6] >> (bit & 63)) & 1 == 1
+
+
+def let_through(df: DataFrame, column: str, table: np.ndarray) -> DataFrame:
+    """The rows of ``df`` whose bigint ``column`` is not null and passes a filter of its values.
+
+    Used before a shuffle of wide rows; the exact join still follows.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(column)
+            good = may_hold(shared.value, keys.fill_null(0).to_numpy())
+            yield batch.filter(pc.and_(pa.array(good), keys.is_valid()))
+
+    return df.mapInArrow(run, df.schema)

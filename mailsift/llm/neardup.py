@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import staged
+from mailsift.llm.common import key_filter, let_through, staged
 from mailsift.llm.graphs import components
 
 # Trees and labels of 16 bits in each. Two texts of likeness 0.8 agree in the first
@@ -209,7 +209,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, likeness: int = 80) -> Data
     nodes = sets.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).select("doc_id", "signature")
     pairs = staged(candidates(nodes), "forest-pairs")
     members = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    texts = staged(rows.join(members, "doc_id", "left_semi").distinct(), "forest-texts")
+    members = staged(members, "forest-members")
+    likely = let_through(rows, "doc_id", key_filter(members, F.col("doc_id")))
+    texts = staged(likely.join(members, "doc_id", "left_semi").distinct(), "forest-texts")
     links = staged(confirmed(pairs.filter("first"), texts, width, likeness), "forest-links")
     # Rows of one id with several texts tie the classes they stand for together.
     ties = sets.join(classes, "key").filter("doc_id <> rep").select(F.col("rep").alias("x"), F.col("doc_id").alias("y"))

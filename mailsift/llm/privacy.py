@@ -37,6 +37,8 @@ DISCLOSURE = 0.9
 SUPPORT = 2
 # Bits of the filter that finds candidate terms; false hits are joined away.
 FILTER_BITS = 1 << 23
+# Documents that a worker looks into at once.
+BATCH_ROWS = 1000
 
 
 def luhn(digits: str) -> bool:
@@ -98,6 +100,10 @@ def near_terms(text: str, start: int, end: int) -> tuple[set[str], int]:
     return {*before, *after}, _hash(" ".join([*before, "|", *after]))
 
 
+# Stands for whichever entity in the count of a term's documents near any of them.
+ANY = 0
+
+
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (term, entity, surroundings), as hashes, once per document."""
     names = ["term", "entity", "near"]
@@ -108,7 +114,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for start, kind, end, value in entities(text or ""):
                 terms, near = near_terms(text, start, end)
                 met |= {(_hash(t), _hash(f"{kind}:{value}"), near) for t in terms}
-            out += sorted(met)
+            out += sorted(met | {(t, ANY, 0) for t, _, _ in met})
         table = np.array(out, np.int64).reshape(-1, 3)
         yield pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(3)], names=names)
 
@@ -128,50 +134,81 @@ def candidate_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float =
         F.sum("documents").alias("together"), F.count(F.lit(1)).alias("surroundings")
     )
     pairs = staged(pairs, "privacy-pairs")
-    most = pairs.groupBy("term").agg(F.max("together").alias("at_least"))
+    near_any = pairs.filter(F.col("entity") == ANY).select("term", F.col("together").alias("at_least"))
     return (
-        pairs.filter(F.col("surroundings") >= support)
-        .join(most, "term")
+        pairs.filter((F.col("entity") != ANY) & (F.col("surroundings") >= support))
+        .join(near_any, "term")
         .filter(F.col("together") >= disclosure * F.col("at_least"))
         .select("term", "entity", "together")
     )
 
 
-def marks(text: str, table: np.ndarray | None) -> list[tuple[int, int, int, int]]:
-    """Base spans, and the terms that may be candidates: (start, kind, end, term hash)."""
-    base = [(s, k, e, 0) for s, k, e, _ in entities(text)]
-    if table is None:
-        return base
-    words = {w: _hash(w.lower()) for w in set(TERM.findall(text))}
-    spelled = list(words)
-    held = may_hold(table, np.array([words[w] for w in spelled], np.int64))
-    hits = {spelled[i]: words[spelled[i]] for i in np.flatnonzero(held)}
-    if hits:
-        base += [(m.start(), 4, m.end(), hits[m[0]]) for m in TERM.finditer(text) if m[0] in hits]
-    return sorted(base)
+def held_terms(text: str, table: np.ndarray) -> dict[str, int]:
+    """The spellings in a text that a filter of terms lets through, with their hashes."""
+    words = list(set(TERM.findall(text)))
+    hashes = np.array([_hash(w.lower()) for w in words], np.int64)
+    return {words[i]: int(hashes[i]) for i in np.flatnonzero(may_hold(table, hashes))}
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most BATCH_ROWS rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
+def term_documents(rows: DataFrame, table: np.ndarray) -> DataFrame:
+    """(term, documents): in how many documents the terms of a filter are."""
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            found: list[int] = []
+            if shared.value.any():
+                for text in batch.column("text").to_pylist():
+                    found += set(held_terms(text or "", shared.value).values())
+            terms, counts = np.unique(np.array(found, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], names=["term", "n"])
+
+    counted = rows.select("text").mapInArrow(run, "term long, n long")
+    return counted.groupBy("term").agg(F.sum("n").alias("documents"))
+
+
+def disclosing_terms(rows: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """Terms of which some entity stands near in at least ``disclosure`` of their documents."""
+    pairs = staged(candidate_terms(rows, support, disclosure), "privacy-candidates")
+    spread = term_documents(rows, key_filter(pairs, F.col("term"), FILTER_BITS))
+    told = pairs.join(spread, "term").filter(F.col("together") >= disclosure * F.col("documents"))
+    return staged(told.select("term").distinct(), "privacy-terms")
 
 
 def scan(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """doc_id, text and ``spans`` (start, kind, end): entities and disclosing terms.
+    """doc_id and ``spans`` (start, kind, end): entities and disclosing terms.
 
     Null and empty texts have no spans. A null doc_id is carried; repeated rows are
     documents of their own with equal spans. Only doc_id and text are read; terms inside
     an entity are not marked. Counts are taken over all documents.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pairs = staged(candidate_terms(rows, support, disclosure), "privacy-candidates")
-    bits = key_filter(pairs, F.col("term"), FILTER_BITS)
-    table = docs.sparkSession.sparkContext.broadcast(bits if bits.any() else None)
-    mark = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("term", pa.int64())]))
+    disclosing = disclosing_terms(rows, disclosure, support)
+    table = docs.sparkSession.sparkContext.broadcast(key_filter(disclosing, F.col("term"), FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [
-                [dict(zip(("start", "kind", "end", "term"), m)) for m in marks(t or "", table.value)]
-                for t in batch.column("text").to_pylist()
-            ]
+        some = table.value.any()
+        for batch in _parts(batches):
+            marks, sizes = [], []
+            for text in batch.column("text").to_pylist():
+                found = [(s, k, e, 0) for s, k, e, _ in entities(text or "")]
+                if some and (hits := held_terms(text or "", table.value)):
+                    found += [(m.start(), 4, m.end(), hits[m[0]]) for m in TERM.finditer(text) if m[0] in hits]
+                marks += found
+                sizes.append(len(found))
+            flat = np.array(marks, np.int64).reshape(-1, 4)
+            fields = [pa.array(flat[:, 0]), pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2]), pa.array(flat[:, 3])]
+            structs = pa.StructArray.from_arrays(fields, names=["start", "kind", "end", "term"])
+            offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found, mark)], names=["doc_id", "marks"]
+                [batch.column("doc_id"), pa.ListArray.from_arrays(offsets, structs)], names=["doc_id", "marks"]
             )
 
     marked = rows.mapInArrow(run, "doc_id long, marks array<struct<start:long,kind:int,end:long,term:long>>")
@@ -179,13 +216,11 @@ def scan(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
     base = F.transform(
         F.filter("marks", lambda m: m["kind"] < 4), lambda m: F.struct(m["start"], m["kind"], m["end"])
     )
-    terms = marked.select("row", F.explode("marks").alias("m")).filter("m.kind = 4").select("row", "m.*")
-    spread = terms.select("row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
-    disclosing = (
-        pairs.join(spread, "term").filter(F.col("together") >= disclosure * F.col("documents")).select("term").distinct()
-    )
     kept = (
-        terms.join(disclosing, "term")
+        marked.select("row", F.explode("marks").alias("m"))
+        .filter("m.kind = 4")
+        .select("row", "m.*")
+        .join(disclosing, "term")
         .groupBy("row")
         .agg(F.collect_list(F.struct("start", "kind", "end")).alias("terms"))
     )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,9 +53,32 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+# The run whose folder staged tables go to; None stands for the application's own.
+_run: contextvars.ContextVar[str | None] = contextvars.ContextVar("mailsift_run", default=None)
+
+
+def _run_folder(spark: SparkSession, run: str | None) -> str:
+    return f"{scratch_root(spark)}/mailsift/{run or spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the scratch root."""
-    return f"{scratch_root(spark)}/mailsift/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the folder of the current run."""
+    return f"{_run_folder(spark, _run.get())}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """A run with a folder of its own, deleted at the end; what it staged must be used up by then.
+
+    Runs at the same time, also of other applications on the same root, do not see each other.
+    """
+    name = f"run-{uuid.uuid4().hex}"
+    token = _run.set(name)
+    try:
+        yield _run_folder(spark, name)
+    finally:
+        _run.reset(token)
+        _delete(spark, _run_folder(spark, name))
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
@@ -67,7 +93,10 @@ def durable(df: DataFrame, label: str) -> DataFrame:
 
 
 def release_scratch(spark: SparkSession) -> None:
-    """Delete the staged tables of this engine; call once a job is over."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/mailsift")
+    """Delete what this application staged outside of runs; call once its jobs are over."""
+    _delete(spark, _run_folder(spark, None))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

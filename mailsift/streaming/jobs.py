@@ -14,8 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mailsift.functions.address import sender_key
 from mailsift.functions.flags import has_label, with_flags
-from mailsift.operators.noise import sweep_plan
-from mailsift.schema import INBOX, MESSAGE, STARRED, UNREAD
+from mailsift.operators.noise import in_scope, sweep_plan
+from mailsift.schema import INBOX, MESSAGE, STARRED
+from mailsift.session import scratch_run
 
 
 def message_stream(spark: SparkSession, src: str, schema: T.StructType = MESSAGE) -> DataFrame:
@@ -55,42 +56,81 @@ def sweep_stream(
     """
 
     def sweep(batch: DataFrame, batch_id: int) -> None:
-        decisions = batch.sparkSession.read.parquet(decisions_path)
-        sweep_plan(batch, decisions).write.mode("overwrite").parquet(f"{dst}/batch={batch_id}")
+        with scratch_run(batch.sparkSession):
+            decisions = batch.sparkSession.read.parquet(decisions_path)
+            sweep_plan(batch, decisions).write.mode("overwrite").parquet(f"{dst}/batch={batch_id}")
 
     writer = message_stream(spark, src, schema).writeStream.foreachBatch(sweep).option("checkpointLocation", ckpt)
     return _start(writer, every)
 
 
-def dedupe_stream(stream: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Drop repeats of a message id that arrive within ``delay`` of mail time."""
-    return stream.withWatermark("date_received", delay).dropDuplicatesWithinWatermark(["message_id"])
+def dedupe_stream(stream: DataFrame) -> DataFrame:
+    """The first arrival of every message id, however late and in whichever order mail comes.
 
+    The ids seen so far are keyed state without an end, as mail of any age may be pulled
+    again: 16 to 30 bytes a message, spread over the shuffle partitions. For more than
+    some millions of ids per partition, let the session keep state in RocksDB
+    (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    return stream.dropDuplicates(["message_id"])
+
+
+def daily_digest(messages: DataFrame, classifications: DataFrame | None = None) -> DataFrame:
+    """(day, category, messages, unread, threads, actionable) of mail in scope, per day of receipt.
 
-def daily_volume(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Messages and unread messages per day of receipt, for the digest."""
-    return (
-        stream.withWatermark("date_received", delay)
-        .groupBy(F.window("date_received", "1 day").alias("day"))
-        .agg(F.count(F.lit(1)).alias("messages"), F.count_if("is_unread").alias("unread"))
-        .select(F.col("day.start").alias("day"), "messages", "unread")
+    ``classifications`` is (thread_id, category, actionable); a thread that it does not
+    hold is uncategorized. Threads, and actionable threads, count on each of their days.
+    """
+    day = F.date_trunc("day", "date_received").cast("timestamp_ntz").alias("day")
+    by_thread = in_scope(messages).groupBy(day, "thread_id").agg(
+        F.count(F.lit(1)).alias("messages"), F.count_if("is_unread").alias("unread")
+    )
+    if classifications is None:
+        known = by_thread.withColumns({"category": F.lit(None).cast("string"), "actionable": F.lit(False)})
+    else:
+        known = by_thread.join(classifications.select("thread_id", "category", "actionable"), "thread_id", "left")
+    return known.groupBy("day", F.coalesce("category", F.lit("uncategorized")).alias("category")).agg(
+        F.sum("messages").alias("messages"),
+        F.sum("unread").alias("unread"),
+        F.count(F.lit(1)).alias("threads"),
+        F.count_if(F.coalesce("actionable", F.lit(False))).alias("actionable"),
     )
 
 
 def digest_stream(
-    spark: SparkSession, src: str, dst: str, ckpt: str, schema: T.StructType = MESSAGE, every: str | None = None
+    spark: SparkSession,
+    src: str,
+    dst: str,
+    ckpt: str,
+    classifications_path: str | None = None,
+    schema: T.StructType = MESSAGE,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Append each day's volume once the watermark has passed it."""
-    days = daily_volume(message_stream(spark, src, schema))
-    writer = days.writeStream.format("parquet").option("checkpointLocation", ckpt).option("path", dst)
-    return _start(writer.outputMode("append"), every)
+    """Keep the digest of every day up to date, one folder per day.
+
+    A micro-batch computes anew, from all mail in ``src``, the days that its messages lie
+    in, and overwrites these days only. Late mail changes its day whenever it arrives.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        day = F.date_trunc("day", "date_received")
+        days = batch.select(day.alias("_day")).dropna().distinct()
+        stored = session.read.schema(schema).parquet(src)
+        touched = stored.withColumn("_day", day).join(days, "_day", "left_semi").drop("_day")
+        labels = session.read.parquet(classifications_path) if classifications_path else None
+        fresh = daily_digest(touched, labels).withColumn("date", F.date_format("day", "yyyy-MM-dd"))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(dst)
+
+    writer = message_stream(spark, src, schema).writeStream.foreachBatch(save).option("checkpointLocation", ckpt)
+    return _start(writer, every)
 
 
 def running_stats(messages: DataFrame) -> DataFrame:
     """Additive columns of the sender statistics; works on streams (update mode) and tables."""
     return messages.groupBy(sender_key("sender.email").alias("sender_email")).agg(
         F.count(F.lit(1)).alias("email_count"),
-        F.count_if(F.array_contains("labels", UNREAD)).alias("unread_count"),
+        F.count_if("is_unread").alias("unread_count"),
         F.count_if(has_label(messages, STARRED)).alias("starred_count"),
         F.count_if(has_label(messages, INBOX)).alias("inbox_count"),
         F.min("date_received").alias("first_email_date"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsift.checks.noise_queries import manifest
@@ -22,11 +22,17 @@ FLAT = """SELECT message_id, thread_id, sender_email AS email, sender_name AS na
   strftime(date_received, '%Y-%m-%dT%H:%M:%S.%gZ') AS received, category, label_csv AS labels, is_unread FROM v_messages"""
 
 
-@query("a1_read_messages", FLAT)
+@query(
+    "a1_read_messages",
+    f"""SELECT f.*, s.read_order FROM ({FLAT}) f JOIN (SELECT message_id, row_number() OVER (ORDER BY ingest_seq) AS read_order FROM v_messages) s USING (message_id)""",
+)
 def a1(v):
+    """Every column, and the rank of the sequence that reading gives."""
     root = scratch_path(v.spark, "shards")
     writers.write_shards(v.messages, root)
-    return flat_messages(readers.read_messages(v.spark, root))
+    read = readers.read_messages(v.spark, root)
+    rank = read.select("message_id", F.row_number().over(Window.orderBy("ingest_seq")).cast("bigint").alias("read_order"))
+    return flat_messages(read).join(rank, "message_id")
 
 
 @query(
@@ -52,11 +58,15 @@ def _folder_with_runs(v: Views) -> str:
     for run, status, category in (("run-a", "complete", "updates"), ("run-b", "failed", "forums")):
         folder = f"{root}/backfills/{run}"
         writers.write_shards(of(category), folder)
-        state = F.to_json(F.struct(F.lit(run).alias("runId"), F.lit(status).alias("status")))
-        v.spark.range(1, numPartitions=1).select(state.alias("value")).write.text(f"{folder}/backfill-checkpoint.json")
+        _checkpoint(v, folder, run, status)
     return root
 
 
+def _checkpoint(v: Views, folder: str, run: str, status: str) -> None:
+    state = F.to_json(F.struct(F.lit(run).alias("runId"), F.lit(status).alias("status")))
+    v.spark.range(1, numPartitions=1).select(state.alias("value")).write.text(f"{folder}/backfill-checkpoint.json")
+
+
 @query("a2_read_backfill", f"SELECT * FROM ({FLAT}) WHERE category = 'updates'")
 def a2(v):
     return flat_messages(readers.read_backfill(v.spark, _folder_with_runs(v)))
@@ -73,11 +83,17 @@ def a3(v):
 
 @query(
     "u2_union_messages",
-    """SELECT category, count(*) AS n FROM (SELECT * FROM v_messages UNION ALL SELECT * FROM v_messages WHERE is_unread) GROUP BY 1""",
+    """SELECT category, count(*) AS n, count(DISTINCT message_id) AS ids FROM
+       (SELECT * FROM v_messages WHERE category IN ('primary', 'updates') UNION ALL SELECT * FROM v_messages WHERE category = 'updates') GROUP BY 1""",
 )
 def u2(v):
-    both = v.messages.unionByName(v.messages.filter("is_unread"))
-    return both.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    """Root shards hold two categories; a recovery run holds one of them again."""
+    root = scratch_path(v.spark, "mailbox")
+    writers.write_shards(v.messages.filter("category IN ('primary', 'updates')"), root)
+    writers.write_shards(v.messages.filter("category = 'updates'"), f"{root}/backfills/run-a")
+    _checkpoint(v, f"{root}/backfills/run-a", "run-a", "complete")
+    counts = readers.load_all(v.spark, root).groupBy("category")
+    return counts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("message_id").alias("ids"))
 
 
 @query("a4_read_recovered", "SELECT message_id, upper(subject) AS subject FROM v_messages")
@@ -141,13 +157,16 @@ def a8(v):
 @query(
     "a9_read_decisions",
     """SELECT run_id, batch_id, sender_email, reviewed_type, user_decision, messages_archived, actions_csv AS actions_taken,
-       strftime(decided_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS decided_at FROM v_decisions""",
+       strftime(decided_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS decided_at,
+       row_number() OVER (ORDER BY ((rn - 1) // 1000) :: VARCHAR, rn) AS read_order FROM (SELECT *, row_number() OVER (ORDER BY log_seq) AS rn FROM v_decisions)""",
 )
 def a9(v):
+    """A log of many files: the read sequence orders by file name, then position."""
     log = dc.with_feedback(v.decisions).withColumn("system_recommendation", F.lit("keep")).withColumn("email_count", F.lit(1))
     record = F.struct(*_renamed(readers.DECISION_FIELDS), iso_instant("decided_at").alias("timestamp"))
     path = _envelopes(log, "log_seq", record, "decisions", "log")
-    return readers.read_decisions(v.spark, path).select(
+    order = F.row_number().over(Window.orderBy("log_seq")).cast("bigint")
+    return readers.read_decisions(v.spark, path).withColumn("read_order", order).select(
         "run_id",
         "batch_id",
         "sender_email",
@@ -156,6 +175,7 @@ def a9(v):
         "messages_archived",
         texts("actions_taken", ","),
         iso_instant("decided_at").alias("decided_at"),
+        "read_order",
     )
 
 
@@ -181,12 +201,12 @@ def a10(v):
     )
 
 
-@query("a14_read_raw_gmail", "SELECT id AS message_id, thread_id, subject FROM v_gmail WHERE reason = '' AND subject IS NOT NULL")
+@query("a14_read_raw_gmail", "SELECT id AS message_id, thread_id, coalesce(subject, '(no subject)') AS subject FROM v_gmail WHERE reason = ''")
 def a14(v):
     path = scratch_path(v.spark, "raw-gmail")
     v.raw_gmail.drop("ingest_seq").write.json(path)
     messages, _ = normalize.normalize_gmail(readers.read_raw_gmail(v.spark, path))
-    return messages.filter("subject <> '(no subject)'").select("message_id", "thread_id", "subject")
+    return messages.select("message_id", "thread_id", "subject")
 
 
 @query("a15_read_raw_graph", "SELECT id AS message_id, lower(sender_email) AS email FROM v_graph WHERE reason = ''")
@@ -240,29 +260,40 @@ def t2s(v):
     return v.spark.read.parquet(dst).select(F.explode("message_ids").alias("message_id"))
 
 
+def _newest_first(v: Views) -> list[DataFrame]:
+    """The messages in the order of a pull: the newest half year, what is older, and mail without a date."""
+    late = F.col("date_received") >= F.lit("2024-01-15").cast("timestamp_ntz")
+    table = v.messages.withColumn("date_received", F.col("date_received").cast("timestamp"))
+    return [table.filter(late), table.filter(~late & (F.col("ingest_seq") % 2 == 0)), table.filter(F.coalesce(~late & (F.col("ingest_seq") % 2 == 1), F.lit(True)))]
+
+
 @query(
     "t3s_digest_stream",
-    """SELECT d AS day, messages, unread FROM (SELECT date_trunc('day', date_received) AS d, count(*) AS messages, count(*) FILTER (WHERE is_unread) AS unread
-       FROM v_messages GROUP BY 1) WHERE d + INTERVAL 2 DAY <= (SELECT max(date_received) FROM v_messages)""",
+    """SELECT * FROM (WITH t AS (SELECT date_trunc('day', m.date_received) AS day, m.thread_id, count(*) AS messages, count(*) FILTER (WHERE m.is_unread) AS unread
+       FROM v_messages m WHERE NOT list_has_any(string_split(label_csv, ','), ['SPAM', 'TRASH', 'DRAFT', 'SENT']) GROUP BY 1, 2),
+       c AS (SELECT DISTINCT thread_id, 'even' AS category, is_unread AS actionable FROM (SELECT thread_id, bool_or(is_unread) AS is_unread, min(ingest_seq) AS s FROM v_messages GROUP BY 1) WHERE s % 2 = 0)
+       SELECT day, coalesce(c.category, 'uncategorized') AS category, sum(messages) AS messages, sum(unread) AS unread, count(*) AS threads,
+       count(*) FILTER (WHERE coalesce(c.actionable, false)) AS actionable FROM t LEFT JOIN c USING (thread_id) GROUP BY 1, 2)""",
 )
 def t3s(v):
-    """Days that the watermark has passed; ingest order is not time order, so mail arrives in one batch."""
-    src, dst = scratch_path(v.spark, "source"), scratch_path(v.spark, "sink")
-    table = v.messages.withColumn("date_received", F.col("date_received").cast("timestamp"))
-    table.write.parquet(src)
-    ckpt = scratch_path(v.spark, "checkpoint")
-    jobs.digest_stream(v.spark, src, dst, ckpt, table.schema).awaitTermination()
-    return v.spark.read.parquet(dst).select(F.col("day").cast("timestamp_ntz").alias("day"), "messages", "unread")
+    """Three runs, newest mail first, with every second thread classified."""
+    src, dst, labels, ckpt = (scratch_path(v.spark, x) for x in ("source", "sink", "labels", "checkpoint"))
+    threads = v.messages.groupBy("thread_id").agg(F.max("is_unread").alias("actionable"), F.min("ingest_seq").alias("s"))
+    threads.filter("s % 2 = 0").select("thread_id", F.lit("even").alias("category"), "actionable").write.parquet(labels)
+    for part in _newest_first(v):
+        part.write.mode("append").parquet(src)
+        jobs.digest_stream(v.spark, src, dst, ckpt, labels, part.schema).awaitTermination()
+    return v.spark.read.parquet(dst).select("day", "category", "messages", "unread", "threads", "actionable")
 
 
 @query("t4s_dedupe_stream", "SELECT message_id FROM v_messages")
 def t4s(v):
-    """Every message arrives twice, the second time after a restart."""
+    """Three runs, newest mail first, and then every message once more."""
     src, dst, ckpt = (scratch_path(v.spark, x) for x in ("source", "sink", "checkpoint"))
-    table = v.messages.withColumn("date_received", F.col("date_received").cast("timestamp"))
-    for _ in range(2):
-        table.write.mode("append").parquet(src)
-        stream = jobs.dedupe_stream(jobs.message_stream(v.spark, src, table.schema), "1000 days")
+    parts = _newest_first(v)
+    for part in [*parts, *parts]:
+        part.write.mode("append").parquet(src)
+        stream = jobs.dedupe_stream(jobs.message_stream(v.spark, src, part.schema))
         writer = stream.writeStream.format("parquet").option("checkpointLocation", ckpt).option("path", dst)
         writer.trigger(availableNow=True).start().awaitTermination()
     return v.spark.read.parquet(dst).select("message_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,9 +20,12 @@ from mailsift.schema import (
 
 # Shards of a folder: files named batch-NNNNN.json, or one file in each folder shard=NNNNN.
 SHARD_GLOBS = ["batch-*.json", "shard=*/part-*"]
-SHARD_NAME = r"(?:/batch-(\d{5,9})\.json|/shard=(\d{5,9})/part-[^/]*)$"
-# Layout of ingest_seq: run number, shard name, position in the shard.
-POSITION_BITS, SHARD_BITS = 16, 32
+SHARD_NAME = r"(?:/batch-(\d{5,})\.json|/shard=(\d{5,})/part-[^/]*)$"
+# Layout of ingest_seq: place of the file among the files in order, position in the file.
+# Files of recovery runs come after all files of the root, of which there are fewer than FILES.
+POSITION_BITS, FILES = 16, 1 << 32
+# The same for files of lines and for logs.
+LINE_BITS = 40
 RUN_FOLDER = r"/backfills/([^/]+)/"
 
 
@@ -38,10 +41,10 @@ def _existing(spark: SparkSession, patterns: list[str]) -> list[str]:
     return [p for p in patterns if matches(p)]
 
 
-def _shard_rank(digits: Column) -> Column:
-    """A number that orders shard names like the names themselves: a shorter prefix first."""
-    padded = F.translate(F.rpad(digits, 9, "."), ".0123456789", "0123456789a")
-    return F.conv(padded, 11, 10).cast("bigint")
+def _ranked_files(files: DataFrame, *order: str) -> DataFrame:
+    """Distinct files numbered from 0 in an order; the table has one row per file and is narrow."""
+    place = F.row_number().over(Window.orderBy(*order, "file")) - 1
+    return files.select("file", *order).distinct().select("file", place.cast("bigint").alias("file_no"))
 
 
 def _text_or(c: Column, default: str) -> Column:
@@ -88,35 +91,63 @@ def _empty_messages(spark: SparkSession) -> DataFrame:
     return spark.range(0).select(*_to_messages(record, F.col("id")))
 
 
-def _shard_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, shard_rank, pos, record) of all shard records; a file that is no JSON array fails."""
-    files = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    name = F.coalesce(
-        F.nullif(F.regexp_extract("file", SHARD_NAME, 1), F.lit("")),
-        F.nullif(F.regexp_extract("file", SHARD_NAME, 2), F.lit("")),
-    )
-    shards = files.withColumn("shard_rank", _shard_rank(name)).filter(F.col("shard_rank").isNotNull())
+def _shard_records(spark: SparkSession, paths: list[str], run: bool = False) -> DataFrame:
+    """(file, run, file_no, pos, record) of all shard records; a file that is no JSON array fails.
+
+    Files are in order of their run, if any, and of their digits as a text.
+    """
+
+    def named(df: DataFrame) -> DataFrame:
+        digits = F.coalesce(
+            F.nullif(F.regexp_extract("file", SHARD_NAME, 1), F.lit("")),
+            F.nullif(F.regexp_extract("file", SHARD_NAME, 2), F.lit("")),
+        )
+        of_run = F.regexp_extract("file", RUN_FOLDER, 1) if run else F.lit("")
+        return df.withColumns({"digits": digits, "run": of_run}).filter("digits is not null")
+
+    source = spark.read.text(paths, wholetext=True)
+    order = _ranked_files(named(source.select(F.col("_metadata.file_path").alias("file"))), "run", "digits")
+    shards = named(source.select("value", F.col("_metadata.file_path").alias("file"))).join(order, "file")
     fail = F.raise_error(F.concat(F.lit("not a JSON array: "), "file"))
     body = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(fail)
     parsed = F.from_json(body, T.ArrayType(MESSAGE_JSON), {"mode": "FAILFAST"})
-    return shards.select("file", "shard_rank", F.posexplode(parsed).alias("pos", "record"))
+    return shards.select("file", "run", "file_no", F.posexplode(parsed).alias("pos", "record"))
 
 
-def _seq(run: Column) -> Column:
+def _seq(first_file: int) -> Column:
     too_long = F.raise_error(F.concat(F.lit("shard has too many records: "), "file"))
     pos = F.when(F.col("pos") < (1 << POSITION_BITS), F.col("pos")).otherwise(too_long).cast("bigint")
-    place = F.shiftleft(F.col("shard_rank"), POSITION_BITS) + pos
-    return F.shiftleft(run.cast("bigint"), POSITION_BITS + SHARD_BITS) + place
+    return F.shiftleft(F.col("file_no") + first_file, POSITION_BITS) + pos
+
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, seq) of the lines of text files that are not blank, in order of file and line.
 
-def _messages(records: DataFrame, run: Column, mode: str) -> DataFrame:
+    The number of a line does not depend on how files are split into tasks: a line's place
+    in its split is added to the lines of the splits before, of which there is one row each.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    splits = lines.groupBy("file", "block").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    splits = splits.join(_ranked_files(splits), "file")
+    place = F.shiftleft("file_no", LINE_BITS) + F.col("before") + F.col("line") - F.col("first")
+    return lines.join(splits, ["file", "block"]).filter(F.trim("value") != "").select("value", place.alias("seq"))
+
+
+def _messages(records: DataFrame, first_file: int, mode: str) -> DataFrame:
     record = F.col("record")
     if mode == "FAILFAST":
         fail = F.raise_error(F.concat(F.lit("invalid record in "), "file"))
         records = records.withColumn("record", F.when(_valid_record(record), record).otherwise(fail))
     else:
         records = records.filter(_valid_record(record))
-    return records.select(*_to_messages(F.col("record"), _seq(run)))
+    return records.select(*_to_messages(F.col("record"), _seq(first_file)))
 
 
 def read_messages(spark: SparkSession, root: str, mode: str = "FAILFAST") -> DataFrame:
@@ -127,7 +158,7 @@ def read_messages(spark: SparkSession, root: str, mode: str = "FAILFAST") -> Dat
     paths = _existing(spark, [f"{root}/{g}" for g in SHARD_GLOBS])
     if not paths:
         return _empty_messages(spark)
-    return _messages(_shard_records(spark, paths), F.lit(0), mode)
+    return _messages(_shard_records(spark, paths), 0, mode)
 
 
 def read_rejects(spark: SparkSession, root: str) -> DataFrame:
@@ -149,10 +180,8 @@ def read_backfill(spark: SparkSession, root: str) -> DataFrame:
         .select(F.regexp_extract("_metadata.file_path", RUN_FOLDER, 1).alias("run"), state.alias("s"))
         .filter((F.col("s.status") == "complete") & F.col("s.runId").isNotNull())
     )
-    # One row per recovery run, so the window stays small.
-    numbered = runs.select("run", F.expr("row_number() OVER (ORDER BY run)").alias("run_no"))
-    records = _shard_records(spark, paths).withColumn("run", F.regexp_extract("file", RUN_FOLDER, 1))
-    return _messages(records.join(numbered, "run"), F.col("run_no"), "FAILFAST")
+    records = _shard_records(spark, paths, run=True)
+    return _messages(records.join(runs.select("run"), "run"), FILES, "FAILFAST")
 
 
 def load_all(spark: SparkSession, root: str) -> DataFrame:
@@ -162,19 +191,10 @@ def load_all(spark: SparkSession, root: str) -> DataFrame:
 
 def read_recovered(spark: SparkSession, path: str) -> DataFrame:
     """Append-only staged JSON lines; bad lines are skipped and the last row per id wins."""
-    lines = spark.read.text(path).select(
-        "value",
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        ).alias("_at"),
-    )
-    parsed = lines.select(F.from_json("value", MESSAGE_JSON).alias("record"), "_at")
+    parsed = _numbered_lines(spark, path).select(F.from_json("value", MESSAGE_JSON).alias("record"), "seq")
     good = parsed.filter(_valid_record(F.col("record")))
-    # Appended lines keep their order inside a split, and splits are ordered by offset.
-    kept = good.groupBy(F.col("record.messageId").alias("_id")).agg(F.max_by(F.struct("record", "_at"), "_at").alias("_r"))
-    return kept.select(*_to_messages(F.col("_r.record"), F.col("_r._at.line")))
+    kept = good.groupBy(F.col("record.messageId").alias("_id")).agg(F.max_by(F.struct("record", "seq"), "seq").alias("_r"))
+    return kept.select(*_to_messages(F.col("_r.record"), F.col("_r.seq")))
 
 
 def _envelope(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
@@ -253,18 +273,19 @@ DECISION_FIELDS = {
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame | None:
-    """Rows of a decision log file with their position as ``log_seq``."""
+    """Rows of decision log files; ``log_seq`` orders them by file name, then position."""
     schema = T.StructType(
         [T.StructField("version", T.LongType()), T.StructField("decisions", T.ArrayType(DECISION_JSON))]
     )
     envelope = _envelope(spark, path, schema)
     if envelope is None:
         return None
-    rows = envelope.select(F.posexplode("decisions").alias("log_seq", "d"))
+    file = F.col("_metadata.file_path").alias("file")
+    rows = envelope.select(file, F.posexplode("decisions").alias("pos", "d")).join(_ranked_files(envelope.select(file)), "file")
     return rows.select(
         *_snake("d", DECISION_FIELDS),
         F.to_timestamp("d.timestamp").alias("decided_at"),
-        F.col("log_seq").cast("bigint").alias("log_seq"),
+        (F.shiftleft("file_no", LINE_BITS) + F.col("pos")).alias("log_seq"),
     )
 
 
@@ -339,12 +360,15 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def read_raw_gmail(spark: SparkSession, path: str) -> DataFrame:
-    """Gmail-shaped raw messages, one JSON object per line, numbered in read order."""
-    raw = spark.read.schema(RAW_GMAIL).json(path)
-    return raw.withColumn("ingest_seq", F.monotonically_increasing_id())
+    """Gmail-shaped raw messages, one JSON object per line, numbered by file and line."""
+    return _raw(spark, path, RAW_GMAIL)
 
 
 def read_raw_graph(spark: SparkSession, path: str) -> DataFrame:
-    """Graph-shaped raw messages, one JSON object per line, numbered in read order."""
-    raw = spark.read.schema(RAW_GRAPH).json(path)
-    return raw.withColumn("ingest_seq", F.monotonically_increasing_id())
+    """Graph-shaped raw messages, one JSON object per line, numbered by file and line."""
+    return _raw(spark, path, RAW_GRAPH)
+
+
+def _raw(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    lines = _numbered_lines(spark, path)
+    return lines.select(F.from_json("value", schema).alias("r"), F.col("seq").alias("ingest_seq")).select("r.*", "ingest_seq")

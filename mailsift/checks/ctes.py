@@ -140,15 +140,15 @@ NO_REVIEW = (
     "CAST(NULL AS VARCHAR) AS sender_type_source, CAST(NULL AS VARCHAR) AS reviewed_sender_type"
 )
 
-MARKER = "^On .{1,200} wrote:\\s*$|^On .{1,200}, at .{1,50} wrote:\\s*$|^From: .{0,300}$|^-{6,100}.{0,100}$"
+MARKER = "^On .+ wrote:\\s*$|^From: .*$|^-{6}.*$"
 
 
 def unique_content(body: str) -> str:
     """New content of a body, line by line."""
     lines = f"string_split({body}, chr(10))"
-    first = f"list_position(list_transform({lines}, lambda l: regexp_matches(l[1:600], '{MARKER}')), true)"
+    first = f"list_position(list_transform({lines}, lambda l: regexp_matches(l, '{MARKER}')), true)"
     own = f"CASE WHEN coalesce({first}, 0) = 0 THEN {lines} ELSE {lines}[1:{first} - 1] END"
-    return f"array_to_string(list_filter({own}, lambda l: NOT regexp_matches(l[1:600], '^>{{1,10}} .{{0,500}}$')), chr(10))"
+    return f"array_to_string(list_filter({own}, lambda l: NOT regexp_matches(l, '^>+ .*$')), chr(10))"
 
 
 def _base(text: str) -> str:
@@ -239,8 +239,8 @@ SELECT DISTINCT id FROM (WITH RECURSIVE c(id) AS (SELECT id FROM v_folders WHERE
   'Junk Email','Outbox','Conversation History','Sync Issues') UNION SELECT f.id FROM v_folders f JOIN c ON f.parent_id = c.id) SELECT id FROM c)""",
     "v_leveled": """
 SELECT *, CASE WHEN kind IN ('message', 'system') THEN kind WHEN coalesce(message_id, '') <> '' THEN 'message'
-  WHEN regexp_matches(message, '^Message ([^:]{1,200}):') THEN 'message' ELSE 'system' END AS level,
-  nullif(regexp_extract(message, '^Message ([^:]{1,200}):', 1), '') AS named_id FROM v_errors""",
+  WHEN regexp_matches(message, '^Message ([^:]+):') THEN 'message' ELSE 'system' END AS level,
+  nullif(regexp_extract(message, '^Message ([^:]+):', 1), '') AS named_id FROM v_errors""",
     "v_targets": """
 SELECT DISTINCT id AS message_id FROM (SELECT CASE WHEN coalesce(message_id, '') <> '' THEN message_id ELSE named_id END AS id FROM v_leveled)
 WHERE id IS NOT NULL""",

@@ -175,9 +175,15 @@ def j9(v):
     return fd.folder_closure(v.folders, fd.excluded_roots(v.folders))
 
 
-@query("p2_excluded_folders", "SELECT ingest_seq FROM v_raw WHERE folder_id NOT IN (SELECT id FROM v_closure)")
+@query(
+    "p2_excluded_folders",
+    """SELECT ingest_seq FROM v_raw WHERE folder_id NOT IN (SELECT id FROM v_closure) AND folder_id NOT IN (WITH RECURSIVE d(id) AS
+       (SELECT 'r0' UNION SELECT f.id FROM v_folders f JOIN d ON f.parent_id = d.id) SELECT id FROM d)""",
+)
 def p2(v):
-    return fd.drop_excluded_folders(v.raw_graph, v.folders).select("ingest_seq")
+    """The folder of deleted items has a name in another language; its id is well known."""
+    well_known = v.folders.filter("display_name = 'Gelöschte Elemente'").select("id")
+    return fd.drop_excluded_folders(v.raw_graph, v.folders, well_known).select("ingest_seq")
 
 
 @query(
@@ -215,12 +221,12 @@ def g15(v):
 
 @query(
     "x11_fingerprint",
-    "SELECT 0 AS part_no, count(*) AS ids, sha256(string_agg(message_id, chr(10) ORDER BY message_id)) AS fingerprint FROM v_targets",
+    """SELECT CAST(sum(n) AS BIGINT) AS ids, sha256(string_agg(b || ':' || d, chr(10) ORDER BY b)) AS fingerprint FROM
+       (SELECT h[1:4] AS b, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS d FROM
+        (SELECT DISTINCT sha256(message_id) AS h FROM v_targets) GROUP BY 1)""",
 )
 def x11(v):
-    return bf.fingerprint(bf.recovery_ids(v.errors)).select(
-        F.col("part_no").cast("int"), F.col("ids").cast("bigint"), "fingerprint"
-    )
+    return bf.fingerprint(bf.recovery_ids(v.errors))
 
 
 @query(
@@ -364,30 +370,36 @@ def q6(v):
 # --- models -----------------------------------------------------------------------------
 
 
-def first_word(batch: pd.DataFrame) -> pd.DataFrame:
-    """A deterministic stand-in for a thread model: category by length, actionable by text."""
-    size = batch["content"].str.len()
+def by_length(thread: pd.DataFrame, categories: list[str]) -> pd.DataFrame:
+    """A deterministic stand-in for a thread model that fails for some threads."""
+    size = len(thread["content"][0])
+    if size % 5 == 0:
+        raise RuntimeError(f"no answer at {size}")
     return pd.DataFrame(
         {
-            "thread_id": batch["thread_id"],
-            "category": ["long" if n > 1000 else "short" for n in size],
-            "confidence": 0.5,
+            "thread_id": thread["thread_id"],
+            "category": "long" if size > 1000 else "short",
+            "confidence": size % 10 / 10,
             "actionable": size % 2 == 0,
-            "summary": "",
+            "summary": f"one of {len(categories)}, {size} characters",
         }
     )
 
 
-@query(
-    "f1_score_threads",
-    f"""SELECT h.thread_id, CASE WHEN length(coalesce(c.content, '')) > 1000 THEN 'long' ELSE 'short' END AS category,
-        length(coalesce(c.content, '')) % 2 = 0 AND h.last_date >= TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY AS actionable
-        FROM v_heads h JOIN v_parts c USING (thread_id) WHERE h.thread_id NOT IN (SELECT thread_id FROM v_by_rule)
-        UNION ALL SELECT thread_id, category, actionable FROM v_by_rule""",
-)
+SCORED = f"""SELECT h.thread_id, CASE WHEN n % 5 = 0 THEN 'uncategorized' WHEN n > 1000 THEN 'long' ELSE 'short' END AS category,
+        CASE WHEN n % 5 = 0 THEN 0 ELSE CAST(n % 10 AS DOUBLE) / 10 END AS confidence,
+        n % 5 <> 0 AND n % 2 = 0 AND last_date >= TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY AS actionable,
+        CASE WHEN n % 5 = 0 THEN 'Classification failed.' ELSE concat('one of ', (SELECT count(DISTINCT category) FROM v_by_rule), ', ', n, ' characters') END AS summary,
+        'llm' AS classified_by, CAST(NULL AS VARCHAR) AS rule_name
+        FROM (SELECT h.*, length(coalesce(c.content, '')) AS n FROM v_heads h JOIN v_parts c USING (thread_id)) h
+        WHERE h.thread_id NOT IN (SELECT thread_id FROM v_by_rule)"""
+
+
+@query("f1_score_threads", f"{SCORED} UNION ALL SELECT thread_id, category, confidence, actionable, summary, classified_by, rule_name FROM v_by_rule")
 def f1(v):
-    run = composed.run_classification(v.mail, v.bodies, v.rules, first_word, AS_OF)
-    return run["classifications"].select("thread_id", "category", "actionable")
+    """Rules first, then a model that fails for some threads; only those fall back."""
+    run = composed.run_classification(v.mail, v.bodies, v.rules, by_length, AS_OF)
+    return run["classifications"].select("thread_id", "category", "confidence", "actionable", "summary", "classified_by", "rule_name")
 
 
 def ambiguous(v: Views) -> DataFrame:
@@ -461,11 +473,11 @@ def x12(v):
 @query(
     "f3_propose_taxonomy",
     """SELECT DISTINCT concat('Topic ', conv_id % 9) AS category FROM conversations WHERE conv_id IN
-       (SELECT CAST(substr(thread_id, 2) AS BIGINT) FROM v_heads ORDER BY first_seq LIMIT 1000)""",
+       (SELECT CAST(substr(thread_id, 2) AS BIGINT) FROM v_heads ORDER BY md5(thread_id), thread_id LIMIT 1000)""",
 )
 def f3(v):
     def subjects(summaries: list[str]) -> list[str]:
         return sorted({s.split("\n")[0].removeprefix("Subject: ") for s in summaries})
 
-    sample = th.taxonomy_sample(th.collapse_threads(v.mail, v.bodies))
+    sample = th.taxonomy_sample(th.thread_heads(v.mail), th.thread_entries(v.mail, v.bodies))
     return infer.propose_taxonomy(sample, subjects)

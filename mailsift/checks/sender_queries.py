@@ -327,7 +327,7 @@ def s33(v):
 
 @query(
     "j12_contact_links",
-    """SELECT c.name, s.sender_email, s.email_count FROM v_contacts c JOIN v_stats s ON lower(trim(c.email)) = s.sender_email""",
+    """SELECT DISTINCT c.name, s.sender_email, s.email_count FROM (SELECT contact_id, name, phone, lower(trim(email)) AS email FROM v_contacts UNION SELECT contact_id, name, phone, lower(trim(second_email)) FROM v_contacts) c JOIN v_stats s ON c.email = s.sender_email""",
 )
 def j12(v):
     return state.contact_links(v.contacts, stats(v)).select("name", "sender_email", "email_count")
@@ -335,9 +335,9 @@ def j12(v):
 
 @query(
     "s34_identity_links",
-    """SELECT c.name, c.phone AS phones, count(*) AS senders, CAST(sum(s.email_count) AS BIGINT) AS email_count,
-       max(s.last_email_date) AS last_email_date, arg_max(s.sender_type, s.email_count) AS sender_type
-       FROM v_contacts c JOIN v_state s ON lower(trim(c.email)) = s.sender_email GROUP BY 1, 2""",
+    """SELECT c.contact_id, c.name, coalesce(c.phone, '') AS phones, count(*) AS senders, CAST(sum(s.email_count) AS BIGINT) AS email_count,
+       max(s.last_email_date) AS last_email_date, arg_max(s.sender_type, (s.email_count, s.sender_email)) AS sender_type
+       FROM (SELECT contact_id, name, phone, lower(trim(email)) AS email FROM v_contacts UNION SELECT contact_id, name, phone, lower(trim(second_email)) FROM v_contacts) c JOIN v_state s ON c.email = s.sender_email GROUP BY 1, 2, 3""",
 )
 def s34(v):
     return state.identity_links(v.contacts, scored_state(v))

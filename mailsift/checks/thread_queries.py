@@ -14,7 +14,8 @@ from mailsift.operators import labels as lb
 from mailsift.operators import noise, senders
 from mailsift.operators import threads as th
 from mailsift.plans import composed, reports
-from mailsift.sources.readers import normalize_rules
+from mailsift.session import scratch_path
+from mailsift.sources.readers import load_rules
 
 CLASS = "thread_id, category, confidence, actionable, summary, classified_by, rule_name"
 
@@ -45,26 +46,28 @@ def label_ids(classifications: DataFrame) -> DataFrame:
 # --- collapse -------------------------------------------------------------------------
 
 
+HEADS = "thread_id, sender_email, subject, first_date, last_date, message_count"
+
+
+def _in_order(value: str, *order: str, by: str = ","):
+    """Rows of a thread as one text, to compare with the oracle."""
+    return F.array_join(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))["_v"], by)
+
+
 @query(
     "g4_threads",
     """SELECT h.thread_id, h.sender_email, h.subject, h.first_date, h.last_date, h.message_count, p.participants,
-       coalesce(c.content, '') AS content, 0 AS part_no FROM v_heads h JOIN v_participants p USING (thread_id) JOIN v_parts c USING (thread_id)""",
+       coalesce(c.content, '') AS content FROM v_heads h JOIN v_participants p USING (thread_id) JOIN v_parts c USING (thread_id)""",
 )
 def g4(v):
-    return th.collapse_threads(v.mail, v.bodies).select(
-        "thread_id",
-        "sender_email",
-        "subject",
-        "first_date",
-        "last_date",
-        "message_count",
-        texts("participants", ","),
-        "content",
-        F.col("part_no").cast("int"),
+    """Heads, with the rows of participants and entries in their order."""
+    people = th.thread_participants(v.mail).groupBy("thread_id").agg(
+        _in_order("participant", "first_date", "first_seq").alias("participants")
     )
-
-
-HEADS = "thread_id, sender_email, subject, first_date, last_date, message_count"
+    pieces = th.thread_entries(v.mail, v.bodies).filter("content <> ''").groupBy("thread_id")
+    contents = pieces.agg(_in_order("content", "position", by="\n\n").alias("content"))
+    heads = th.collapse_threads(v.mail).drop("participants").join(people, "thread_id").join(contents, "thread_id", "left")
+    return heads.select(*HEADS.split(", "), "participants", F.coalesce("content", F.lit("")).alias("content"))
 
 
 @query("g4_thread_heads", f"SELECT {HEADS} FROM ({ctes.heads('v_messages')})")
@@ -77,12 +80,13 @@ def g4_heads(v):
     """SELECT thread_id, sender_email AS participant, min(date_received) AS first_date, count(*) AS messages FROM v_messages GROUP BY 1, 2""",
 )
 def g4_participants(v):
-    return th.thread_participants(v.messages)
+    return th.thread_participants(v.messages).drop("first_seq")
 
 
 @query("g5_thread_messages", "SELECT thread_id, message_ids FROM v_parts")
 def g5(v):
-    return th.thread_messages(v.mail).select("thread_id", texts("message_ids", ","))
+    ordered = _in_order("message_id", "position").alias("message_ids")
+    return th.thread_messages(v.mail).groupBy("thread_id").agg(ordered)
 
 
 @query(
@@ -90,7 +94,8 @@ def g5(v):
     """SELECT thread_id, string_agg(message_id, ',' ORDER BY date_received, ingest_seq) AS message_ids FROM v_messages GROUP BY 1""",
 )
 def o5(v):
-    return th.thread_messages(v.messages).select("thread_id", texts("message_ids", ","))
+    ordered = _in_order("message_id", "position").alias("message_ids")
+    return th.thread_messages(v.messages).groupBy("thread_id").agg(ordered)
 
 
 @query("n12_unique_content", f"SELECT message_id, {ctes.unique_content('body')} AS content FROM v_mail")
@@ -199,19 +204,23 @@ def s10(v):
        row_number() OVER (PARTITION BY lower(sender_email) ORDER BY ingest_seq DESC) AS rn FROM v_messages) WHERE rn = 1""",
 )
 def a11(v):
-    entries = v.flat.select(
-        F.lit("sender").alias("kind"), F.col("sender_email").alias("rule_key"), "category", F.col("ingest_seq").alias("seq")
-    )
-    return normalize_rules(entries)
+    """A rules file of two maps, in which keys differ by case; of equal keys the last wins."""
+    path = scratch_path(v.spark, "rules")
+    listed = v.flat.groupBy("sender_email").agg(F.max_by("category", "ingest_seq").alias("category"), F.max("ingest_seq").alias("s"))
+    entry = F.struct(F.col("sender_email").alias("key"), F.col("category").alias("value"))
+    rules = F.map_from_entries(F.array_sort(F.collect_list(F.struct("s", entry.alias("e"))))["e"])
+    text = F.to_json(F.struct(F.create_map().cast("map<string,string>").alias("domainRules"), rules.alias("senderRules")))
+    listed.agg(text.alias("value")).write.text(path)
+    return load_rules(v.spark, path)
 
 
 @query(
     "w11_taxonomy_sample",
-    """SELECT h.thread_id, concat('Subject: ', h.subject, chr(10), 'From: ', h.sender_email, chr(10), substr(coalesce(c.content, ''), 1, 500)) AS summary
-       FROM v_heads h JOIN v_parts c USING (thread_id) ORDER BY h.first_seq LIMIT 1000""",
+    """SELECT h.thread_id, concat('Subject: ', h.subject, chr(10), 'From: ', h.sender_email, chr(10), coalesce(c.content, '')) AS summary
+       FROM v_heads h JOIN v_parts c USING (thread_id) ORDER BY md5(h.thread_id), h.thread_id LIMIT 1000""",
 )
 def w11(v):
-    return th.taxonomy_sample(th.collapse_threads(v.mail, v.bodies)).select("thread_id", "summary")
+    return th.taxonomy_sample(th.thread_heads(v.mail), th.thread_entries(v.mail, v.bodies)).select("thread_id", "summary")
 
 
 # --- labels -----------------------------------------------------------------------------

@@ -71,15 +71,16 @@ SELECT * FROM (VALUES ('sender','help@chase.com','banking'), ('sender','user3@gm
 """
 
 CONTACTS = """
-SELECT c_name AS name, concat('user', CAST(c_custkey AS STRING), '@',
+SELECT c_custkey AS contact_id, CASE WHEN c_custkey % 3 = 0 THEN 'John Smith' ELSE c_name END AS name, concat('user', CAST(c_custkey AS STRING), '@',
        CASE c_custkey % 7 WHEN 0 THEN 'Gmail.com' WHEN 1 THEN 'acme.com' WHEN 2 THEN 'r.mailchimp.com' WHEN 3 THEN 'chase.com'
          WHEN 4 THEN 'salesforce.com' WHEN 5 THEN 'lists.example.org' ELSE 'yahoo.co.uk' END) AS email,
-       concat('+1-555-', CAST(c_custkey AS STRING)) AS phone FROM {customer}
+       CASE WHEN c_custkey % 3 > 0 THEN concat('+1-555-', CAST(c_custkey AS STRING)) END AS phone,
+       CASE WHEN c_custkey % 2 = 0 THEN concat(' USER', CAST(c_custkey + 1 AS STRING), '@gmail.com') END AS second_email FROM {customer}
 """
 
 FOLDERS = """
 SELECT concat('r', CAST(r_regionkey AS STRING)) AS id,
-       CASE r_name WHEN 'ASIA' THEN 'Deleted Items' WHEN 'EUROPE' THEN 'Junk Email' ELSE r_name END AS display_name,
+       CASE r_name WHEN 'ASIA' THEN 'Deleted Items' WHEN 'EUROPE' THEN 'Junk Email' WHEN 'AFRICA' THEN 'Gelöschte Elemente' ELSE r_name END AS display_name,
        CAST(NULL AS STRING) AS parent_id, CAST(r_regionkey * 10 AS BIGINT) AS total_items FROM {region}
 UNION ALL
 SELECT concat('n', CAST(n_nationkey AS STRING)), CASE n_name WHEN 'CHINA' THEN 'Outbox' ELSE n_name END,
@@ -219,8 +220,14 @@ class Views:
 
     @cached_property
     def contacts(self) -> DataFrame:
-        one = lambda c: F.array(F.struct(F.col(c).alias("value"), F.lit("home").alias("type")))
-        return self.sql(CONTACTS).select("name", one("email").alias("emails"), one("phone").alias("phones"))
+        """Some share a name and have no phone; some have two addresses."""
+
+        def listed(*columns):
+            entries = [F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("value"), F.lit("home").alias("type"))) for c in columns]
+            return F.array_compact(F.array(*entries))
+
+        emails, phones = listed("email", "second_email"), listed("phone")
+        return self.sql(CONTACTS).select("contact_id", "name", emails.alias("emails"), phones.alias("phones"))
 
     @cached_property
     def folders(self) -> DataFrame:

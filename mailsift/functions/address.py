@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed patterns of header parsing.
-BRACKETED = r"^(.{0,200}?)\s*<(.{1,200}?)>\z"
+BRACKETED = r"^(.*?)\s*<(.+?)>\z"
 # Accepted e-mail syntax: local part (dotted atoms or quoted), then an address literal or a domain.
 EMAIL_SYNTAX = (
     r'^(([^<>()\[\]\\.,;:\s@"]+(\.[^<>()\[\]\\.,;:\s@"]+)*)|(".+"))'

@@ -9,18 +9,16 @@ from mailsift.functions.address import _col, trim_all
 
 # Fixed patterns. A marker line starts quoted history; a quoted line is dropped alone.
 HISTORY_MARKER = (
-    r"(?m)^On .{1,200} wrote:\s*$|^On .{1,200}, at .{1,50} wrote:\s*$|^From: .{0,300}$|^-{6,100}.{0,100}$"
+    r"(?m)^On .+ wrote:\s*$|^From: .*$|^-{6}.*$"
 )
-QUOTED_LINE = r"(?m)^>{1,10} .{0,500}$"
-# Characters of a line that the two patterns look at.
-LINE_WINDOW = 600
-LEGACY_MESSAGE_ID = r"^Message ([^:]{1,200}):"
+QUOTED_LINE = r"(?m)^>+ .*$"
+LEGACY_MESSAGE_ID = r"^Message ([^:]+):"
 FENCED_JSON = r"(?s)^```(?:json)?\s*\n?(.+?)\n?```\s*\z"
 
 
 def strip_html(html: Column | str) -> Column:
     """Replace tags by a blank, collapse blanks and tabs, trim."""
-    plain = F.regexp_replace(_col(html), r"<[^>]{0,2000}>", " ")
+    plain = F.regexp_replace(_col(html), r"<[^>]*>", " ")
     return trim_all(F.regexp_replace(plain, r"[ \t]{2,}", " "))
 
 
@@ -33,10 +31,10 @@ def unique_content(body: Column | str, max_chars: int | None = None) -> Column:
     if max_chars is not None:
         body = F.substring(body, 1, max_chars)
     lines = F.split(body, "\n", -1)
-    marks = F.transform(lines, lambda line: F.substring(line, 1, LINE_WINDOW).rlike(HISTORY_MARKER))
+    marks = F.transform(lines, lambda line: line.rlike(HISTORY_MARKER))
     first = F.array_position(marks, True).cast("int")
     own = F.when(first == 0, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(first - 1, F.lit(0))))
-    kept = F.filter(own, lambda line: ~F.substring(line, 1, LINE_WINDOW).rlike(QUOTED_LINE))
+    kept = F.filter(own, lambda line: ~line.rlike(QUOTED_LINE))
     return F.array_join(kept, "\n")
 
 

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.functions.text import LEGACY_MESSAGE_ID, legacy_message_id
-from mailsift.ranking import last_wins, number_by_order
+from mailsift.ranking import last_wins
 
 SHARD_RECORDS = 500
-# Ids per fingerprint; longer lists get one fingerprint per part.
-FINGERPRINT_IDS = 100_000
+# Leading hexadecimal digits that name the bucket of an id in a fingerprint.
+BUCKET_DIGITS = 4
 
 
 def _has_id() -> Column:
@@ -33,18 +33,23 @@ def recovery_ids(errors: DataFrame) -> DataFrame:
     return errors.select(found.alias("message_id")).filter(F.col("message_id").isNotNull()).distinct()
 
 
-def fingerprint(ids: DataFrame, per_part: int = FINGERPRINT_IDS) -> DataFrame:
-    """SHA-256 of the sorted ids joined by newlines: (part_no, ids, fingerprint).
+def fingerprint(ids: DataFrame) -> DataFrame:
+    """One digest of a set of ids, of any size: (ids, fingerprint).
 
-    Up to ``per_part`` ids give one part, the fingerprint of the whole list. A longer
-    list is fingerprinted part by part, so no task ever holds all ids.
+    Ids fall into FINGERPRINT_BUCKETS by the first digits of their SHA-256. A bucket's
+    digest is that of the sorted id digests in it, and the fingerprint is the digest of
+    the bucket digests in order. Equal sets have equal fingerprints. No task holds more
+    than one bucket; a bucket of a set of 10^9 ids holds 15,000.
     """
-    ranked = number_by_order(ids.select("message_id").distinct().withColumn("_all", F.lit(0)), ["_all"], ["message_id"], "_rn")
-    parts = ranked.withColumn("part_no", F.expr(f"(_rn - 1) div {per_part}")).groupBy("part_no").agg(
-        F.array_sort(F.collect_list("message_id")).alias("_ids")
+    digits = F.sha2("message_id", 256)
+    hashed = ids.select("message_id").distinct().select(digits.alias("_h"))
+    buckets = hashed.groupBy(F.substring("_h", 1, BUCKET_DIGITS).alias("_b")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), "\n"), 256).alias("_d")
     )
-    return parts.select(
-        "part_no", F.size("_ids").alias("ids"), F.sha2(F.array_join("_ids", "\n"), 256).alias("fingerprint")
+    entries = F.array_sort(F.collect_list(F.struct("_b", "_d")))
+    return buckets.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("ids"),
+        F.sha2(F.array_join(F.transform(entries, lambda e: F.concat(e["_b"], F.lit(":"), e["_d"])), "\n"), 256).alias("fingerprint"),
     )
 
 

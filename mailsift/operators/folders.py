@@ -41,9 +41,12 @@ def folder_closure(folders: DataFrame, roots: DataFrame) -> DataFrame:
     return found
 
 
-def drop_excluded_folders(raw: DataFrame, folders: DataFrame) -> DataFrame:
-    """Raw messages outside the excluded folders and everything below them."""
-    closed = folder_closure(folders, excluded_roots(folders)).select(F.col("id").alias("parentFolderId"))
+def drop_excluded_folders(raw: DataFrame, folders: DataFrame, well_known: DataFrame | None = None) -> DataFrame:
+    """Raw messages outside the excluded folders and everything below them.
+
+    ``well_known`` lists ids of system folders, whose display names may be in any language.
+    """
+    closed = folder_closure(folders, excluded_roots(folders, well_known)).select(F.col("id").alias("parentFolderId"))
     return raw.join(closed, "parentFolderId", "left_anti")
 
 

@@ -6,7 +6,7 @@ many calls run at once is how many tasks run at once.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,25 +19,54 @@ from mailsift.schema import SENDER_TYPES
 
 PROMPT_SENDERS = 50
 ATTEMPTS = 2
-THREAD_RESULT = "thread_id string, category string, confidence double, actionable boolean, summary string"
+THREAD_RESULT = (
+    "thread_id string, category string, confidence double, actionable boolean, summary string, error string"
+)
+RESULT_COLUMNS = ["thread_id", "category", "confidence", "actionable", "summary", "error"]
 SENDER_RESULT = "array<struct<email:string,senderType:string,confidence:double>>"
 ARRAY_TEXT = r"(?s)(\[.*?\])"
 
 
-def score_threads(threads: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Apply a thread scorer to batches of (thread_id, content).
+def score_threads(
+    entries: DataFrame,
+    fn: Callable[[pd.DataFrame, list[str]], pd.DataFrame],
+    categories: Sequence[str] = (),
+) -> DataFrame:
+    """Ask ``fn(thread, categories)`` about every thread: its result rows and ``error``.
 
-    A batch for which the scorer fails gives no rows; those threads then fall back.
+    ``entries`` are the ordered pieces of threads (thread_id, position, content). ``thread``
+    is one row of thread_id and content, the pieces in order; ``categories`` are the names in
+    use, so that names do not drift. A call that fails, or returns nothing for its thread,
+    gives a row with an error and no category, and concerns that thread alone.
     """
+    known = list(categories)
+
+    def ask(thread_id: str, pieces: list[str]) -> pd.DataFrame:
+        thread = pd.DataFrame({"thread_id": [thread_id], "content": ["\n\n".join(p for p in pieces if p)]})
+        try:
+            result = fn(thread, known)
+            result = result[result["thread_id"] == thread_id].head(1)
+            if len(result):
+                return result.assign(error=None)[RESULT_COLUMNS]
+            error = "no result"
+        except Exception as failure:  # the model is code of the caller; what went wrong is part of the result
+            error = f"{type(failure).__name__}: {failure}"
+        return pd.DataFrame([[thread_id, None, None, None, None, error]], columns=RESULT_COLUMNS)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        current, pieces = None, []
         for batch in batches:
-            try:
-                yield fn(batch)
-            except Exception:
-                continue
+            for thread_id, content in zip(batch["thread_id"], batch["content"]):
+                if pieces and thread_id != current:
+                    yield ask(current, pieces)
+                    pieces = []
+                current = thread_id
+                pieces.append(content or "")
+        if pieces:
+            yield ask(current, pieces)
 
-    return threads.select("thread_id", "content").mapInPandas(run, THREAD_RESULT)
+    placed = entries.repartition("thread_id").sortWithinPartitions("thread_id", "position")
+    return placed.select("thread_id", "content").mapInPandas(run, THREAD_RESULT)
 
 
 def sender_prompts(senders: DataFrame, examples: DataFrame, size: int = PROMPT_SENDERS) -> DataFrame:
@@ -128,16 +157,15 @@ def parse_sender_results(responses: DataFrame, prompts: DataFrame) -> DataFrame:
 
 
 def propose_taxonomy(sample: DataFrame, fn: Callable[[list[str]], list[str]]) -> DataFrame:
-    """Category names proposed for the taxonomy sample, which is at most its own limit of rows."""
+    """Category names proposed for the taxonomy sample; a failing call fails the job.
+
+    One call sees the whole sample, so one task asks it; the sample's size is its caller's.
+    """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         texts: list[str] = []
         for batch in batches:
             texts.extend(batch["summary"])
-        try:
-            names = fn(texts)
-        except Exception:
-            names = []
-        yield pd.DataFrame({"category": pd.Series(names, dtype="object")})
+        yield pd.DataFrame({"category": pd.Series(fn(texts), dtype="object")})
 
     return sample.orderBy("first_seq").coalesce(1).select("summary").mapInPandas(run, "category string")

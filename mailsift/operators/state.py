@@ -133,7 +133,7 @@ def rescore_candidates(state: DataFrame, manifests: DataFrame, cut: float = 0.7)
 
 
 def contact_links(contacts: DataFrame, state: DataFrame) -> DataFrame:
-    """Contact e-mails (name, emails array) joined with sender state on the address."""
+    """Contact e-mails (name, emails array) joined with sender state on the address, once per name and address."""
     listed = contacts.select("name", F.explode("emails").alias("_mail")).select(
         "name", decision_key(F.col("_mail")["value"]).alias("_key")
     )
@@ -145,16 +145,16 @@ def contact_links(contacts: DataFrame, state: DataFrame) -> DataFrame:
 def identity_links(contacts: DataFrame, state: DataFrame) -> DataFrame:
     """Per contact: volume and recency over all matched senders.
 
-    Contact names may repeat, so phones ride along as part of the contact row's key.
+    ``contacts`` has a ``contact_id``, unique per contact; names and phones may repeat.
     """
-    people = contacts.withColumn("_phones", F.coalesce(F.transform("phones", lambda p: p["value"]), F.array()))
-    listed = people.select("name", "_phones", F.explode("emails").alias("_mail")).select(
-        "name", F.array_join("_phones", ",").alias("phones"), decision_key(F.col("_mail")["value"]).alias("_key")
+    phones = F.array_join(F.coalesce(F.transform("phones", lambda p: p["value"]), F.array()), ",")
+    listed = contacts.select("contact_id", "name", phones.alias("phones"), F.explode("emails").alias("_mail")).select(
+        "contact_id", "name", "phones", decision_key(F.col("_mail")["value"]).alias("_key")
     )
     known = state.withColumn("_key", sender_key("sender_email"))
-    joined = listed.filter(F.col("_key") != "").distinct().join(known, "_key")
+    joined = listed.filter(F.col("_key") != "").dropDuplicates(["contact_id", "_key"]).join(known, "_key")
     main = F.max_by("sender_type", F.struct("email_count", "sender_email"))
-    return joined.groupBy("name", "phones").agg(
+    return joined.groupBy("contact_id", "name", "phones").agg(
         F.count(F.lit(1)).alias("senders"),
         F.sum("email_count").alias("email_count"),
         F.max("last_email_date").alias("last_email_date"),

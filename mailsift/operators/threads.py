@@ -9,16 +9,9 @@ from pyspark.sql import functions as F
 
 from mailsift.functions.address import decision_key, domain, trim_all
 from mailsift.functions.measure import arrival_order, within_days
-from mailsift.functions.text import preview, unique_content
+from mailsift.functions.text import unique_content
 from mailsift.joins import spread_join
-from mailsift.ranking import hot_keys
-
-# Messages of one thread that may be gathered into one row. Longer threads come as
-# several rows (parts) whose pieces, read in order, are the whole thread.
-PART_MESSAGES = 2_000
-# Messages per part of such a long thread.
-LONG_PART_MESSAGES = 1_000
-
+from mailsift.ranking import number_by_order
 
 def thread_heads(messages: DataFrame) -> DataFrame:
     """First sender and subject, date range and message count per thread.
@@ -54,90 +47,50 @@ def with_bodies(messages: DataFrame, bodies: DataFrame) -> DataFrame:
     return joined.withColumn("body", F.coalesce("_body", F.lit(""))).drop("_body")
 
 
-def _entries(messages: DataFrame) -> DataFrame:
-    body = F.col("body") if "body" in messages.columns else F.lit("")
-    return messages.select(
+def thread_entries(messages: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+    """The pieces of every thread: (thread_id, position, message_id, email, content), from position 1.
+
+    Positions follow time, then sequence. One row per message, so a thread of any length
+    has the same shape, and no task gathers one. Without bodies the contents are empty.
+    """
+    full = messages if bodies is None else with_bodies(messages, bodies)
+    body = F.col("body") if "body" in full.columns else F.lit("")
+    entries = full.select(
         "thread_id",
         "date_received",
         "ingest_seq",
         "message_id",
         F.col("sender.email").alias("email"),
-        "subject",
         trim_all(unique_content(body)).alias("content"),
     )
+    placed = number_by_order(entries, ["thread_id"], ["date_received", "ingest_seq"], "position")
+    return placed.select("thread_id", "position", "message_id", "email", "content")
 
 
-def _joined(pieces: Column) -> Column:
-    return F.array_join(F.filter(pieces, lambda p: p != ""), "\n\n")
-
-
-def _short_threads(entries: DataFrame) -> DataFrame:
-    """Everything about a thread from one sorted list: one shuffle."""
-    fields = ["date_received", "ingest_seq", "message_id", "email", "subject", "content"]
-    listed = entries.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_m"))
-    first, last = F.col("_m")[0], F.element_at("_m", -1)
-    return listed.select(
-        "thread_id",
-        F.lit(0).cast("bigint").alias("part_no"),
-        F.array_distinct(F.col("_m.email")).alias("participants"),
-        F.col("_m.message_id").alias("message_ids"),
-        _joined(F.col("_m.content")).alias("content"),
-        first["email"].alias("sender_email"),
-        first["subject"].alias("subject"),
-        first["date_received"].alias("first_date"),
-        last["date_received"].alias("last_date"),
-        F.size("_m").cast("bigint").alias("message_count"),
-        F.array_min(F.col("_m.ingest_seq")).alias("first_seq"),
-    )
-
-
-def _long_threads(entries: DataFrame) -> DataFrame:
-    """Parts of long threads: a range sort cuts each thread into ordered runs of bounded size."""
-    arrived = entries.withColumn("_arrival", arrival_order("date_received", "ingest_seq"))
-    # First appearances are joined on the arrival, which is unique, not on the sender, who may be hot.
-    first = arrived.groupBy("thread_id", "email").agg(F.min("_arrival").alias("_arrival"))
-    newcomers = first.select("thread_id", "_arrival", F.col("email").alias("newcomer"))
-    marked = arrived.join(newcomers, ["thread_id", "_arrival"], "left")
-    placed = marked.repartitionByRange("thread_id", "_arrival").sortWithinPartitions("thread_id", "_arrival")
-    parted = placed.withColumn("part_no", F.expr(f"monotonically_increasing_id() div {LONG_PART_MESSAGES}"))
-    listed = F.array_sort(F.collect_list(F.struct("_arrival", "message_id", "newcomer", "content")))
-    return parted.groupBy("thread_id", "part_no").agg(listed.alias("_m")).select(
-        "thread_id",
-        "part_no",
-        F.array_compact(F.col("_m.newcomer")).alias("participants"),
-        F.col("_m.message_id").alias("message_ids"),
-        _joined(F.col("_m.content")).alias("content"),
-    )
-
-
-def collapse_threads(
-    messages: DataFrame, bodies: DataFrame | None = None, part_messages: int = PART_MESSAGES
-) -> DataFrame:
-    """One row per thread: head, participants in time order, message ids, joined new content.
+def collapse_threads(messages: DataFrame) -> DataFrame:
+    """One row per thread: its head and the number of its participants.
 
-    ``part_no`` is 0, except for threads of more than ``part_messages`` messages: they
-    come as several rows ordered by ``part_no``, each with the participants that first
-    appear, the message ids and the content of its run of messages.
+    ``thread_participants`` and ``thread_entries`` hold the parts of a thread as rows.
     """
-    long_ids = hot_keys(messages.select("thread_id"), "thread_id", part_messages)
-    full = messages if bodies is None else with_bodies(messages, bodies)
-    if long_ids is None:
-        return _short_threads(_entries(full))
-    # The ids are a small written table, so these joins broadcast it or split the long threads.
-    short = _short_threads(_entries(full.join(long_ids, "thread_id", "left_anti")))
-    long = full.join(long_ids, "thread_id", "left_semi")
-    return short.unionByName(_long_threads(_entries(long)).join(thread_heads(long), "thread_id"))
+    people = thread_participants(messages).groupBy("thread_id").agg(F.count(F.lit(1)).alias("participants"))
+    return thread_heads(messages).join(people, "thread_id")
 
 
 def thread_messages(messages: DataFrame) -> DataFrame:
-    """Message ids per thread in time order, in parts like ``collapse_threads``."""
-    return collapse_threads(messages).select("thread_id", "part_no", "message_ids")
+    """Message ids per thread in time order: (thread_id, position, message_id)."""
+    return thread_entries(messages).select("thread_id", "position", "message_id")
 
 
 def thread_participants(messages: DataFrame) -> DataFrame:
-    """Distinct participants per thread with their first appearance, one row each."""
-    return messages.groupBy("thread_id", F.col("sender.email").alias("participant")).agg(
-        F.min("date_received").alias("first_date"), F.count(F.lit(1)).alias("messages")
+    """Distinct participants per thread: (thread_id, participant, first_date, first_seq, messages)."""
+    arrival = arrival_order("date_received", "ingest_seq")
+    return (
+        messages.groupBy("thread_id", F.col("sender.email").alias("participant"))
+        .agg(
+            F.min("date_received").alias("first_date"),
+            F.min_by("ingest_seq", arrival).alias("first_seq"),
+            F.count(F.lit(1)).alias("messages"),
+        )
     )
 
 
@@ -275,10 +228,19 @@ def rules_template(stats: DataFrame) -> DataFrame:
     )
 
 
-def taxonomy_sample(threads: DataFrame, n: int = 1000) -> DataFrame:
-    """The first ``n`` threads as subject, sender and a 500-character preview."""
-    content = F.col("content") if "content" in threads.columns else F.lit("")
-    text = F.concat(
-        F.lit("Subject: "), "subject", F.lit("\nFrom: "), "sender_email", F.lit("\n"), preview(content)
-    )
-    return threads.orderBy("first_seq").limit(n).select("thread_id", "first_seq", text.alias("summary"))
+def taxonomy_sample(
+    heads: DataFrame, entries: DataFrame, n: int = 1000, max_chars: int | None = None
+) -> DataFrame:
+    """A sample of ``n`` threads, by hash of their ids, as subject, sender and content.
+
+    ``max_chars`` cuts each content, for models with a limit; by default it is whole.
+    """
+    sample = heads.orderBy(F.md5("thread_id"), "thread_id").limit(n)
+    pieces = entries.join(sample.select("thread_id"), "thread_id", "left_semi").filter("content <> ''")
+    joined = F.array_join(F.array_sort(F.collect_list(F.struct("position", "content")))["content"], "\n\n")
+    contents = pieces.groupBy("thread_id").agg(joined.alias("_content"))
+    content = F.coalesce("_content", F.lit(""))
+    if max_chars is not None:
+        content = F.substring(content, 1, max_chars)
+    text = F.concat(F.lit("Subject: "), "subject", F.lit("\nFrom: "), "sender_email", F.lit("\n"), content)
+    return sample.join(contents, "thread_id", "left").select("thread_id", "first_seq", text.alias("summary"))

@@ -16,8 +16,12 @@ from mailsift.operators.noise import new_since
 from mailsift.operators.scoring import classify_heuristic, score_confidence, score_extraction
 from mailsift.operators.senders import sender_stats
 from mailsift.operators.state import REVIEW_FIELDS, merge_state, model_result_columns, with_optional
+from mailsift.ranking import assert_max_rows
 from mailsift.session import durable
 
+# Category names that a prompt can carry; more are an error, not a cut.
+MAX_CATEGORIES = 10_000
+
 
 def _guessed(stats: DataFrame) -> DataFrame:
     """Statistics with the heuristic type, ``_by_user`` and ``_sure``."""
@@ -74,19 +78,27 @@ def run_classification(
     """Classification with a live scorer.
 
     Bodies are read late: the anti join on rule matches comes first, so only messages of
-    unmatched threads meet the body table.
+    unmatched threads meet the body table. The scorer is called with each thread and the
+    categories that rules gave; threads for which it fails fall back, and are listed in
+    ``errors``.
     """
     heads = th.thread_heads(messages)
     by_rule = durable(th.classify_rules(heads, rules, as_of), "by-rule")
     open_messages = th.unmatched_messages(messages, by_rule)
-    collapsed = th.collapse_threads(open_messages, bodies)
+    categories = th.known_categories(by_rule)
+    # The names in use are few, and every call to the model carries them.
+    known = sorted(r["category"] for r in assert_max_rows(categories, MAX_CATEGORIES, "categories").collect())
     # Written down, so that no later action asks the model again.
-    results = durable(score_threads(collapsed, scorer), "thread-results")
-    best = F.max_by(F.struct("category", "confidence", "actionable", "summary"), F.struct("confidence", "category"))
-    one_each = results.groupBy("thread_id").agg(best.alias("_r")).select("thread_id", "_r.*")
-    by_model = th.apply_thread_results(th.unmatched_threads(heads, by_rule), one_each, as_of)
-    everything = th.all_classifications(by_rule, by_model)
-    return {"classifications": everything, "categories": th.known_categories(by_rule), "unmatched": open_messages}
+    asked = score_threads(th.thread_entries(open_messages, bodies), scorer, known)
+    results = durable(asked, "thread-results")
+    answered = results.filter(F.col("error").isNull()).drop("error")
+    by_model = th.apply_thread_results(th.unmatched_threads(heads, by_rule), answered, as_of)
+    return {
+        "classifications": th.all_classifications(by_rule, by_model),
+        "categories": categories,
+        "unmatched": open_messages,
+        "errors": results.filter(F.col("error").isNotNull()).select("thread_id", "error"),
+    }
 
 
 def classification_counts(classifications: DataFrame) -> DataFrame:

@@ -345,13 +345,19 @@ def test_errors(spark):
     assert merged["report"].first().asDict() == {"recovered": 1, "targets": 3, "still_failing": 1, "shards": 1}
 
 
-def test_fingerprint(spark):
+def test_fingerprint_is_one_value_at_any_size(spark):
     import hashlib
 
-    ids = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "message_id string")
-    sha = lambda *x: hashlib.sha256("\n".join(x).encode()).hexdigest()
-    assert rows(bf.fingerprint(ids)) == [(0, 3, sha("a", "b", "c"))]
-    assert rows(bf.fingerprint(ids, per_part=2)) == [(0, 2, sha("a", "b")), (1, 1, sha("c"))]
+    def plain(ids):
+        buckets = {}
+        for h in sorted({hashlib.sha256(i.encode()).hexdigest() for i in ids}):
+            buckets.setdefault(h[:4], []).append(h)
+        digest = lambda lines: hashlib.sha256("\n".join(lines).encode()).hexdigest()
+        return len(set(ids)), digest(f"{b}:{digest(hs)}" for b, hs in sorted(buckets.items()))
+
+    for ids in ([], ["b", "a", "c", "a"], [f"m{i}" for i in range(100_001)]):
+        df = spark.createDataFrame([(i,) for i in ids], "message_id string")
+        assert rows(bf.fingerprint(df)) == [plain(ids)]
 
 
 def test_pending_bodies(spark):
@@ -446,4 +452,5 @@ def test_taxonomy(spark):
     def broken(texts):
         raise RuntimeError
 
-    assert infer.propose_taxonomy(sample, broken).count() == 0
+    with pytest.raises(Exception, match="RuntimeError"):
+        infer.propose_taxonomy(sample, broken).count()

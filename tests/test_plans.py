@@ -50,6 +50,6 @@ def test_top_subjects_are_cut_before_the_shuffle(table):
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
-def test_short_threads_take_one_shuffle(table):
-    text = plan(th.collapse_threads(table)).split("Initial Plan")[0]
+def test_heads_take_one_shuffle(table):
+    text = plan(th.thread_heads(table)).split("Initial Plan")[0]
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 1

@@ -217,13 +217,24 @@ def test_rescore_candidates(spark):
 
 def test_contacts(spark):
     contacts = spark.createDataFrame(
-        [("Ann", [("A@x.org", "home"), ("ann@y.org", "work"), ("a@X.org", "dup")], [("1", "m"), ("2", "h")]), ("Bob", [], [])],
-        "name string, emails array<struct<value:string,type:string>>, phones array<struct<value:string,type:string>>",
+        [
+            (1, "Ann", [("A@x.org", "home"), ("ann@y.org", "work"), ("a@X.org", "dup")], [("1", "m"), ("2", "h")]),
+            (2, "Bob", [], []),
+            (3, "John", [("ann@y.org", "home")], None),
+            (4, "John", [("z@x.org", "home")], []),
+        ],
+        "contact_id long, name string, emails array<struct<value:string,type:string>>, phones array<struct<value:string,type:string>>",
     )
     state = spark.createDataFrame(
         [("a@x.org", 5, "human", "2024-01-01"), ("ann@y.org", 7, "company", "2023-01-01"), ("z@x.org", 1, "human", "2024-01-01")],
         "sender_email string, email_count long, sender_type string, last_email_date string",
     )
-    assert rows(contact_links(contacts, state), "name", "sender_email") == [("Ann", "a@x.org"), ("Ann", "ann@y.org")]
+    assert rows(contact_links(contacts, state), "name", "sender_email") == [
+        ("Ann", "a@x.org"), ("Ann", "ann@y.org"), ("John", "ann@y.org"), ("John", "z@x.org")
+    ]
     got = identity_links(contacts, state).collect()
-    assert [tuple(r) for r in got] == [("Ann", "1,2", 2, 12, "2024-01-01", "company")]
+    assert sorted(tuple(r) for r in got) == [
+        (1, "Ann", "1,2", 2, 12, "2024-01-01", "company"),
+        (3, "John", "", 1, 7, "2023-01-01", "company"),
+        (4, "John", "", 1, 1, "2024-01-01", "human"),
+    ]

@@ -39,35 +39,29 @@ def test_collapse(spark, messages):
     bodies = spark.createDataFrame(
         [("m1", "  Hello \n> old"), ("m2", "> only quoted"), ("m3", "Bye\n\nOn Monday A wrote:\nHello")], "message_id string, body string"
     )
-    got = {r["thread_id"]: r for r in th.collapse_threads(messages(data), bodies).collect()}
+    df = messages(data)
+    got = {r["thread_id"]: r for r in th.collapse_threads(df).collect()}
     t = got["t"]
-    assert (t["sender_email"], t["subject"], t["message_count"], t["part_no"]) == ("alice@x.org", "hi", 3, 0)
-    assert t["participants"] == ["alice@x.org", "bob@x.org"]
-    assert t["message_ids"] == ["m1", "m2", "m3"]
-    assert t["content"] == "Hello\n\nBye"
-    assert got["u"]["content"] == ""
+    assert (t["sender_email"], t["subject"], t["message_count"], t["participants"]) == ("alice@x.org", "hi", 3, 2)
+    people = rows(th.thread_participants(df).filter("thread_id = 't'"), "first_seq", "participant", "messages")
+    assert people == [(0, "bob@x.org", 1), (1, "alice@x.org", 2)]
+    entries = rows(th.thread_entries(df, bodies), "thread_id", "position", "message_id", "content")
+    assert entries == [("t", 1, "m1", "Hello"), ("t", 2, "m2", ""), ("t", 3, "m3", "Bye"), ("u", 1, "m4", "")]
 
 
-def test_long_thread_comes_in_parts_that_add_up(spark, messages):
-    """One thread holds most mail, with equal dates; its parts read in order are the whole thread."""
-    data = [
-        {"id": f"m{i}", "thread": "hot" if i % 4 else f"t{i % 8}", "email": f"u{i * 7 % 90}@x.org", "date": f"2024-01-01 00:00:{i % 50:02d}"}
-        for i in range(4000)
-    ]
+@pytest.mark.parametrize("size", [1999, 2000, 2001, 6000])
+def test_threads_of_any_length_have_one_shape(spark, messages, size):
+    """Equal dates are told apart by the sequence."""
+    data = [{"id": f"m{i:05d}", "thread": "hot", "email": f"u{i % 90}@x.org", "date": f"2024-01-01 00:00:{i % 50:02d}"} for i in range(size)]
     df = messages(data)
     bodies = df.select("message_id", F.concat(F.lit("text "), "message_id").alias("body"))
-    whole = {r["thread_id"]: r for r in th.collapse_threads(df, bodies, part_messages=10_000).collect()}
-    parts = th.collapse_threads(df, bodies, part_messages=600).orderBy("thread_id", "part_no").collect()
-    hot = [r for r in parts if r["thread_id"] == "hot"]
-    assert len(hot) > 2 and max(len(r["message_ids"]) for r in hot) <= th.LONG_PART_MESSAGES
-    want = whole["hot"]
-    assert [m for r in hot for m in r["message_ids"]] == want["message_ids"]
-    assert [p for r in hot for p in r["participants"]] == want["participants"]
-    assert "\n\n".join(r["content"] for r in hot) == want["content"]
-    assert {r["message_count"] for r in hot} == {3000} and {r["subject"] for r in hot} == {want["subject"]}
-    for r in parts:
-        if r["thread_id"] != "hot":
-            assert r == whole[r["thread_id"]]
+    (head,) = th.collapse_threads(df).collect()
+    assert (head["message_count"], head["participants"]) == (size, 90)
+    entries = th.thread_entries(df, bodies).orderBy("position").collect()
+    want = sorted(range(size), key=lambda i: (i % 50, i))
+    assert [(r["position"], r["message_id"], r["content"]) for r in entries] == [
+        (n + 1, f"m{i:05d}", f"text m{i:05d}") for n, i in enumerate(want)
+    ]
 
 
 def test_thread_heads_match_collapse(messages):
@@ -117,16 +111,32 @@ def test_results_and_single_pass_agree(spark, rules):
     assert (got["t5"]["category"], got["t5"]["confidence"], got["t5"]["summary"]) == ("uncategorized", 0.0, "Classification failed.")
 
 
-def test_failing_scorer_falls_back(spark, messages, rules):
-    data = [{"id": f"m{i}", "thread": f"t{i}", "email": f"u{i}@y.org"} for i in range(6)]
-    bodies = spark.createDataFrame([(f"m{i}", f"text {i}") for i in range(6)], "message_id string, body string")
-
-    def scorer(batch: pd.DataFrame) -> pd.DataFrame:
-        raise RuntimeError("model is down")
-
-    run = composed.run_classification(messages(data), bodies, rules, scorer, AS_OF)
-    got = run["classifications"].collect()
-    assert len(got) == 6 and all(r["category"] == "uncategorized" and not r["actionable"] for r in got)
+@pytest.mark.parametrize("partitions", ["1", "10"])
+def test_only_failing_threads_fall_back(spark, messages, rules, partitions):
+    data = [{"id": f"m{i}", "thread": f"t{i // 2}", "email": f"u{i}@y.org"} for i in range(40)]
+    data.append({"id": "m40", "thread": "ruled", "email": "help@chase.com"})
+    bodies = spark.createDataFrame([(f"m{i}", f"text {i}") for i in range(40)], "message_id string, body string")
+
+    def scorer(thread: pd.DataFrame, categories: list[str]) -> pd.DataFrame:
+        assert len(thread) == 1
+        if thread["thread_id"][0] in ("t3", "t7"):
+            raise RuntimeError("model is down")
+        if thread["thread_id"][0] == "t5":
+            return thread.head(0)
+        return thread.assign(category="x", confidence=0.5, actionable=True, summary=thread["content"] + "|" + ",".join(categories))
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        run = composed.run_classification(messages(data), bodies, rules, scorer, AS_OF)
+        got = {r["thread_id"]: r for r in run["classifications"].collect()}
+        errors = dict(rows(run["errors"]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 21
+    assert {t for t, r in got.items() if r["category"] == "uncategorized"} == {"t3", "t5", "t7"}
+    assert got["t4"]["summary"] == "text 8\n\ntext 9|banking" and got["ruled"]["classified_by"] == "rule"
+    assert errors == {"t3": "RuntimeError: model is down", "t7": "RuntimeError: model is down", "t5": "no result"}
 
 
 def test_rules_template(spark):

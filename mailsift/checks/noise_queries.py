@@ -488,14 +488,21 @@ def j19(v):
 
 @query(
     "a16_brief_lines",
-    """SELECT batch_id, 1 AS section, concat(rn, '. **', sender_email, '** (', sender_name, ') — ', format('{:,}', email_count), ' emails, ',
-        CAST(floor(unread_ratio * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT), '% unread — decision: **', user_decision, '**') AS line
-       FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY email_count DESC, sender_email) AS rn FROM v_manifest)
-       UNION ALL SELECT batch_id, 3, concat('- **', sender_email, '**: ', presented_sender_type, ' → ', reviewed_sender_type) FROM v_manifest
-       WHERE reviewed_sender_type <> presented_sender_type""",
+    f"""SELECT * FROM (WITH m AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY email_count DESC, sender_email) AS rn FROM v_manifest),
+       b AS (SELECT run_id, batch_id, count(*) AS n, sum(email_count) AS mails, avg(unread_ratio) AS ratio FROM m GROUP BY 1, 2)
+       SELECT batch_id, 0 AS section, unnest([concat('# Batch Brief: ', batch_id), '', concat('**Run ID:** ', run_id), concat('**Batch ID:** ', batch_id),
+         '**Status:** prepared', '**Created:** {NOW}', '', '## Batch Info', '', '**Batch type:** x', '**Grouping reason:** by type',
+         '**Presented recommendation:** keep', '', '## Summary', '', concat('- **Sender count:** ', format('{{:,}}', n)),
+         concat('- **Total emails:** ', format('{{:,}}', CAST(mails AS BIGINT))),
+         concat('- **Average unread ratio:** ', CAST(floor(ratio * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT), '%'), '', '## Senders', '']) AS line FROM b
+       UNION ALL SELECT batch_id, 1, concat(rn, '. **', sender_email, '** (', sender_name, ') — ', format('{{:,}}', email_count), ' emails, ',
+        CAST(floor(unread_ratio * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT), '% unread — decision: **', user_decision, '**') FROM m
+       UNION ALL SELECT batch_id, 2, unnest(['', '## Type Corrections', '']) FROM (SELECT DISTINCT batch_id FROM m WHERE reviewed_sender_type <> presented_sender_type)
+       UNION ALL SELECT batch_id, 3, concat('- **', sender_email, '**: ', presented_sender_type, ' → ', reviewed_sender_type) FROM m
+       WHERE reviewed_sender_type <> presented_sender_type)""",
 )
 def a16_brief(v):
-    """Sender and correction lines of all briefs; the fixed text around them is unit-tested."""
+    """All lines of all briefs."""
     from mailsift.ranking import number_by_order
 
     m = number_by_order(manifest(v), ["batch_id"], [F.desc("email_count"), F.col("sender_email")], "position")
@@ -506,7 +513,7 @@ def a16_brief(v):
         F.lit("keep").alias("presented_recommendation"),
         F.lit(NOW).alias("created_at"),
     )
-    return reports.brief_lines(m, headers).filter("section IN (1, 3)").select("batch_id", "section", "line")
+    return reports.brief_lines(m, headers).filter("section < 4").select("batch_id", "section", "line")
 
 
 # --- triage -----------------------------------------------------------------------------
@@ -554,21 +561,23 @@ def o2(v):
 
 @query(
     "a16_action_lines",
-    """SELECT category, thread_id, minor, line FROM (
-       SELECT category, thread_id, 1 AS minor, concat('  **Subject:** ', subject) AS line FROM v_items
-       UNION ALL SELECT category, thread_id, 3, concat('  **Thread ID:** ', thread_id) FROM v_items
-       UNION ALL SELECT category, thread_id, 4, concat('  **Messages:** ', message_count) FROM v_items
-       UNION ALL SELECT category, thread_id, 5, concat('  **Representative Message ID:** ', representative_id) FROM v_items
-       UNION ALL SELECT category, thread_id, 0, concat('- **From:** ', sender_email) FROM v_items
-       UNION ALL SELECT category, thread_id, 6, '' FROM v_items
-       UNION ALL SELECT DISTINCT category, '', 0, concat('## ', category) FROM v_items
-       UNION ALL SELECT DISTINCT category, '', 1, '' FROM v_items)""",
+    f"""SELECT section, category, thread_id, minor, line FROM (
+       SELECT 0 AS section, '' AS category, '' AS thread_id, 0 AS minor, '# Action Pass Report — {AS_OF[:10]}' AS line
+       UNION ALL SELECT 0, '', '', 1, ''
+       UNION ALL SELECT 1, category, thread_id, 0, concat('- **From:** ', sender_email) FROM v_items
+       UNION ALL SELECT 1, category, thread_id, 1, concat('  **Subject:** ', subject) FROM v_items
+       UNION ALL SELECT 1, category, thread_id, 2, concat('  **Date:** ', strftime(date_received, '%Y-%m-%d %H:%M:%S'),
+         rtrim(rtrim(strftime(date_received, '.%f'), '0'), '.')) FROM v_items
+       UNION ALL SELECT 1, category, thread_id, 3, concat('  **Thread ID:** ', thread_id) FROM v_items
+       UNION ALL SELECT 1, category, thread_id, 4, concat('  **Messages:** ', message_count) FROM v_items
+       UNION ALL SELECT 1, category, thread_id, 5, concat('  **Representative Message ID:** ', representative_id) FROM v_items
+       UNION ALL SELECT 1, category, thread_id, 6, '' FROM v_items
+       UNION ALL SELECT DISTINCT 1, category, '', 0, concat('## ', category) FROM v_items
+       UNION ALL SELECT DISTINCT 1, category, '', 1, '' FROM v_items)""",
 )
 def a16_action(v):
     lines = reports.action_lines(review.triage_items(triage(v), label_names(v)), AS_OF)
-    return lines.filter("section = 1 AND line NOT LIKE '  **Date:%'").select(
-        "category", "thread_id", F.col("minor").cast("int"), "line"
-    )
+    return lines.select("section", "category", "thread_id", F.col("minor").cast("int"), "line")
 
 
 def review_decisions(v: Views) -> DataFrame:

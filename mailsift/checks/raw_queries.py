@@ -412,10 +412,26 @@ def prompts(v: Views) -> DataFrame:
 
 @query(
     "s16_sender_prompts",
-    """SELECT (row_number() OVER (ORDER BY first_seq) - 1) // 50 AS prompt_no, sender_email AS email FROM v_heuristic WHERE heuristic_type = 'unknown'""",
+    """SELECT prompt_no, email, name, domain, subjects, email_count, category, CAST(unread_ratio AS DOUBLE) AS unread_ratio, thread_count FROM
+       (SELECT (row_number() OVER (ORDER BY first_seq) - 1) // 50 AS prompt_no, sender_email AS email, sender_name AS name,
+        split_part(sender_email, '@', 2) AS domain, array_to_string(sample_subjects, '|') AS subjects, email_count, category,
+        floor(unread_ratio * 100 + CAST(0.5 AS DOUBLE)) / 100 AS unread_ratio, thread_count FROM v_heuristic WHERE heuristic_type = 'unknown')""",
 )
 def s16(v):
-    return prompts(v).select("prompt_no", F.explode("emails").alias("email"))
+    """The payload of every prompt, item by item; the order of items is that of its e-mails."""
+    item = "array<struct<email:string,name:string,domain:string,subjects:array<string>,emailCount:bigint,gmailCategory:string,unreadRatio:double,threadCount:bigint>>"
+    items = prompts(v).select("prompt_no", F.posexplode(F.from_json("payload", item)).alias("pos", "i"), "emails")
+    return items.filter(F.col("emails")[F.col("pos")] == F.col("i.email")).select(
+        "prompt_no",
+        "i.email",
+        "i.name",
+        "i.domain",
+        F.array_join("i.subjects", "|").alias("subjects"),
+        F.col("i.emailCount").alias("email_count"),
+        F.col("i.gmailCategory").alias("category"),
+        F.col("i.unreadRatio").alias("unread_ratio"),
+        F.col("i.threadCount").alias("thread_count"),
+    )
 
 
 def answer(instructions: str, payload: str) -> str:

@@ -5,15 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.ranking import hot_keys
-
-# Rows of one key from which on its rows are spread over several tasks.
-HOT_ROWS = 1_000_000
-# Rows of a hot key that its check expects to see.
-SAMPLED_ROWS = 10_000
 # Tasks that share the rows of one hot key.
 SPREAD = 64
-# Hot keys that may be broadcast: a table of n rows has at most n / HOT_ROWS of them.
+# Hot keys that may be broadcast.
 BROADCAST_KEYS = 100_000
 
 
@@ -23,23 +17,21 @@ def spread_join(
     key: str,
     how: str,
     by: str = "ingest_seq",
-    hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
     spread: int = SPREAD,
 ) -> DataFrame:
     """Join ``large`` to ``keyed``, which has one row per ``key``.
 
-    A check estimates the rows per key from a sample of the key column. Usually no key is
-    hot and the plain join is returned. Otherwise the rows of hot keys are salted by column
-    ``by``, and the rows of ``keyed`` with a hot key are copied once per salt. Inner, left,
-    semi and anti joins all keep their meaning, as every row still meets its one partner;
-    which keys the check picks has no effect on the result.
+    By default this is a plain join: adaptive execution splits partitions that a hot key
+    has made large, from measured sizes and without a job of its own. A caller that knows
+    hot keys, say from ``ranking.hot_keys`` once for several joins, passes them as ``hot``;
+    then the rows of these keys are salted by column ``by``, and the rows of ``keyed`` with
+    a hot key are copied once per salt. Inner, left, semi and anti joins keep their meaning,
+    as every row still meets its one partner.
     """
-    share = min(1.0, SAMPLED_ROWS / hot_rows)
-    probe = large.select(key) if share == 1.0 else large.select(key).sample(share, seed=1)
-    hot = hot_keys(probe, key, int(hot_rows * share))
     if hot is None:
         return large.join(keyed, key, how)
-    hot = hot.withColumn("_hot", F.lit(True))
+    hot = hot.select(key).distinct().withColumn("_hot", F.lit(True))
     if hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         hot = F.broadcast(hot)
     salt = F.pmod(F.xxhash64(by), F.lit(spread)).cast("int")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mailsift.joins import spread_join
 from mailsift.ranking import chunk
 from mailsift.schema import INBOX, TRIAGE_LABEL
+from mailsift.session import durable
 
 # Message ids per modify request.
 REQUEST_IDS = 1000
@@ -42,7 +43,7 @@ def _texts(*values: str) -> Column:
 
 def request_rows(targets: DataFrame, group: list[str], size: int = REQUEST_IDS) -> DataFrame:
     """Gather message ids into requests of at most ``size``: (group, chunk_no, message_ids, ids)."""
-    chunked = chunk(targets, group, "ingest_seq", size)
+    chunked = chunk(durable(targets, "request-ids"), group, "ingest_seq", size)
     ids = F.array_sort(F.collect_list(F.struct("ingest_seq", "message_id")))
     return chunked.groupBy(*group, "chunk_no").agg(
         ids["message_id"].alias("message_ids"), F.count(F.lit(1)).alias("ids")

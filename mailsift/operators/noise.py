@@ -65,11 +65,10 @@ def add_noise_category(messages: DataFrame, label: str = NOISE_LABEL) -> DataFra
 def sweep_plan(messages: DataFrame, decisions: DataFrame, size: int = REQUEST_IDS) -> DataFrame:
     """Modify requests over the inbox messages of noise senders.
 
-    The noise senders are written down first: numbering reads the sweep twice, and the
-    decision log should be reduced once.
+    What is swept is written down before it is numbered, so messages and decisions are
+    read once.
     """
-    noise = durable(noise_senders(decisions), "noise-senders")
-    found = noise_in_inbox(messages, noise).select("message_id", "ingest_seq")
+    found = noise_in_inbox(messages, noise_senders(decisions)).select("message_id", "ingest_seq")
     plan = request_rows(found, [], size)
     return plan.withColumn("add_labels", _labels(NOISE_LABEL)).withColumn("remove_labels", _labels(INBOX))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.functions.measure import at, thousands, whole_percent, ymd
-from mailsift.operators.review import BATCH, batch_summary
+from mailsift.operators.review import BATCH, batch_summary, collated
 from mailsift.session import durable
 
 ORDER = ["section", "major", "minor"]
@@ -114,7 +114,9 @@ def action_lines(items: DataFrame, as_of) -> DataFrame:
     return _union([rows(empty, 0), rows(head, 0), rows(headings, 1), body])
 
 
-ACTION_ORDER = ["section", "category", "sender_email", "subject", "thread_id", "minor"]
+def action_order() -> list[Column]:
+    """Order of the action report's lines: texts in locale order, as in ``order_action_items``."""
+    return [F.col("section"), *[collated(c) for c in ("category", "sender_email", "subject", "thread_id")], F.col("minor")]
 
 
 def brief_lines(manifest: DataFrame, headers: DataFrame) -> DataFrame:

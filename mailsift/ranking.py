@@ -1,8 +1,7 @@
 """Row numbers, chunks and part numbers that never put a whole group in one task.
 
-``row_number()`` over a hot group sends that group to one task. The helpers here
-number rows in two steps instead: ordered buckets of bounded size are numbered in
-parallel, and a running total over the bucket sizes gives each bucket its offset.
+``row_number()`` over a hot group sends that group to one task. The helpers here sort by
+range instead, write the sorted table down, and add the sizes of the partitions before.
 """
 
 from __future__ import annotations
@@ -14,28 +13,10 @@ from pyspark.sql import functions as F
 
 from mailsift.session import durable
 
-# Rows of one group that share a bucket; sequence numbers are unique, so a bucket
-# can never hold more rows than this.
-BUCKET_WIDTH = 1 << 18
 
-
-def number_by_sequence(
-    df: DataFrame, group: Sequence[str], seq: str, out: str, width: int = BUCKET_WIDTH
-) -> DataFrame:
-    """Number rows 1..n in each group by a unique non-negative bigint column."""
-    group = list(group)
-    keyed = df.withColumn("_bucket", F.expr(f"{seq} div {width}"))
-    sizes = keyed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        *group, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy(*group, "_bucket").orderBy(seq)
-    return (
-        keyed.join(starts, [*group, "_bucket"])
-        .withColumn(out, F.col("_before") + F.row_number().over(inside))
-        .drop("_bucket", "_before")
-    )
+def number_by_sequence(df: DataFrame, group: Sequence[str], seq: str, out: str) -> DataFrame:
+    """Number rows 1..n in each group by a unique column."""
+    return number_by_order(df, group, [seq], out)
 
 
 def number_by_order(
@@ -43,9 +24,10 @@ def number_by_order(
 ) -> DataFrame:
     """Number rows 1..n in each group by any order that has no ties.
 
-    One range shuffle sorts the table, the sorted table is written to the shared
-    folder, and partition offsets are added in a join on (group, partition). The
-    only window runs over one row per group and partition.
+    One range shuffle sorts the table and the sorted table is written to the shared
+    folder. What comes before a partition is added from one row per group and partition:
+    without groups, these rows are as many as partitions and go through the driver; with
+    groups, a window runs over them.
     """
     group = list(group)
     placed = (
@@ -58,10 +40,16 @@ def number_by_order(
     sizes = placed.groupBy(*group, "_part").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")
     )
-    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        *group, "_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
-    )
+    if group:
+        earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+        starts = sizes.select(*group, "_part", "_first", before.alias("_before"))
+    else:
+        parts, total = [], 0
+        for r in sorted(sizes.collect()):
+            parts.append((r["_part"], r["_first"], total))
+            total += r["_n"]
+        starts = df.sparkSession.createDataFrame(parts, "_part int, _first long, _before long")
     return (
         placed.join(starts, [*group, "_part"])
         .withColumn(out, F.col("_before") + F.col("_at") - F.col("_first") + F.lit(1))

@@ -63,7 +63,7 @@ def write_sender_state(state: DataFrame, path: str) -> None:
     staged.write.mode("overwrite").parquet(path)
 
 
-def write_lines(lines: DataFrame, order: list[str], path: str) -> None:
+def write_lines(lines: DataFrame, order: list[Column | str], path: str) -> None:
     """A report as text files whose order is the order of the lines."""
     lines.orderBy(*order).select("line").write.text(path)
 

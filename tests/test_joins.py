@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from mailsift.joins import spread_join
+from mailsift.ranking import hot_keys
 
 
 @pytest.fixture
@@ -21,7 +22,7 @@ def large(spark):
 def test_salting_changes_no_result(spark, large, how, kept):
     keyed = spark.createDataFrame([(k, i) for i, k in enumerate(kept)], "key string, info long")
     plain = large.join(keyed, "key", how)
-    assert rows(spread_join(large, keyed, "key", how, hot_rows=500, spread=8), *plain.columns) == rows(plain)
+    assert rows(spread_join(large, keyed, "key", how, hot=hot_keys(large, "key", 500), spread=8), *plain.columns) == rows(plain)
     assert rows(spread_join(large, keyed, "key", how), *plain.columns) == rows(plain)
 
 
@@ -30,7 +31,7 @@ def test_hot_key_is_shared_by_many_tasks(spark, large):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        joined = spread_join(large, keyed, "key", "left_semi", hot_rows=500, spread=16)
+        joined = spread_join(large, keyed, "key", "left_semi", hot=hot_keys(large, "key", 500), spread=16)
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")

@@ -31,12 +31,18 @@ def brute(data, order):
     return out
 
 
-@pytest.mark.parametrize("width", [1, 64, 1 << 18])
-def test_number_by_sequence(skewed, width):
-    got = {r["seq"]: r["rn"] for r in ranking.number_by_sequence(skewed, ["g"], "seq", "rn", width).collect()}
+def test_number_by_sequence(skewed):
+    got = {r["seq"]: r["rn"] for r in ranking.number_by_sequence(skewed, ["g"], "seq", "rn").collect()}
     assert got == brute(skewed.collect(), lambda r: r["seq"])
 
 
+def test_numbers_of_a_whole_table_need_no_single_task(skewed):
+    numbered = ranking.number_by_sequence(skewed, [], "seq", "rn")
+    assert "SinglePartition" not in numbered._jdf.queryExecution().executedPlan().toString()
+    got = [r["rn"] for r in numbered.orderBy("seq").collect()]
+    assert got == list(range(1, len(got) + 1))
+
+
 def test_number_by_order_ignores_partitioning(skewed):
     order = [F.desc("score"), F.col("seq")]
     want = brute(skewed.collect(), lambda r: (-r["score"], r["seq"]))

@@ -186,11 +186,11 @@ def test_brief(manifest):
 
 def test_action_report(spark, messages):
     items = review.triage_items(triage(messages), names(spark))
-    lines = [r["line"] for r in reports.action_lines(items, NOW).orderBy(*reports.ACTION_ORDER).collect()]
+    lines = [r["line"] for r in reports.action_lines(items, NOW).orderBy(*reports.action_order()).collect()]
     assert lines[:2] == ["# Action Pass Report — 2024-02-16", ""]
     start = lines.index("## Bills")
     assert lines[start + 1 : start + 4] == ["", "- **From:** b@x.org", "  **Subject:** S1"]
-    empty = reports.action_lines(items.limit(0), NOW).orderBy(*reports.ACTION_ORDER).collect()
+    empty = reports.action_lines(items.limit(0), NOW).orderBy(*reports.action_order()).collect()
     assert [r["line"] for r in empty][-1] == "No actionable items to review."
 
 

@@ -498,6 +498,7 @@ def j19(v):
        UNION ALL SELECT batch_id, 1, concat(rn, '. **', sender_email, '** (', sender_name, ') — ', format('{{:,}}', email_count), ' emails, ',
         CAST(floor(unread_ratio * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT), '% unread — decision: **', user_decision, '**') FROM m
        UNION ALL SELECT batch_id, 2, unnest(['', '## Type Corrections', '']) FROM (SELECT DISTINCT batch_id FROM m WHERE reviewed_sender_type <> presented_sender_type)
+       UNION ALL SELECT batch_id, 4, unnest(['', '> **Safety note:** If this brief conflicts with the JSON manifest, the manifest wins.', '']) FROM b
        UNION ALL SELECT batch_id, 3, concat('- **', sender_email, '**: ', presented_sender_type, ' → ', reviewed_sender_type) FROM m
        WHERE reviewed_sender_type <> presented_sender_type)""",
 )
@@ -513,7 +514,7 @@ def a16_brief(v):
         F.lit("keep").alias("presented_recommendation"),
         F.lit(NOW).alias("created_at"),
     )
-    return reports.brief_lines(m, headers).filter("section < 4").select("batch_id", "section", "line")
+    return reports.brief_lines(m, headers).select("batch_id", "section", "line")
 
 
 # --- triage -----------------------------------------------------------------------------

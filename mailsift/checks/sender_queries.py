@@ -239,6 +239,28 @@ def s12(v):
     )
 
 
+@query(
+    "s12_analyze",
+    """SELECT sender_email, email_count, thread_count, sender_type, sender_type_source, extraction_candidate, confidence_tier,
+       recommended_action, surprises_flag FROM v_state""",
+)
+def s12_analyze(v):
+    """The main job as one call, from messages to scored senders, with no state stored before."""
+    results = sender_results(stats(v))
+    scored = composed.analyze(v.messages, stored_state(v).limit(0), results, AS_OF)
+    return scored.select(
+        "sender_email",
+        "email_count",
+        "thread_count",
+        "sender_type",
+        "sender_type_source",
+        "extraction_candidate",
+        "confidence_tier",
+        "recommended_action",
+        "surprises_flag",
+    )
+
+
 @query(
     "j17_sender_results",
     """SELECT s.sender_email, coalesce(r.result_type, 'unknown') AS sender_type,

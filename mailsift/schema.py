@@ -73,8 +73,8 @@ def mime_part(depth: int) -> T.StructType:
     return T.StructType(fields)
 
 
-# Deepest MIME level that body extraction looks at, counted from the payload.
-MIME_DEPTH = 10
+# Levels of MIME parts in the declared schema, counted from the payload; mail nests a handful.
+MIME_DEPTH = 40
 
 RAW_GMAIL = T.StructType(
     [

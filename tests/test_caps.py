@@ -54,7 +54,8 @@ def test_lines_are_numbered_alike_however_files_are_split(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     for size in ("1k", "128m"):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-        seen.append(rows(readers.read_raw_gmail(spark, str(tmp_path)), "ingest_seq", "id"))
+        read = readers.read_raw_gmail(spark, str(tmp_path)).orderBy("ingest_seq")
+        seen.append([(r["ingest_seq"], r["id"]) for r in read.collect()])
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert seen[0] == seen[1]
     assert [i for _, i in seen[0]] == [f"{n}{i}" for n in "ab" for i in range(500)]

@@ -315,16 +315,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     members = staged(members, "repeats-members")
     ranges = dictionary_ranges(members).groupBy("core", "whole").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     judged = classes.join(ranges, ["core", "whole"], "left").select("core", "whole", "copies", "ranges")
-    span = [F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop")]
-    alike = seen.filter("not mixed").select("doc_id", "text_hash", *span)
-    copied = mixed.join(judged, ["core", "whole"])
-    wholly = copied.filter("copies > 1").select("doc_id", "text_hash", *span)
-    partly = (
-        copied.filter("copies = 1")
-        .select("doc_id", "text_hash", "at", F.explode("ranges").alias("r"))
+    # Written down, so that the next join has two plain sides and a hot class can be split.
+    judged = staged(judged, "repeats-judged")
+    alike = seen.filter("not mixed").select(
+        "doc_id", "text_hash", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop")
+    )
+    all_of_it = F.array(F.struct((F.col("at") - F.col("last")).alias("low"), (F.col("at") - F.col("first")).alias("high")))
+    some = (
+        mixed.join(judged, ["core", "whole"])
+        .select("doc_id", "text_hash", "at", F.explode(F.when(F.col("copies") > 1, all_of_it).otherwise(F.col("ranges"))).alias("r"))
         .select("doc_id", "text_hash", (F.col("at") - F.col("r.high")).alias("start"), (F.col("at") - F.col("r.low") + LENGTH).alias("stop"))
     )
-    return alike.unionByName(wholly).unionByName(partly)
+    return alike.unionByName(some)
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:

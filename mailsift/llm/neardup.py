@@ -7,6 +7,9 @@ they must share adapts to the region: where few texts share the first ``DEPTH``
 all of them are candidates, and in dense regions the window around a text holds only
 those with longer common prefixes. Candidates are confirmed on the full sets, links make
 components, and texts with equal sets are one class from the start.
+
+What the window leaves out is made up for: in every dense region that still holds more
+than one component, texts of different components are compared, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -33,6 +36,12 @@ FIRST_TREES = 4
 # Shingle hashes signed at once, and sorted rows that a task takes on average.
 SIGN_ROWS, TASK_ROWS = 256, 1 << 16
 
+# Texts of a dense region that one task compares with as many others.
+BLOCK = 1024
+# Standard deviations below the expected number of equal labels at which a pair of a
+# dense region is passed over: a chance of 3 in a million at the very threshold.
+SLACK = 4.5
+
 _MULTIPLIERS = (np.random.default_rng(7).integers(0, 1 << 63, TREES * LEVELS, np.uint64) << np.uint64(1)) | np.uint64(1)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _words: dict[bytes, int] = {}
@@ -194,6 +203,88 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, likeness: int) ->
     return joined.select("x", "y", "text_x", "text_y").mapInArrow(run, "x long, y long")
 
 
+def dense_links(nodes: DataFrame, part: DataFrame, texts: DataFrame, width: int, likeness: int) -> DataFrame:
+    """Links between components inside dense regions: those that the window does not cover.
+
+    ``part`` is (node, root) so far. The members of a region's largest component meet all
+    others, and these each other; every group is one block of each side. Nothing but
+    confirmed links leaves a task.
+    """
+    known = part.select(F.col("node").alias("doc_id"), "root")
+    region = ["tree", "a", "prefix"]
+    rows = (
+        nodes.join(known, "doc_id", "left")
+        .select("doc_id", F.coalesce("root", "doc_id").alias("component"), F.posexplode("signature").alias("tree", "s"))
+        .select("doc_id", "component", "tree", "s.a", F.shiftright("s.b", 16 * (LEVELS - DEPTH)).alias("prefix"))
+    )
+    dense = (
+        rows.groupBy(*region, "component")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*region)
+        .agg(
+            F.sum("n").alias("n"),
+            F.count(F.lit(1)).alias("components"),
+            F.max("n").alias("largest"),
+            F.max_by("component", F.struct("n", "component")).alias("main"),
+        )
+        .filter((F.col("n") > WINDOW + 1) & (F.col("components") > 1))
+    )
+    dense = staged(dense, "forest-dense")
+    mains = F.ceil(F.col("largest") / BLOCK).cast("int")
+    others = F.ceil((F.col("n") - F.col("largest")) / BLOCK).cast("int")
+    members = rows.join(dense, region).withColumns(
+        {"is_main": F.col("component") == F.col("main"), "mains": mains, "others": others}
+    )
+    slot = F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    members = members.withColumn("slot", slot)
+    block = lambda x, main, y: F.struct(x.alias("one"), F.lit(main).alias("with_main"), y.alias("two"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = F.col("slot")
+    of_main = F.transform(upto("others"), lambda j: block(j, True, own))
+    of_other = F.concat(
+        F.transform(upto("mains"), lambda j: block(own, True, j)),
+        F.transform(upto("others"), lambda j: block(F.least(own, j), False, F.greatest(own, j))),
+    )
+    placed = members.select(
+        "doc_id", "component", "is_main", *region, F.explode(F.when(F.col("is_main"), of_main).otherwise(of_other)).alias("at")
+    )
+    least = TREES * LEVELS * likeness / 100
+    least -= SLACK * (least * (1 - likeness / 100)) ** 0.5
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, components = group.column("doc_id").to_pylist(), group.column("component").to_pylist()
+        main = np.array(group.column("is_main").to_pylist(), bool)
+        sets = [shingles(t, width) for t in group.column("text").to_pylist()]
+        labels = np.stack([signature(x).view(np.uint16).ravel() for x in sets])
+        sizes = np.array([len(x) for x in sets])
+        root = {c: c for c in components}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        found: list[tuple[int, int]] = []
+        either = main.any()
+        for i in np.flatnonzero(~main):
+            against = np.flatnonzero(main) if either else np.arange(i + 1, len(ids))
+            near = (labels[against] == labels[i]).sum(axis=1) >= least
+            near &= 100 * np.minimum(sizes[against], sizes[i]) >= likeness * np.maximum(sizes[against], sizes[i])
+            for j in against[near]:
+                x, y = find(components[i]), find(components[j])
+                if x != y:
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * common >= likeness * (sizes[i] + sizes[j] - common):
+                        root[x] = y
+                        found.append((ids[i], ids[j]))
+        columns = zip(*found) if found else [(), ()]
+        return pa.Table.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["x", "y"])
+
+    met = placed.join(texts, "doc_id").select(*region, "at.*", "doc_id", "component", "is_main", "text")
+    return met.groupBy(*region, "one", "with_main", "two").applyInArrow(compare, "x long, y long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, likeness: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``.
 
@@ -227,10 +318,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, likeness: int = 80) -> Data
         .filter(F.coalesce("root_x", "x") != F.coalesce("root_y", "y"))
         .select("x", "y")
     )
-    more = confirmed(rest, texts, width, likeness)
     # What holds together already goes on as links to its root.
-    whole = components(more.unionByName(part.select(F.col("node").alias("x"), F.col("root").alias("y"))))
-    named = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select(
+    whole = lambda p: p.select(F.col("node").alias("x"), F.col("root").alias("y"))
+    part = staged(components(confirmed(rest, texts, width, likeness).unionByName(whole(part))), "forest-components")
+    part = components(dense_links(nodes, part, texts, width, likeness).unionByName(whole(part)))
+    named = classes.join(part.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", F.coalesce("root", "rep").alias("component_id")
     )
     placed = sets.select("doc_id", "n_shingles", "key").join(named, "key", "left")

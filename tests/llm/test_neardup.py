@@ -86,6 +86,26 @@ def test_borders_of_partitions_lose_no_pair(documents, monkeypatch):
     assert {x.doc_id: x.component_id for x in got} == {i: i - i % 2 for i in range(60)}
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_dense_regions_lose_no_link(documents, monkeypatch, block):
+    """Many texts that are alike but not linked, and links between a few of them; the window sees little."""
+    monkeypatch.setattr(neardup, "WINDOW", 1)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for k in r.sample(range(0, 150, 5), r.randint(1, 7)):
+            words[k] = f"new{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    docs = dict(enumerate(texts))
+    want, _ = plain_components(docs, 4)
+    assert 3 < len(set(want.values())) < 58
+    got = neardup.near_duplicates(documents([{"doc_id": i, "text": t} for i, t in docs.items()]), 4).collect()
+    assert {x.doc_id: x.component_id for x in got} == want
+
+
 def test_components(spark):
     r = random.Random(5)
     links = [(i, i + 1) for i in range(1, 60)] + [(100 + r.randrange(40), 100 + r.randrange(40)) for _ in range(30)]

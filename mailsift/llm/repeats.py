@@ -263,7 +263,7 @@ def dictionary_ranges(members: DataFrame, part: int = PART) -> DataFrame:
     small = sized.filter(F.col("size") <= part)
     columns = ["core", "whole", "low", "high", "origin", "data"]
     found = small.select(*columns).groupBy("core").applyInArrow(_order, _RANGES)
-    large = sized.filter(F.col("size") > part).drop("size").dropDuplicates(["core", "whole"])
+    large = sized.filter(F.col("size") > part).drop("size").repartition("core", "whole").dropDuplicates(["core", "whole"])
     large = staged(_shared(large, BLOCK), "repeats-blocks")
     blocks = large.groupBy("part1", "part2").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     blocked = large.join(blocks, ["part1", "part2"])

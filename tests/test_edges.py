@@ -140,7 +140,8 @@ def nested(depth):
         (part("multipart/mixed", parts=[part("application/pdf", "x"), part("text/html", "<p>y</p>")]), "y"),
         (part("application/pdf", "x"), ""),
         (nested(10), "deep"),
-        (nested(11), ""),
+        (nested(11), "deep"),
+        (nested(39), "deep"),
         (None, ""),
     ],
 )

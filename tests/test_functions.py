@@ -41,7 +41,7 @@ def test_email_rejected(value, email):
         ("noreply@github.com", "noreply@github.com", ""),
         ("   Ann <  a@x.org > ", "a@x.org", "Ann"),
         ('"', '"', ""),
-        ("x" * 201 + " <a@x.org>", "x" * 201 + " <a@x.org>", ""),
+        ("x" * 201 + " <a@x.org>", "a@x.org", "x" * 201),
     ],
 )
 def test_from_header(value, raw, email, name):
@@ -115,7 +115,7 @@ BODIES = [
     ("New content.\n---------- Forwarded message ----------\nOld content.", "New content."),
     ("Plain text.\nWith lines.", "Plain text.\nWith lines."),
     (">text without blank\n>\n> quoted", ">text without blank\n>"),
-    ("> " + "q" * 520 + "\nend", "> " + "q" * 520 + "\nend"),
+    ("> " + "q" * 520 + "\nend", "end"),
     ("-----\nfive dashes stay", "-----\nfive dashes stay"),
     ("On it wrote:\nold", ""),
     ("", ""),

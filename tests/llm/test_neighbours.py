@@ -65,6 +65,12 @@ def test_trees_from_a_sample_index_every_row(embeddings, monkeypatch):
     assert {q: [i for i, _ in v] for q, v in found.items()} == {q: [i for i, _ in v] for q, v in want.items()}
 
 
+def test_probes_grow_until_the_recall_is_reached(embeddings):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=12).astype(np.float32).tolist()) for i in range(4000)]
+    assert recall(got(embeddings(rows), leaf=16, probes=4), plain(rows)) >= 0.9
+
+
 def test_equal_vectors_and_ties(embeddings):
     rows = [(i, [1.0, 0.0]) for i in range(100)] + [(i, [0.0, 1.0]) for i in range(100, 130)]
     found = got(embeddings(rows))

@@ -102,10 +102,15 @@ def near_terms(text: str, start: int, end: int) -> tuple[set[str], int]:
 
 # Stands for whichever entity in the count of a term's documents near any of them.
 ANY = 0
+# Stands for whichever surroundings in the count of a pair's documents.
+WHOLE = 0
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (term, entity, surroundings), as hashes, once per document."""
+    """Rows of (term, entity, surroundings), as hashes, once per document.
+
+    Rows with WHOLE for the surroundings are there once per document and pair.
+    """
     names = ["term", "entity", "near"]
     for batch in batches:
         out = []
@@ -114,7 +119,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for start, kind, end, value in entities(text or ""):
                 terms, near = near_terms(text, start, end)
                 met |= {(_hash(t), _hash(f"{kind}:{value}"), near) for t in terms}
-            out += sorted(met | {(t, ANY, 0) for t, _, _ in met})
+            out += sorted(met | {(t, e, WHOLE) for t, e, _ in met} | {(t, ANY, WHOLE) for t, _, _ in met})
         table = np.array(out, np.int64).reshape(-1, 3)
         yield pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(3)], names=names)
 
@@ -130,8 +135,9 @@ def candidate_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float =
         .groupBy("term", "entity", "near")
         .agg(F.count(F.lit(1)).alias("documents"))
     )
+    whole = F.col("near") == WHOLE
     pairs = met.groupBy("term", "entity").agg(
-        F.sum("documents").alias("together"), F.count(F.lit(1)).alias("surroundings")
+        F.sum(F.when(whole, F.col("documents"))).alias("together"), F.count_if(~whole).alias("surroundings")
     )
     pairs = staged(pairs, "privacy-pairs")
     near_any = pairs.filter(F.col("entity") == ANY).select("term", F.col("together").alias("at_least"))

@@ -70,6 +70,13 @@ def test_terms_that_give_an_entity_away(documents):
     assert all(r.n_term == 0 for r in privacy.digest(privacy.scan(docs)).collect())
 
 
+def test_an_entity_counts_once_per_document(documents):
+    long = "\n".join(f"line{i} contact q@mail.example.com about item{i}" for i in range(50))
+    docs = documents([{"doc_id": 0, "text": long}, *({"doc_id": i, "text": f"contact us {i}"} for i in range(1, 11))])
+    got = {r.doc_id: r for r in privacy.digest(privacy.scan(docs)).collect()}
+    assert all(got[i].spans == "" for i in range(1, 11))
+
+
 def test_copies_count_once(documents):
     docs = documents([{"doc_id": i, "text": "ask Umbrellina at 10.0.0.1 now"} for i in range(5)])
     assert {r.spans for r in privacy.digest(privacy.scan(docs)).collect()} == {"ip:18:26"}

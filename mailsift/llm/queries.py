@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import fingerprints, language, mixing, neardup, neighbours, ngrams, packing, privacy, repeats, secrets
+from mailsift.llm import dialogue, fingerprints, language, mixing, neardup, neighbours, ngrams, packing, privacy, repeats, secrets
 from mailsift.llm.common import read_table
 
 # The byte-level vocabulary of the packing query, in both of its forms.
@@ -64,6 +64,10 @@ def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_forest": op2_minhash_forest,
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
     "op10_projection_forest": op10_projection_forest,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import dialogue, fingerprints, language, lexical, mixing, neardup, neighbours, ngrams, packing, privacy, repeats, secrets
+from mailsift.llm import dialogue, fingerprints, language, lexical, mixing, neardup, neighbours, ngrams, packing, privacy, repeats, secrets, toxicity
 from mailsift.llm.common import read_table
 
 # The byte-level vocabulary of the packing query, in both of its forms.
@@ -68,6 +68,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_toxic_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_projection_forest": op10_projection_forest,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_toxic_clauses": op12_toxic_clauses,
     "op13_ranked_search": op13_ranked_search,
 }
 

@@ -34,6 +34,10 @@ LENGTH = 400
 # A trigger is a 16-gram whose hash is 0 modulo EVERY. Where REACH 16-grams in a row hold
 # none, the smallest hash among them is the trigger, so every string has one near its start.
 EVERY, REACH, GRAM = 96, 192, 16
+# Bytes that decide a trigger, from a string's start on, and bytes after a trigger that make a
+# passage when another document has them too. A passage of 320 bytes in two documents has such
+# a trigger in both, wherever it stands.
+DECIDED, PASSAGE = REACH + GRAM, 128
 # Strings that are parsed at once; longer texts are parsed in pieces that overlap.
 PIECE = 1 << 19
 # Distinct surroundings that one task puts in order, and the widths by which larger
@@ -67,11 +71,11 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 def triggers(text: bytes) -> Iterator[tuple[int, int, int]]:
     """(trigger, first, last): the strings that start in first..last have this trigger.
 
-    A string's trigger depends on its own bytes only.
+    A string's trigger depends on its first DECIDED bytes only; shorter rests have none.
     """
-    for start in range(0, len(text) - LENGTH + 1, PIECE):
-        piece = np.frombuffer(text[start : start + PIECE + LENGTH - 1], np.uint8)
-        strings = len(piece) - LENGTH + 1
+    for start in range(0, len(text) - DECIDED + 1, PIECE):
+        piece = np.frombuffer(text[start : start + PIECE + DECIDED - 1], np.uint8)
+        strings = len(piece) - DECIDED + 1
         hashes = gram_hashes(piece)
         ranked = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
         least = (sliding_least(ranked, REACH)[:strings] & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -86,51 +90,60 @@ def triggers(text: bytes) -> Iterator[tuple[int, int, int]]:
         )
 
 
-_PARSED = "doc_id long, text_hash long, at long, first long, last long, core long, whole long"
-_FIELDS = ["doc_id", "text_hash", "at", "first", "last", "core", "whole"]
+_PARSED = "passage boolean, key long, doc_id long, text_hash long, at long, first long, last long, whole long"
+_FIELDS = ["passage", "key", "doc_id", "text_hash", "at", "first", "last", "whole"]
 
 
 def parse(docs: DataFrame, wanted=None) -> DataFrame:
-    """The triggers of all texts, with hashes of their cores and of their whole surroundings.
+    """The triggers of all texts, each as a row for its core and one for the passage after it.
 
-    The core is what all strings over the trigger hold. With a broadcast filter of cores,
-    triggers with other cores are left out.
+    The core is what all strings of LENGTH bytes over the trigger hold; ``whole`` tells all its
+    surroundings. ``passage`` marks the other kind of row, with the bytes right after the
+    trigger. With a broadcast filter of keys, rows with other keys are left out.
     """
-    signed = lambda x: x - (1 << 63)
+
+    def rows(out: list, table: np.ndarray | None) -> pa.RecordBatch:
+        doc_id, name, at, first, last, core, whole, after = (list(c) for c in (zip(*out) if out else [()] * 8))
+        numbers = [np.array(c, np.int64) for c in (name, at, first, last)]
+        hashes = [np.array(c, np.uint64).view(np.int64) for c in (core, whole, after)]
+        ids = pa.array(doc_id, pa.int64())
+        # 0 stands for a trigger that no string of LENGTH bytes has, or that ends too near the text's end.
+        own, next_to = np.flatnonzero(hashes[0]), np.flatnonzero(hashes[2])
+        key = np.concatenate([hashes[0][own], hashes[2][next_to]])
+        place = np.concatenate([own, next_to])
+        kind = np.arange(len(place)) >= len(own)
+        if table is not None and len(place):
+            good = np.flatnonzero(may_hold(table, key))
+            key, place, kind = key[good], place[good], kind[good]
+        columns = [kind, key, ids.take(pa.array(place)), *(n[place] for n in numbers), hashes[1][place]]
+        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=_FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = wanted.value if wanted else None
+        table, digest = wanted.value if wanted else None, xxhash.xxh3_64_intdigest
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                if len(data) < LENGTH:
+                if len(data) < DECIDED:
                     continue
-                name = text_hash(data)
-                out += [
-                    (
-                        doc_id, name, at, first, last,
-                        signed(xxhash.xxh3_64_intdigest(data[at : at + LENGTH - REACH])),
-                        signed(xxhash.xxh3_64_intdigest(data[first : last + LENGTH], seed=(at - first) << 10 | (last - first))),
-                    )
-                    for at, first, last in triggers(data)
-                ]
+                name, end = text_hash(data), len(data) - LENGTH
+                for at, first, last in triggers(data):
+                    core = whole = after = 0
+                    if first <= end:
+                        last = min(last, end)
+                        core = digest(data[at : at + LENGTH - REACH]) or 1
+                        whole = digest(data[first : last + LENGTH], seed=(at - first) << 10 | (last - first))
+                    if at + PASSAGE <= len(data):
+                        after = digest(data[at : at + PASSAGE], seed=1) or 1
+                    out.append((doc_id, name, at, first, last, core, whole, after))
                 if len(out) >= 1 << 17:
-                    yield _rows(out, table)
+                    yield rows(out, table)
                     out = []
-            yield _rows(out, table)
+            yield rows(out, table)
 
     return docs.select("doc_id", "text").mapInArrow(run, _PARSED)
 
 
-def _rows(out: list, table: np.ndarray | None) -> pa.RecordBatch:
-    columns = [pa.array(list(c), pa.int64()) for c in (zip(*out) if out else [()] * 7)]
-    batch = pa.RecordBatch.from_arrays(columns, names=_FIELDS)
-    if table is None or not out:
-        return batch
-    return batch.filter(pa.array(may_hold(table, batch.column("core").to_numpy())))
-
-
 def text_hash(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
@@ -279,18 +292,26 @@ def dictionary_ranges(members: DataFrame, part: int = PART) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, stop): spans that cover exactly the repeated bytes; they overlap."""
+    """(doc_id, text_hash, start, stop, shared): spans that cover exactly the repeated bytes; they overlap.
+
+    Rows without a span tell the number of triggers (shared) whose passage another doc_id has too.
+    """
+    # Of a core, the surroundings; of a passage, the documents: more than one makes the difference.
+    told = F.when(F.col("passage"), F.coalesce("doc_id", F.lit(-1))).otherwise(F.col("whole"))
     counts = (
         parse(docs)
-        .groupBy("core")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"))
-        .filter("n > 1")
-        .select("core", (F.col("a") != F.col("b")).alias("mixed"))
+        .select("passage", "key", told.alias("told"))
+        .groupBy("passage", "key")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("told").alias("a"), F.max("told").alias("b"))
+        .filter("n > 1 and (a <> b or not passage)")
+        .select("passage", "key", (F.col("a") != F.col("b")).alias("mixed"))
     )
     counts = staged(counts, "repeats-cores")
     spark = docs.sparkSession
-    cores = spark.sparkContext.broadcast(key_filter(counts, F.col("core")))
-    seen = staged(parse(docs, cores).join(counts, "core"), "repeats-triggers")
+    keys = spark.sparkContext.broadcast(key_filter(counts, F.col("key")))
+    seen = staged(parse(docs, keys).join(counts, ["passage", "key"]), "repeats-triggers")
+    shared = seen.filter("passage").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("shared"))
+    seen = seen.filter("not passage").withColumnRenamed("key", "core")
     mixed = seen.filter("mixed")
     reach = {"low": F.col("at") - F.col("last"), "high": F.col("at") - F.col("first")}
     place = F.struct("doc_id", "text_hash", "at", "first", "last")
@@ -326,7 +347,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .select("doc_id", "text_hash", "at", F.explode(F.when(F.col("copies") > 1, all_of_it).otherwise(F.col("ranges"))).alias("r"))
         .select("doc_id", "text_hash", (F.col("at") - F.col("r.high")).alias("start"), (F.col("at") - F.col("r.low") + LENGTH).alias("stop"))
     )
-    return alike.unionByName(some)
+    return alike.unionByName(some).unionByName(shared, allowMissingColumns=True)
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -342,9 +363,11 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[in
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, kept (bytes) and runs (removed spans) of every row of ``docs``.
+    """doc_id, n_bytes, kept (bytes), runs (removed spans) and shared of every row of ``docs``.
 
-    A null text counts as empty; texts shorter than LENGTH keep all. A null doc_id is
+    ``shared`` counts triggers whose passage of PASSAGE bytes another document holds too; it tells
+    of repeated passages that are too short to be removed, and of none in a text that has none.
+    Documents are told apart by doc_id there. A null text counts as empty; texts shorter than LENGTH keep all. A null doc_id is
     carried. Rows that repeat are places of their own, so they repeat each other. Only
     doc_id and text are read.
     """
@@ -352,22 +375,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spans = (
         repeated_spans(rows)
         .groupBy("doc_id", "text_hash")
-        .agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+        .agg(
+            F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "stop"))).alias("spans"),
+            F.coalesce(F.sum("shared"), F.lit(0)).alias("shared"),
+        )
     )
     spans = staged(spans, "repeats-spans")
     names = docs.sparkSession.sparkContext.broadcast(key_filter(spans, F.col("text_hash")))
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    schema = "doc_id long, n_bytes long, kept binary, runs array<struct<start:long,stop:long>>"
+    schema = "doc_id long, n_bytes long, kept binary, runs array<struct<start:long,stop:long>>, shared long"
 
-    def batch_of(ids: pa.Array, sizes: list, kept: list, runs: list) -> pa.RecordBatch:
+    def batch_of(ids: pa.Array, sizes: list, kept: list, runs: list, shared: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [
                 ids,
                 pa.array(sizes, pa.int64()),
                 pa.array(kept, pa.binary()),
                 pa.array([[{"start": a, "stop": b} for a, b in r] for r in runs], run_type),
+                pa.array(shared, pa.int64()),
             ],
-            names=["doc_id", "n_bytes", "kept", "runs"],
+            names=["doc_id", "n_bytes", "kept", "runs", "shared"],
         )
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,26 +402,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             data = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             free = ~may_hold(names.value, np.array([text_hash(d) for d in data], np.int64))
             held = [d for d, f in zip(data, free) if f]
-            yield batch_of(batch.column("doc_id").filter(pa.array(free)), list(map(len, held)), held, [[]] * len(held))
+            yield batch_of(batch.column("doc_id").filter(pa.array(free)), list(map(len, held)), held, [[]] * len(held), [0] * len(held))
 
     def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = batch.column("data").to_pylist()
             done = [cut(d, [(s["start"], s["stop"]) for s in f or []]) for d, f in zip(data, batch.column("spans").to_pylist())]
-            yield batch_of(batch.column("doc_id"), list(map(len, data)), [k for k, _ in done], [r for _, r in done])
+            yield batch_of(batch.column("doc_id"), list(map(len, data)), [k for k, _ in done], [r for _, r in done], batch.column("shared").fill_null(0))
 
     met = (
         _with_hash(rows, names)
         .alias("t")
         .join(spans.alias("s"), F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.text_hash") == F.col("s.text_hash")), "left")
-        .select("t.doc_id", "data", "spans")
+        .select("t.doc_id", "data", "spans", "shared")
     )
     return rows.mapInArrow(untouched, schema).unionByName(met.mapInArrow(changed, schema))
 
 
 def digest(result: DataFrame) -> DataFrame:
-    """Sizes and hash of what is kept."""
+    """Sizes and hash of what is kept, and the number of passages shared with other documents."""
     removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
     return result.select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("shared").alias("n_shared")
     )

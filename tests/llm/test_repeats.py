@@ -33,9 +33,24 @@ def plain(texts):
 def check(documents, texts):
     df = documents([{"doc_id": i, "text": t} for i, t in enumerate(texts)])
     rows = repeats.digest(repeats.remove_repeats(df)).collect()
-    got = {r.doc_id: tuple(r)[1:] for r in rows}
+    got = {r.doc_id: tuple(r)[1:5] for r in rows}
     assert len(rows) == len(texts)
     assert got == dict(enumerate(plain(texts)))
+    check_shared(texts, {r.doc_id: r.n_shared for r in rows})
+
+
+def check_shared(texts, found):
+    """Documents with a common string of 320 bytes are told; those without one of 128 are not."""
+    holders = {}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        for width in (repeats.PASSAGE, repeats.REACH + repeats.PASSAGE):
+            for at in range(len(data) - width + 1):
+                holders.setdefault(data[at : at + width], set()).add(i)
+    short = {i for s, h in holders.items() if len(h) > 1 and len(s) == repeats.PASSAGE for i in h}
+    long = {i for s, h in holders.items() if len(h) > 1 and len(s) > repeats.PASSAGE for i in h}
+    told = {i for i, n in found.items() if n > 0}
+    assert long <= told <= short
 
 
 def prose(r, n):
@@ -93,13 +108,22 @@ def test_triggers_depend_on_the_string_alone():
     r = random.Random(2)
     text = (prose(r, 400) + "q" * 700 + prose(r, 100)).encode()
     whole = {p: at for at, first, last in repeats.triggers(text) for p in range(first, last + 1)}
-    assert sorted(whole) == list(range(len(text) - N + 1))
-    for p in range(0, len(text) - N, 37):
-        ((at, first, last),) = repeats.triggers(text[p : p + N])
+    assert sorted(whole) == list(range(len(text) - repeats.DECIDED + 1))
+    for p in range(0, len(text) - repeats.DECIDED, 37):
+        ((at, first, last),) = repeats.triggers(text[p : p + repeats.DECIDED])
         assert (first, last) == (0, 0) and at + p == whole[p]
         assert 0 <= at < repeats.REACH
 
 
+def test_a_short_passage_is_told_but_stays(documents):
+    r = random.Random(9)
+    passage = prose(r, 56)[:330]
+    texts = [prose(r, 40) + passage + prose(r, 3), passage, prose(r, 90), prose(r, 20) + " " + passage]
+    check(documents, texts)
+    rows = repeats.digest(repeats.remove_repeats(documents([{"doc_id": i, "text": t} for i, t in enumerate(texts)]))).collect()
+    assert {r.doc_id: (r.n_removed, r.n_shared > 0) for r in rows} == {0: (0, True), 1: (0, True), 2: (0, False), 3: (0, True)}
+
+
 def test_odd_rows(odd_documents, documents):
     rows = repeats.digest(repeats.remove_repeats(odd_documents)).collect()
     assert len(rows) == 10

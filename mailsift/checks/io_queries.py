@@ -269,34 +269,34 @@ def _newest_first(v: Views) -> list[DataFrame]:
 
 @query(
     "t3s_digest_stream",
-    """SELECT * FROM (WITH t AS (SELECT date_trunc('day', m.date_received) AS day, m.thread_id, count(*) AS messages, count(*) FILTER (WHERE m.is_unread) AS unread
-       FROM v_messages m WHERE NOT list_has_any(string_split(label_csv, ','), ['SPAM', 'TRASH', 'DRAFT', 'SENT']) GROUP BY 1, 2),
+    """SELECT * FROM (WITH m AS (SELECT *, CASE WHEN ingest_seq % 7 = 3 THEN NULL ELSE date_trunc('day', date_received) END AS day FROM v_messages),
+       t AS (SELECT day, thread_id, count(*) AS messages, count(*) FILTER (WHERE is_unread) AS unread
+       FROM m WHERE NOT list_has_any(string_split(label_csv, ','), ['SPAM', 'TRASH', 'DRAFT', 'SENT']) GROUP BY 1, 2),
        c AS (SELECT DISTINCT thread_id, 'even' AS category, is_unread AS actionable FROM (SELECT thread_id, bool_or(is_unread) AS is_unread, min(ingest_seq) AS s FROM v_messages GROUP BY 1) WHERE s % 2 = 0)
        SELECT day, coalesce(c.category, 'uncategorized') AS category, sum(messages) AS messages, sum(unread) AS unread, count(*) AS threads,
        count(*) FILTER (WHERE coalesce(c.actionable, false)) AS actionable FROM t LEFT JOIN c USING (thread_id) GROUP BY 1, 2)""",
 )
 def t3s(v):
-    """Three runs, newest mail first, with every second thread classified."""
-    src, dst, labels, ckpt = (scratch_path(v.spark, x) for x in ("source", "sink", "labels", "checkpoint"))
+    """Three runs, newest mail first, with every second thread classified and every seventh message without a date."""
+    src, dst, counts, labels, ckpt = (scratch_path(v.spark, x) for x in ("source", "sink", "counts", "labels", "checkpoint"))
     threads = v.messages.groupBy("thread_id").agg(F.max("is_unread").alias("actionable"), F.min("ingest_seq").alias("s"))
     threads.filter("s % 2 = 0").select("thread_id", F.lit("even").alias("category"), "actionable").write.parquet(labels)
+    dated = F.when(F.col("ingest_seq") % 7 != 3, F.col("date_received"))
     for part in _newest_first(v):
-        part.write.mode("append").parquet(src)
-        jobs.digest_stream(v.spark, src, dst, ckpt, labels, part.schema).awaitTermination()
+        part.withColumn("date_received", dated).write.mode("append").parquet(src)
+        jobs.digest_stream(v.spark, src, dst, counts, ckpt, labels, part.schema, fan=2).awaitTermination()
     return v.spark.read.parquet(dst).select("day", "category", "messages", "unread", "threads", "actionable")
 
 
-@query("t4s_dedupe_stream", "SELECT message_id FROM v_messages")
+@query("t4s_dedupe_stream", "SELECT message_id, ingest_seq FROM v_messages")
 def t4s(v):
     """Three runs, newest mail first, and then every message once more."""
-    src, dst, ckpt = (scratch_path(v.spark, x) for x in ("source", "sink", "checkpoint"))
+    src, dst, seen, ckpt = (scratch_path(v.spark, x) for x in ("source", "sink", "seen", "checkpoint"))
     parts = _newest_first(v)
     for part in [*parts, *parts]:
         part.write.mode("append").parquet(src)
-        stream = jobs.dedupe_stream(jobs.message_stream(v.spark, src, part.schema))
-        writer = stream.writeStream.format("parquet").option("checkpointLocation", ckpt).option("path", dst)
-        writer.trigger(availableNow=True).start().awaitTermination()
-    return v.spark.read.parquet(dst).select("message_id")
+        jobs.dedupe_stream(v.spark, src, dst, seen, ckpt, part.schema, fan=2).awaitTermination()
+    return v.spark.read.parquet(dst).select("message_id", "ingest_seq")
 
 
 @query(

@@ -7,7 +7,7 @@ default it processes what is there and stops, so a scheduler may start it at wil
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -15,8 +15,10 @@ from pyspark.sql.streaming import StreamingQuery
 from mailsift.functions.address import sender_key
 from mailsift.functions.flags import has_label, with_flags
 from mailsift.operators.noise import in_scope, sweep_plan
+from mailsift.ranking import first_wins
 from mailsift.schema import INBOX, MESSAGE, STARRED
-from mailsift.session import scratch_run
+from mailsift.session import durable, scratch_run
+from mailsift.streaming.runs import FAN, RunTable
 
 
 def message_stream(spark: SparkSession, src: str, schema: T.StructType = MESSAGE) -> DataFrame:
@@ -64,31 +66,82 @@ def sweep_stream(
     return _start(writer, every)
 
 
-def dedupe_stream(stream: DataFrame) -> DataFrame:
-    """The first arrival of every message id, however late and in whichever order mail comes.
+# Folders that the ids of a run of the index are spread over.
+ID_BUCKETS = 256
+_SEEN = T.StructType([T.StructField("message_id", T.StringType()), T.StructField("bucket", T.IntegerType())])
+
+
+def unseen(batch: DataFrame, seen: DataFrame) -> DataFrame:
+    """The first row of each message id of ``batch`` that ``seen`` (message_id, bucket) does not hold.
 
-    The ids seen so far are keyed state without an end, as mail of any age may be pulled
-    again: 16 to 30 bytes a message, spread over the shuffle partitions. For more than
-    some millions of ids per partition, let the session keep state in RocksDB
-    (``spark.sql.streaming.stateStore.providerClass``).
+    Mail without an id is one message. Only the folders are read that the batch's ids lie in,
+    of which there are at most ID_BUCKETS, and of them only what the ids of the batch match
+    is kept, so the index is not shuffled when the batch is small.
     """
-    return stream.dropDuplicates(["message_id"])
+    firsts = first_wins(batch, ["message_id"], "ingest_seq").withColumn("bucket", _bucket())
+    keys = firsts.select("message_id", "bucket")
+    touched = [r["bucket"] for r in keys.select("bucket").distinct().collect()]
+    stored = seen.filter(F.col("bucket").isin(touched)).select("message_id", "bucket")
+    k, s = keys.alias("k"), stored.alias("s")
+    met = s.join(k, (F.col("s.bucket") == F.col("k.bucket")) & F.col("s.message_id").eqNullSafe(F.col("k.message_id")), "left_semi")
+    f, m = firsts.alias("f"), met.distinct().alias("m")
+    same = (F.col("f.bucket") == F.col("m.bucket")) & F.col("f.message_id").eqNullSafe(F.col("m.message_id"))
+    return f.join(m, same, "left_anti")
 
 
-def daily_digest(messages: DataFrame, classifications: DataFrame | None = None) -> DataFrame:
-    """(day, category, messages, unread, threads, actionable) of mail in scope, per day of receipt.
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("message_id"), F.lit(ID_BUCKETS)).cast("int")
 
-    ``classifications`` is (thread_id, category, actionable); a thread that it does not
-    hold is uncategorized. Threads, and actionable threads, count on each of their days.
+
+def dedupe_stream(
+    spark: SparkSession,
+    src: str,
+    dst: str,
+    seen: str,
+    ckpt: str,
+    schema: T.StructType = MESSAGE,
+    every: str | None = None,
+    fan: int = FAN,
+) -> StreamingQuery:
+    """The first arrival of every message id, however late and in whichever order mail comes.
+
+    The ids seen so far are a table in the folder ``seen``, as mail of any age may be pulled
+    again; the stream itself has no state. A batch meets the ids of the batches before it only,
+    and overwrites its own rows in both tables, so running it again changes nothing. Of equal
+    ids in one batch the first by ``ingest_seq`` counts.
     """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        with scratch_run(batch.sparkSession):
+            index = RunTable(batch.sparkSession, seen, _SEEN, ["bucket"], fan)
+            index.vacuum(batch_id)
+            fresh = durable(unseen(batch, index.read(batch_id)), "unseen")
+            fresh.drop("bucket").write.mode("overwrite").parquet(f"{dst}/batch={batch_id}")
+            index.put(batch_id, fresh.select("message_id", "bucket").repartition("bucket"))
+            index.merge(batch_id, lambda rows: rows.repartition("bucket"))
+
+    writer = message_stream(spark, src, schema).writeStream.foreachBatch(save).option("checkpointLocation", ckpt)
+    return _start(writer, every)
+
+
+def by_day_and_thread(messages: DataFrame) -> DataFrame:
+    """(day, thread_id, messages, unread) of mail in scope; sums over parts of the mail add up."""
     day = F.date_trunc("day", "date_received").cast("timestamp_ntz").alias("day")
-    by_thread = in_scope(messages).groupBy(day, "thread_id").agg(
+    return in_scope(messages).groupBy(day, "thread_id").agg(
         F.count(F.lit(1)).alias("messages"), F.count_if("is_unread").alias("unread")
     )
+
+
+def _summed(threads: DataFrame, *more: str) -> DataFrame:
+    return threads.groupBy("day", "thread_id", *more).agg(F.sum("messages").alias("messages"), F.sum("unread").alias("unread"))
+
+
+def digest_of(threads: DataFrame, classifications: DataFrame | None = None) -> DataFrame:
+    """The digest of (day, thread_id, messages, unread), one row per day and thread."""
     if classifications is None:
-        known = by_thread.withColumns({"category": F.lit(None).cast("string"), "actionable": F.lit(False)})
+        known = threads.withColumns({"category": F.lit(None).cast("string"), "actionable": F.lit(False)})
     else:
-        known = by_thread.join(classifications.select("thread_id", "category", "actionable"), "thread_id", "left")
+        known = threads.join(classifications.select("thread_id", "category", "actionable"), "thread_id", "left")
     return known.groupBy("day", F.coalesce("category", F.lit("uncategorized")).alias("category")).agg(
         F.sum("messages").alias("messages"),
         F.sum("unread").alias("unread"),
@@ -97,30 +150,71 @@ def daily_digest(messages: DataFrame, classifications: DataFrame | None = None)
     )
 
 
+def daily_digest(messages: DataFrame, classifications: DataFrame | None = None) -> DataFrame:
+    """(day, category, messages, unread, threads, actionable) of mail in scope, per day of receipt.
+
+    ``classifications`` is (thread_id, category, actionable); a thread that it does not
+    hold is uncategorized. Threads, and actionable threads, count on each of their days.
+    Mail without a date has a row without a day.
+    """
+    return digest_of(by_day_and_thread(messages), classifications)
+
+
+# The folder of a day, also for mail without one.
+UNDATED = "none"
+_THREADS = T.StructType(
+    [
+        T.StructField("day", T.TimestampNTZType()),
+        T.StructField("thread_id", T.StringType()),
+        T.StructField("messages", T.LongType()),
+        T.StructField("unread", T.LongType()),
+        T.StructField("date", T.StringType()),
+    ]
+)
+
+
+def touched_days(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Rows of the stored table in the days of ``fresh`` (by ``date``), with those of ``fresh``, summed.
+
+    The days of a batch are few, so they become a filter on the folders that are read.
+    """
+    days = [r["date"] for r in fresh.select("date").distinct().collect()]
+    columns = ["day", "thread_id", "messages", "unread", "date"]
+    return _summed(stored.filter(F.col("date").isin(days)).select(*columns).unionByName(fresh.select(*columns)), "date")
+
+
 def digest_stream(
     spark: SparkSession,
     src: str,
     dst: str,
+    threads: str,
     ckpt: str,
     classifications_path: str | None = None,
     schema: T.StructType = MESSAGE,
     every: str | None = None,
+    fan: int = FAN,
 ) -> StreamingQuery:
     """Keep the digest of every day up to date, one folder per day.
 
-    A micro-batch computes anew, from all mail in ``src``, the days that its messages lie
-    in, and overwrites these days only. Late mail changes its day whenever it arrives.
+    Counts per day and thread are kept in the folder ``threads``, a run per micro-batch. A batch
+    reads its own mail and, of the counts before it, those of its days; it overwrites the digest
+    of these days only. Late mail changes its day whenever it arrives, and mail without a date
+    has a row of its own.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        day = F.date_trunc("day", "date_received")
-        days = batch.select(day.alias("_day")).dropna().distinct()
-        stored = session.read.schema(schema).parquet(src)
-        touched = stored.withColumn("_day", day).join(days, "_day", "left_semi").drop("_day")
-        labels = session.read.parquet(classifications_path) if classifications_path else None
-        fresh = daily_digest(touched, labels).withColumn("date", F.date_format("day", "yyyy-MM-dd"))
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(dst)
+        with scratch_run(session):
+            counts = RunTable(session, threads, _THREADS, ["date"], fan)
+            counts.vacuum(batch_id)
+            date = F.coalesce(F.date_format("day", "yyyy-MM-dd"), F.lit(UNDATED))
+            fresh = durable(by_day_and_thread(batch).withColumn("date", date), "threads")
+            counts.put(batch_id, fresh)
+            labels = session.read.parquet(classifications_path) if classifications_path else None
+            digest = digest_of(touched_days(counts.read(batch_id), fresh), labels)
+            digest = digest.withColumn("date", date)
+            digest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(dst)
+            counts.merge(batch_id, lambda rows: _summed(rows, "date"))
 
     writer = message_stream(spark, src, schema).writeStream.foreachBatch(save).option("checkpointLocation", ckpt)
     return _start(writer, every)

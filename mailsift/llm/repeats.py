@@ -6,8 +6,9 @@ trigger is a phrase's suffix of t bytes and what the parse has from the trigger
 two such strings are neighbours in corpus order exactly if their phrase suffixes are
 equal and their places in the order of the parse are next to each other.
 
-1. Triggers are counted by the bytes after them that every string over them holds. Those
-   that occur once can be in no repeated string; most of the corpus ends here.
+1. Triggers are counted by their passage, some bytes after them that every string over them
+   holds, and those that are left by their core, all such bytes. What occurs once can be in no
+   repeated string; most of the corpus ends here.
 2. Triggers with equal surroundings all around are repeated as a whole.
 3. The other distinct surroundings of a trigger, its dictionary, are put in order: the
    texts after it (the parse) are sorted once, phrase suffixes are sorted from their
@@ -34,9 +35,9 @@ LENGTH = 400
 # A trigger is a 16-gram whose hash is 0 modulo EVERY. Where REACH 16-grams in a row hold
 # none, the smallest hash among them is the trigger, so every string has one near its start.
 EVERY, REACH, GRAM = 96, 192, 16
-# Bytes that decide a trigger, from a string's start on, and bytes after a trigger that make a
-# passage when another document has them too. A passage of 320 bytes in two documents has such
-# a trigger in both, wherever it stands.
+# Bytes that decide a trigger, from a string's start on, and bytes after a trigger that are its
+# passage. All strings over the trigger hold them. Where another document has them too, they are
+# shared; any 320 bytes in two documents have such a trigger in both.
 DECIDED, PASSAGE = REACH + GRAM, 128
 # Strings that are parsed at once; longer texts are parsed in pieces that overlap.
 PIECE = 1 << 19
@@ -90,58 +91,73 @@ def triggers(text: bytes) -> Iterator[tuple[int, int, int]]:
         )
 
 
-_PARSED = "passage boolean, key long, doc_id long, text_hash long, at long, first long, last long, whole long"
-_FIELDS = ["passage", "key", "doc_id", "text_hash", "at", "first", "last", "whole"]
+_COUNTED = "passage long, doc_id long, held long"
+_PARSED = "passage long, doc_id long, text_hash long, at long, first long, last long, core long, whole long"
 
 
 def parse(docs: DataFrame, wanted=None) -> DataFrame:
-    """The triggers of all texts, each as a row for its core and one for the passage after it.
+    """The triggers of all texts: passage (a hash), doc_id and held, 1 if a string of LENGTH bytes has the trigger.
 
-    The core is what all strings of LENGTH bytes over the trigger hold; ``whole`` tells all its
-    surroundings. ``passage`` marks the other kind of row, with the bytes right after the
-    trigger. With a broadcast filter of keys, rows with other keys are left out.
+    With a broadcast filter of passages, triggers with others are left out, and the rest come
+    with text_hash, the places of the trigger and of its first and last string, and two hashes:
+    core, of what all those strings hold, and whole, of all surroundings. These two are null
+    where no string has the trigger.
     """
 
-    def rows(out: list, table: np.ndarray | None) -> pa.RecordBatch:
-        doc_id, name, at, first, last, core, whole, after = (list(c) for c in (zip(*out) if out else [()] * 8))
-        numbers = [np.array(c, np.int64) for c in (name, at, first, last)]
-        hashes = [np.array(c, np.uint64).view(np.int64) for c in (core, whole, after)]
-        ids = pa.array(doc_id, pa.int64())
-        # 0 stands for a trigger that no string of LENGTH bytes has, or that ends too near the text's end.
-        own, next_to = np.flatnonzero(hashes[0]), np.flatnonzero(hashes[2])
-        key = np.concatenate([hashes[0][own], hashes[2][next_to]])
-        place = np.concatenate([own, next_to])
-        kind = np.arange(len(place)) >= len(own)
-        if table is not None and len(place):
-            good = np.flatnonzero(may_hold(table, key))
-            key, place, kind = key[good], place[good], kind[good]
-        columns = [kind, key, ids.take(pa.array(place)), *(n[place] for n in numbers), hashes[1][place]]
-        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=_FIELDS)
+    def hashes(text: bytes, at: int, first: int, last: int) -> tuple[int | None, int | None]:
+        if first > last:
+            return None, None
+        core = xxhash.xxh3_64_intdigest(text[at : at + LENGTH - REACH])
+        return core - (1 << 63), xxhash.xxh3_64_intdigest(text[first : last + LENGTH], seed=(at - first) << 10 | (last - first)) - (1 << 63)
+
+    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        passages, ids, held = [], [], []
+        digest = xxhash.xxh3_64_intdigest
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            data = (text or "").encode("utf-8", "surrogatepass")
+            found = [t for t in triggers(data) if t[0] + PASSAGE <= len(data)]
+            passages += [digest(data[at : at + PASSAGE]) for at, _, _ in found]
+            ids += [doc_id] * len(found)
+            held += [int(first <= len(data) - LENGTH) for _, first, _ in found]
+            if len(ids) >= 1 << 16:
+                yield _batch(_COUNTED, _signed(passages), ids, held)
+                passages, ids, held = [], [], []
+        yield _batch(_COUNTED, _signed(passages), ids, held)
+
+    def pick(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        digest, out = xxhash.xxh3_64_intdigest, []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            data = (text or "").encode("utf-8", "surrogatepass")
+            found = [t for t in triggers(data) if t[0] + PASSAGE <= len(data)]
+            if not found:
+                continue
+            passages = _signed([digest(data[at : at + PASSAGE]) for at, _, _ in found])
+            good = np.flatnonzero(may_hold(wanted.value, passages)).tolist()
+            name = text_hash(data) if good else 0
+            for k in good:
+                at, first, last = found[k]
+                last = min(last, len(data) - LENGTH)
+                out.append((int(passages[k]), doc_id, name, at, first, last, *hashes(data, at, first, last)))
+            if len(out) >= 1 << 15:
+                yield _batch(_PARSED, *zip(*out))
+                out = []
+        yield _batch(_PARSED, *(zip(*out) if out else [()] * 8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, digest = wanted.value if wanted else None, xxhash.xxh3_64_intdigest
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                if len(data) < DECIDED:
-                    continue
-                name, end = text_hash(data), len(data) - LENGTH
-                for at, first, last in triggers(data):
-                    core = whole = after = 0
-                    if first <= end:
-                        last = min(last, end)
-                        core = digest(data[at : at + LENGTH - REACH]) or 1
-                        whole = digest(data[first : last + LENGTH], seed=(at - first) << 10 | (last - first))
-                    if at + PASSAGE <= len(data):
-                        after = digest(data[at : at + PASSAGE], seed=1) or 1
-                    out.append((doc_id, name, at, first, last, core, whole, after))
-                if len(out) >= 1 << 17:
-                    yield rows(out, table)
-                    out = []
-            yield rows(out, table)
-
-    return docs.select("doc_id", "text").mapInArrow(run, _PARSED)
+            yield from count(batch) if wanted is None else pick(batch)
+
+    return docs.select("doc_id", "text").mapInArrow(run, _COUNTED if wanted is None else _PARSED)
+
+
+def _signed(digests: list[int]) -> np.ndarray:
+    return np.array(digests, np.uint64).view(np.int64)
+
+
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    """A batch of long columns with the names of a schema."""
+    arrays = [pa.array(c if isinstance(c, np.ndarray) else list(c), pa.int64()) for c in columns]
+    return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in schema.split(", ")])
 
 
 def text_hash(data: bytes) -> int:
@@ -296,22 +312,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     Rows without a span tell the number of triggers (shared) whose passage another doc_id has too.
     """
-    # Of a core, the surroundings; of a passage, the documents: more than one makes the difference.
-    told = F.when(F.col("passage"), F.coalesce("doc_id", F.lit(-1))).otherwise(F.col("whole"))
-    counts = (
+    document = F.coalesce("doc_id", F.lit(-1))
+    passages = (
         parse(docs)
-        .select("passage", "key", told.alias("told"))
-        .groupBy("passage", "key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("told").alias("a"), F.max("told").alias("b"))
-        .filter("n > 1 and (a <> b or not passage)")
-        .select("passage", "key", (F.col("a") != F.col("b")).alias("mixed"))
+        .groupBy("passage")
+        .agg((F.sum("held") > 1).alias("repeated"), (F.min(document) != F.max(document)).alias("shared"))
+        .filter("repeated or shared")
     )
-    counts = staged(counts, "repeats-cores")
+    passages = staged(passages, "repeats-passages")
     spark = docs.sparkSession
-    keys = spark.sparkContext.broadcast(key_filter(counts, F.col("key")))
-    seen = staged(parse(docs, keys).join(counts, ["passage", "key"]), "repeats-triggers")
-    shared = seen.filter("passage").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("shared"))
-    seen = seen.filter("not passage").withColumnRenamed("key", "core")
+    wanted = spark.sparkContext.broadcast(key_filter(passages, F.col("passage")))
+    met = staged(parse(docs, wanted).join(passages, "passage"), "repeats-met")
+    shared = met.filter("shared").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("shared"))
+    held = met.filter("core is not null").drop("passage", "repeated", "shared")
+    cores = (
+        held.groupBy("core")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"))
+        .filter("n > 1")
+        .select("core", (F.col("a") != F.col("b")).alias("mixed"))
+    )
+    seen = staged(held.join(cores, "core"), "repeats-triggers")
     mixed = seen.filter("mixed")
     reach = {"low": F.col("at") - F.col("last"), "high": F.col("at") - F.col("first")}
     place = F.struct("doc_id", "text_hash", "at", "first", "last")

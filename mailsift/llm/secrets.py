@@ -24,6 +24,8 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 VALUE = r"[A-Za-z0-9+/_=-]{20,}"
 # Owners from which on a value counts as an example that is copied about.
 EXAMPLE_OWNERS = 3
+# So is a value in this many documents for each source that carries it: a template, not a credential.
+EXAMPLE_DOCUMENTS = 1000
 # Matches whose positions are summed up together.
 BLOCK = 512
 PLACEHOLDER = "[secret]"
@@ -116,11 +118,12 @@ def ownership(found: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_documents: int = EXAMPLE_DOCUMENTS) -> DataFrame:
     """``doc``, the row as a struct, and ``spans``: all base spans, and the other spans of live-looking values.
 
     A span has start, kind (a place in KINDS), end, and live: whether fewer than
-    ``example_owners`` distinct sources carry the value. A null source is one owner.
+    ``example_owners`` distinct sources carry the value, and these in fewer than
+    ``example_documents`` documents each on average. A null source is one owner.
     Null and empty texts have no spans; repeated rows are scanned one by one and count as
     documents of their own. Further columns are carried in the struct, whatever their names.
     """
@@ -138,7 +141,7 @@ def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     owners = ownership(found.dropDuplicates(["row", "value"]))
     judged = (
         found.join(owners, "value")
-        .withColumn("live", F.col("owners") < example_owners)
+        .withColumn("live", (F.col("owners") < example_owners) & (F.col("documents") < example_documents * F.col("owners")))
         .filter(F.col("live") | (F.col("kind") < KINDS.index("value")))
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("spans"))

@@ -69,6 +69,16 @@ def test_owners_tell_examples_from_live_values(documents):
     assert text[10].text == "use [secret] and [secret]"
 
 
+def test_a_value_in_very_many_documents_of_a_source_is_a_template(documents):
+    template, live = "f" * 31 + "0" * 9, "e" * 31 + "0" * 9
+    rows = [{"doc_id": i, "text": f"use {template} here", "source": "s1"} for i in range(12)]
+    rows += [{"doc_id": 20 + i, "text": f"use {live} {live} here", "source": f"s{i % 2}"} for i in range(12)]
+    scanned = secrets.scan(documents(rows), example_documents=10)
+    got = {r.doc_id: r for r in secrets.digest(scanned).collect()}
+    assert got[0].spans == "hex:4:44" and got[0].n_live == 0 and got[0].n_hex == 1
+    assert got[20].n_live == 4 and got[20].spans.count("value:") == 2
+
+
 def test_odd_rows(odd_documents, documents):
     got = secrets.digest(secrets.scan(odd_documents)).collect()
     assert len(got) == 10

@@ -97,3 +97,25 @@ def test_odd_rows(spark, odd_documents, documents):
             assert docs.columns == columns, name
             assert docs.count() <= 3 * rows
         assert pipeline.STAGES[-1][1](spark, docs, SF).count() >= 0
+
+
+def test_without_labels_documents_with_letters_stay(spark, documents):
+    rows = [{"doc_id": i, "text": f"Clean text number {i}.", "source": "a"} for i in range(20)]
+    docs = documents([*rows, {"doc_id": 20, "text": "123 !?"}, {"doc_id": 21, "text": None}, {"doc_id": 22, "text": ""}])
+    assert sorted(r.doc_id for r in pipeline.identify_language(spark, docs, SF).collect()) == list(range(20))
+
+
+def test_rows_of_one_id_and_without_id_are_compared(spark, documents):
+    text = "one two three four five six seven eight nine ten"
+    rows = [{"doc_id": 3, "text": text}] * 3 + [{"doc_id": None, "text": text}, {"doc_id": 2, "text": "other words " + text[::-1]}]
+    rows += [{"doc_id": None, "text": "a text of its own, without any id"}] * 2 + [{"doc_id": 9, "text": None}, {"doc_id": 9, "text": ""}]
+    kept = pipeline.drop_near_duplicates(spark, documents(rows), SF)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    want = [(2, rows[4]["text"]), (3, text), (9, ""), (9, None), (None, rows[5]["text"])]
+    assert got == sorted(want, key=repr)
+
+
+def test_of_equal_texts_the_smallest_id_stays(spark, documents):
+    text = "one two three four five six seven eight nine ten"
+    rows = [{"doc_id": i, "text": text} for i in (8, 4, 6)] + [{"doc_id": None, "text": text}]
+    assert [r.doc_id for r in pipeline.drop_near_duplicates(spark, documents(rows), SF).collect()] == [4]

@@ -1,12 +1,14 @@
 """Interfaces for models: prompt tables, pluggable scorers, parsing of their output.
 
-A scorer is a plain Python function on pandas batches. Spark partitions the work; how
-many calls run at once is how many tasks run at once.
+A scorer is a plain Python function on pandas batches. Spark partitions the work; how many
+calls run at once is how many tasks run at once, times the calls that a task may make.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,6 +33,8 @@ def score_threads(
     entries: DataFrame,
     fn: Callable[[pd.DataFrame, list[str]], pd.DataFrame],
     categories: Sequence[str] = (),
+    calls: int = 1,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Ask ``fn(thread, categories)`` about every thread: its result rows and ``error``.
 
@@ -38,7 +42,13 @@ def score_threads(
     is one row of thread_id and content, the pieces in order; ``categories`` are the names in
     use, so that names do not drift. A call that fails, or returns nothing for its thread,
     gives a row with an error and no category, and concerns that thread alone.
+
+    A task makes up to ``calls`` calls at the same time, so ``fn`` must stand being called from
+    several threads if that is more than one. A thread of more than ``max_chars`` characters is
+    not asked about and gets an error; no more than that of it is held.
     """
+    if calls < 1:
+        raise ValueError("calls must be positive")
     known = list(categories)
 
     def ask(thread_id: str, pieces: list[str]) -> pd.DataFrame:
@@ -53,17 +63,42 @@ def score_threads(
             error = f"{type(failure).__name__}: {failure}"
         return pd.DataFrame([[thread_id, None, None, None, None, error]], columns=RESULT_COLUMNS)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        current, pieces = None, []
+    def threads(batches: Iterable[pd.DataFrame]) -> Iterable[tuple[str, list[str] | None]]:
+        """The pieces of each thread, or None where they are too long."""
+        current, pieces, held = None, None, -1
         for batch in batches:
             for thread_id, content in zip(batch["thread_id"], batch["content"]):
-                if pieces and thread_id != current:
-                    yield ask(current, pieces)
-                    pieces = []
-                current = thread_id
-                pieces.append(content or "")
-        if pieces:
-            yield ask(current, pieces)
+                if held >= 0 and thread_id != current:
+                    yield current, pieces
+                    held = -1
+                if held < 0:
+                    current, pieces, held = thread_id, [], 0
+                held += len(content or "")
+                if max_chars is not None and held > max_chars:
+                    pieces = None
+                elif pieces is not None:
+                    pieces.append(content or "")
+        if held >= 0:
+            yield current, pieces
+
+    def answer(thread_id: str, pieces: list[str] | None) -> pd.DataFrame:
+        if pieces is None:
+            error = f"thread of more than {max_chars} characters"
+            return pd.DataFrame([[thread_id, None, None, None, None, error]], columns=RESULT_COLUMNS)
+        return ask(thread_id, pieces)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        if calls == 1:
+            yield from (answer(*t) for t in threads(batches))
+            return
+        with ThreadPoolExecutor(calls) as pool:
+            waiting = deque()
+            for thread in threads(batches):
+                waiting.append(pool.submit(answer, *thread))
+                if len(waiting) == calls:
+                    yield waiting.popleft().result()
+            while waiting:
+                yield waiting.popleft().result()
 
     placed = entries.repartition("thread_id").sortWithinPartitions("thread_id", "position")
     return placed.select("thread_id", "content").mapInPandas(run, THREAD_RESULT)

@@ -108,7 +108,7 @@ def test_packing_matches_greedy(spark, seed, max_chars, max_items, wrap):
     data = [(g, s) for g, senders in groups.items() for s in senders]
     schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("sender", T.StringType())])
     df = spark.createDataFrame(data, schema)
-    packed = pack_or_queries(df, ["g"], max_chars=max_chars, max_items=max_items, wrap=wrap, block=8)
+    packed = pack_or_queries(df, ["g"], max_chars=max_chars, max_items=max_items, wrap=wrap, block=8, fan=2)
     got = {g: [] for g in groups}
     for r in packed.orderBy("g", "batch_no").collect():
         assert r["batch_no"] == len(got[r["g"]])

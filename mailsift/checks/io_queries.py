@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -248,6 +250,24 @@ def t1s(v):
     return v.spark.read.parquet(dst).select("message_id", "thread_id", "category", "is_unread")
 
 
+@query(
+    "t1s_pull_stream",
+    "SELECT 'gmail' AS dialect, id, reason FROM v_gmail UNION ALL SELECT 'graph' AS dialect, id, reason FROM v_graph",
+)
+def t1s_pull(v):
+    """Raw pages of both dialects into messages and rejects, half of the lines at a time."""
+    found = []
+    for dialect, raw, inbox in (("gmail", v.raw_gmail, None), ("graph", v.raw_graph, "r0")):
+        src, dst, bad, ckpt = (scratch_path(v.spark, x) for x in ("pages", "messages", "rejects", "checkpoint"))
+        for part in (0, 1):
+            raw.filter(F.col("ingest_seq") % 2 == part).drop("ingest_seq").write.mode("append").json(src)
+            jobs.pull_stream(v.spark, src, dst, bad, ckpt, inbox).awaitTermination()
+        kept = v.spark.read.parquet(dst).select(F.col("message_id").alias("id"), F.lit("").alias("reason"))
+        found += [kept, v.spark.read.parquet(bad).select("id", "reason")]
+        found[-2:] = [f.select(F.lit(dialect).alias("dialect"), "id", "reason") for f in found[-2:]]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     "t2s_sweep_stream",
     """SELECT message_id FROM v_messages WHERE list_contains(string_split(label_csv, ','), 'INBOX') AND lower(sender_email) IN (SELECT sender_key FROM v_noise)""",

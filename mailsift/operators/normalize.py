@@ -22,16 +22,21 @@ def _no_texts() -> Column:
     return F.array().cast("array<string>")
 
 
-def _split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _checked(parsed: DataFrame) -> DataFrame:
+    """The parsed messages, with the reason of those that are rejected."""
     valid = (
         is_email("sender.email")
         & F.forall("recipients.to", is_email)
         & F.forall("recipients.cc", is_email)
         & F.col("date_received").isNotNull()
     )
-    checked = computed_once(
+    return computed_once(
         parsed.withColumn("reason", F.coalesce("reason", F.when(~F.coalesce(valid, F.lit(False)), SCHEMA_FAILURE)))
     )
+
+
+def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages, rejects) of a parsed table; write it down first if both are used, as parsing is costly."""
     messages = checked.filter(F.col("reason").isNull()).select(*MESSAGE.fieldNames())
     rejects = checked.filter(F.col("reason").isNotNull()).select(F.col("message_id").alias("id"), "reason")
     return messages, rejects
@@ -39,6 +44,11 @@ def _split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def normalize_gmail(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(messages, rejects) of Gmail-shaped raw messages with an ``ingest_seq``."""
+    return split(parse_gmail(raw))
+
+
+def parse_gmail(raw: DataFrame) -> DataFrame:
+    """Gmail-shaped raw messages in the columns of the message table, with a reason where one is rejected."""
     headers = F.col("payload.headers")
     # Header values are looked up once; all parsing below works on plain text columns.
     values = computed_once(
@@ -78,7 +88,7 @@ def normalize_gmail(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         "ingest_seq",
         reason.alias("reason"),
     )
-    return _split(parsed)
+    return _checked(parsed)
 
 
 def graph_labels(inbox_id: str | Column) -> Column:
@@ -105,6 +115,11 @@ def graph_recipients(name: str) -> Column:
 
 def normalize_graph(raw: DataFrame, inbox_id: str | Column) -> tuple[DataFrame, DataFrame]:
     """(messages, rejects) of Graph-shaped raw messages with an ``ingest_seq``."""
+    return split(parse_graph(raw, inbox_id))
+
+
+def parse_graph(raw: DataFrame, inbox_id: str | Column) -> DataFrame:
+    """Graph-shaped raw messages in the columns of the message table, with a reason where one is rejected."""
     address = F.col("from.emailAddress.address")
 
     def filled(name: str, default: Column) -> Column:
@@ -133,7 +148,7 @@ def normalize_graph(raw: DataFrame, inbox_id: str | Column) -> tuple[DataFrame,
         "ingest_seq",
         reason.alias("reason"),
     )
-    return _split(parsed)
+    return _checked(parsed)
 
 
 def _leaves(node: Column, levels: int) -> Column:

@@ -15,12 +15,17 @@ from pyspark.sql.streaming import StreamingQuery
 from mailsift.functions.address import sender_key
 from mailsift.functions.flags import has_label, with_flags
 from mailsift.operators.noise import in_scope, sweep_plan
-from mailsift.ranking import first_wins
-from mailsift.schema import INBOX, MESSAGE, STARRED
+from mailsift.operators.normalize import parse_gmail, parse_graph, split
+from mailsift.ranking import first_wins, number_by_order
+from mailsift.schema import INBOX, MESSAGE, RAW_GMAIL, RAW_GRAPH, STARRED
 from mailsift.session import durable, scratch_run
 from mailsift.streaming.runs import FAN, RunTable
 
 
+# Bits of ingest_seq for the place in a micro-batch.
+BATCH_BITS = 40
+
+
 def message_stream(spark: SparkSession, src: str, schema: T.StructType = MESSAGE) -> DataFrame:
     return spark.readStream.schema(schema).parquet(src)
 
@@ -43,6 +48,41 @@ def ingest_stream(
     return _start(writer.option("path", dst).outputMode("append"), every)
 
 
+def pull_stream(
+    spark: SparkSession,
+    src: str,
+    dst: str,
+    rejects: str,
+    ckpt: str,
+    inbox_id: str | None = None,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Raw messages, one JSON object per line, into the message table and the table of rejects.
+
+    Without ``inbox_id`` the lines are Gmail-shaped, else Graph-shaped, with that folder as the
+    inbox. A micro-batch is parsed once, written down, and split into its own folders of both
+    tables, so a batch that is run again replaces what it wrote and a restart equals one run.
+    ``ingest_seq`` is the batch, then the place by file and line in it. A line that is no JSON
+    is rejected.
+    """
+    schema = RAW_GMAIL if inbox_id is None else RAW_GRAPH
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        with scratch_run(batch.sparkSession):
+            lines = durable(batch.withColumn("line", F.monotonically_increasing_id()), "lines")
+            placed = number_by_order(lines, [], ["file", "line"], "place")
+            seq = (F.lit(batch_id).cast("long") * (1 << BATCH_BITS) + F.col("place") - 1).alias("ingest_seq")
+            raw = placed.select(F.from_json("value", schema).alias("r"), seq).select("r.*", "ingest_seq")
+            parsed = durable(parse_gmail(raw) if inbox_id is None else parse_graph(raw, inbox_id), "parsed")
+            messages, bad = split(parsed)
+            with_flags(messages).write.mode("overwrite").partitionBy("month").parquet(f"{dst}/batch={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+
+    source = spark.readStream.text(src).filter(F.trim("value") != "")
+    source = source.select("value", F.col("_metadata.file_path").alias("file"))
+    return _start(source.writeStream.foreachBatch(save).option("checkpointLocation", ckpt), every)
+
+
 def sweep_stream(
     spark: SparkSession,
     src: str,
@@ -67,7 +107,7 @@ def sweep_stream(
 
 
 # Folders that the ids of a run of the index are spread over.
-ID_BUCKETS = 256
+ID_BUCKETS = 32
 _SEEN = T.StructType([T.StructField("message_id", T.StringType()), T.StructField("bucket", T.IntegerType())])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import pathlib
 import re
 
@@ -117,3 +118,29 @@ def test_a_run_that_was_not_finished_does_not_count(spark, table):
     assert rows(table.read(2), "v") == [(1,), (2,)]
     table.put(2, spark.createDataFrame([], "v long, p int"))
     assert rows(table.read(3), "v") == [(1,), (2,)] and table.read(0).collect() == []
+
+
+def raw_line(i, **more):
+    headers = [{"name": "From", "value": f"Ann <a{i}@x.org>"}, {"name": "Subject", "value": f"s{i}"}]
+    message = {"id": f"m{i}", "threadId": "t", "internalDate": "1704067200000", "labelIds": ["INBOX"], "payload": {"headers": headers}}
+    return json.dumps(message | more)
+
+
+def test_pages_become_messages_and_rejects_once(spark, tmp_path):
+    src, dst, bad, ckpt = (str(tmp_path / x) for x in ("src", "dst", "bad", "ckpt"))
+    pathlib.Path(src).mkdir()
+    pages = [[raw_line(0), raw_line(1, threadId="")], ["{broken", raw_line(2), ""], [raw_line(3), raw_line(0)]]
+    for number, page in enumerate(pages):
+        pathlib.Path(src, f"page-{number}.jsonl").write_text("\n".join(page) + "\n")
+        jobs.pull_stream(spark, src, dst, bad, ckpt).awaitTermination()
+        before = rows(spark.read.parquet(dst), "message_id", "ingest_seq"), rows(spark.read.parquet(bad))
+        forget_last_batch(ckpt)
+        jobs.pull_stream(spark, src, dst, bad, ckpt).awaitTermination()
+        assert (rows(spark.read.parquet(dst), "message_id", "ingest_seq"), rows(spark.read.parquet(bad))) == before
+    got = spark.read.parquet(dst).orderBy("ingest_seq")
+    assert [r["message_id"] for r in got.collect()] == ["m0", "m2", "m3", "m0"]
+    assert {r["ingest_seq"] >> jobs.BATCH_BITS for r in got.collect()} == {0, 1, 2}
+    assert sorted((r["id"], r["reason"]) for r in spark.read.parquet(bad).select(F.coalesce("id", F.lit("")).alias("id"), "reason").collect()) == [
+        ("", "Missing message id"),
+        ("m1", "Missing threadId"),
+    ]

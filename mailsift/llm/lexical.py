@@ -32,6 +32,8 @@ TOP = 10
 PIECE = 4096
 # Terms of a block of items, counted once per item, and items of a block.
 TERMS, ITEMS = 1 << 18, 1 << 9
+# Documents that a task scores, about.
+DOCUMENTS = 1 << 13
 # Pieces per item that the first visit looks at.
 FIRST = 4
 
@@ -282,7 +284,9 @@ def _search_block(docs: DataFrame, rows: list, piece: int) -> DataFrame:
     seen = _ranked(_best(index.join(visits, "name"), asked, none)).filter(F.col("rank") == TOP).select("item", "score").toArrow()
     floors = np.zeros(len(rows), np.int64)
     floors[seen.column("item").to_numpy()] = seen.column("score").to_numpy()
-    return _ranked(_best(index, asked, spark.sparkContext.broadcast(floors)))
+    # Scoring takes far more time than reading, so pieces are dealt by number and not by bytes.
+    parts = min(1 << 16, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // DOCUMENTS)))
+    return _ranked(_best(index.repartition(parts, "name"), asked, spark.sparkContext.broadcast(floors)))
 
 
 def search(docs: DataFrame, items: DataFrame, terms_at_once: int = TERMS, piece: int = PIECE) -> DataFrame:

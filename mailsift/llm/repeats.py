@@ -331,7 +331,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .filter("n > 1")
         .select("core", (F.col("a") != F.col("b")).alias("mixed"))
     )
-    seen = staged(held.join(cores, "core"), "repeats-triggers")
+    # Written down, so that the join has two plain sides and a hot core can be split.
+    seen = staged(held.join(staged(cores, "repeats-cores"), "core"), "repeats-triggers")
     mixed = seen.filter("mixed")
     reach = {"low": F.col("at") - F.col("last"), "high": F.col("at") - F.col("first")}
     place = F.struct("doc_id", "text_hash", "at", "first", "last")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailsift.functions.address import NO_SUBJECT, is_email
-from mailsift.ranking import last_wins
+from mailsift.ranking import computed_once, last_wins, number_by_order
 from mailsift.schema import (
     CATEGORIES,
     DECISION_JSON,
@@ -17,6 +17,8 @@ from mailsift.schema import (
     RAW_GRAPH,
     SENDER_STATE_JSON,
 )
+from mailsift.session import durable
+from mailsift.sources.json_arrays import elements
 
 # Shards of a folder: files named batch-NNNNN.json, or one file in each folder shard=NNNNN.
 SHARD_GLOBS = ["batch-*.json", "shard=*/part-*"]
@@ -41,10 +43,20 @@ def _existing(spark: SparkSession, patterns: list[str]) -> list[str]:
     return [p for p in patterns if matches(p)]
 
 
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The files that hold anything; nothing of their contents is read."""
+    return spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"))
+
+
 def _ranked_files(files: DataFrame, *order: str) -> DataFrame:
-    """Distinct files numbered from 0 in an order; the table has one row per file and is narrow."""
-    place = F.row_number().over(Window.orderBy(*order, "file")) - 1
-    return files.select("file", *order).distinct().select("file", place.cast("bigint").alias("file_no"))
+    """(file, file_no): files numbered from 0 in an order, by ranges; no task holds all of them."""
+    ranked = number_by_order(files.select("file", *order), [], [*order, "file"], "file_no")
+    return ranked.select("file", (F.col("file_no") - 1).alias("file_no"))
+
+
+def _complaints(around: DataFrame) -> DataFrame:
+    """No rows, but an error where a file is not one well-formed array; to be joined to its records by a union."""
+    return computed_once(around.filter(F.length("text") < 0).select("file"))
 
 
 def _text_or(c: Column, default: str) -> Column:
@@ -105,13 +117,12 @@ def _shard_records(spark: SparkSession, paths: list[str], run: bool = False) ->
         of_run = F.regexp_extract("file", RUN_FOLDER, 1) if run else F.lit("")
         return df.withColumns({"digits": digits, "run": of_run}).filter("digits is not null")
 
-    source = spark.read.text(paths, wholetext=True)
-    order = _ranked_files(named(source.select(F.col("_metadata.file_path").alias("file"))), "run", "digits")
-    shards = named(source.select("value", F.col("_metadata.file_path").alias("file"))).join(order, "file")
-    fail = F.raise_error(F.concat(F.lit("not a JSON array: "), "file"))
-    body = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(fail)
-    parsed = F.from_json(body, T.ArrayType(MESSAGE_JSON), {"mode": "FAILFAST"})
-    return shards.select("file", "run", "file_no", F.posexplode(parsed).alias("pos", "record"))
+    files = named(_files(spark, paths))
+    objects, around = elements(spark, paths)
+    order = _ranked_files(files, "run", "digits").join(files.select("file", "run"), "file")
+    record = F.from_json("text", MESSAGE_JSON, {"mode": "FAILFAST"}).alias("record")
+    records = objects.join(order, "file").select("file", "run", "file_no", "pos", record)
+    return records.unionByName(_complaints(named(around)), allowMissingColumns=True)
 
 
 def _seq(first_file: int) -> Column:
@@ -132,10 +143,12 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
+    # Written down, so that the text is read once; the counts read three narrow columns of it.
+    lines = durable(lines, "lines")
     splits = lines.groupBy("file", "block").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    splits = splits.join(_ranked_files(splits), "file")
+    splits = splits.join(_ranked_files(splits.select("file").distinct()), "file")
     place = F.shiftleft("file_no", LINE_BITS) + F.col("before") + F.col("line") - F.col("first")
     return lines.join(splits, ["file", "block"]).filter(F.trim("value") != "").select("value", place.alias("seq"))
 
@@ -238,18 +251,16 @@ STATE_TIMES = {
 
 def read_sender_state(spark: SparkSession, path: str) -> DataFrame | None:
     """Rows of a sender state file; None when there is none, an error when it is corrupt."""
-    schema = T.StructType(
-        [
-            T.StructField("version", T.LongType()),
-            T.StructField("mailbox", T.StringType()),
-            T.StructField("generatedAt", T.StringType()),
-            T.StructField("senders", T.ArrayType(SENDER_STATE_JSON)),
-        ]
-    )
-    envelope = _envelope(spark, path, schema)
-    if envelope is None:
+    if not _existing(spark, [path]):
         return None
-    rows = envelope.select("mailbox", "generatedAt", F.explode("senders").alias("s"))
+    objects, around = elements(spark, [path], "senders")
+    strict = {"mode": "FAILFAST"}
+    header = around.select("file", F.from_json("text", "mailbox string, generatedAt string", strict).alias("h"))
+    parsed = objects.select("file", F.from_json("text", SENDER_STATE_JSON, strict).alias("s"))
+    rows = parsed.join(header, "file").select("h.mailbox", "h.generatedAt", "s")
+    # Without senders the header is still looked at, so that a corrupt file is an error.
+    corrupt = computed_once(header.filter(F.length(F.to_json("h")) < 0).select("h.mailbox"))
+    rows = rows.unionByName(corrupt, allowMissingColumns=True)
     times = [F.to_timestamp(f"s.{source}").alias(target) for source, target in STATE_TIMES.items()]
     return rows.select(
         "mailbox", F.to_timestamp("generatedAt").alias("generated_at"), *_snake("s", STATE_FIELDS), *times
@@ -274,14 +285,12 @@ DECISION_FIELDS = {
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame | None:
     """Rows of decision log files; ``log_seq`` orders them by file name, then position."""
-    schema = T.StructType(
-        [T.StructField("version", T.LongType()), T.StructField("decisions", T.ArrayType(DECISION_JSON))]
-    )
-    envelope = _envelope(spark, path, schema)
-    if envelope is None:
+    if not _existing(spark, [path]):
         return None
-    file = F.col("_metadata.file_path").alias("file")
-    rows = envelope.select(file, F.posexplode("decisions").alias("pos", "d")).join(_ranked_files(envelope.select(file)), "file")
+    files = _files(spark, [path])
+    objects, around = elements(spark, [path], "decisions")
+    parsed = objects.select("file", "pos", F.from_json("text", DECISION_JSON, {"mode": "FAILFAST"}).alias("d"))
+    rows = parsed.join(_ranked_files(files), "file").unionByName(_complaints(around), allowMissingColumns=True)
     return rows.select(
         *_snake("d", DECISION_FIELDS),
         F.to_timestamp("d.timestamp").alias("decided_at"),

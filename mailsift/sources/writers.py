@@ -35,10 +35,15 @@ def write_shards(messages: DataFrame, path: str, size: int = SHARD_RECORDS) -> N
 
     An edge format for exchange; tables that Spark reads again belong in Parquet.
     """
-    chunked = chunk(messages, [], "ingest_seq", size, "shard")
+    write_numbered(chunk(messages, [], "ingest_seq", size, "shard"), path)
+
+
+def write_numbered(shards: DataFrame, path: str) -> None:
+    """Messages with their ``shard`` from 0, written as one JSON array for each."""
     record = F.struct("ingest_seq", message_record().alias("record"))
-    arrays = chunked.groupBy("shard").agg(F.to_json(F.array_sort(F.collect_list(record))["record"]).alias("value"))
-    arrays.withColumn("shard", F.lpad((F.col("shard") + 1).cast("string"), 5, "0")).write.partitionBy("shard").text(path)
+    arrays = shards.groupBy("shard").agg(F.to_json(F.array_sort(F.collect_list(record))["record"]).alias("value"))
+    # At least five digits; a longer number keeps all of its own.
+    arrays.withColumn("shard", F.format_string("%05d", F.col("shard") + 1)).write.partitionBy("shard").text(path)
 
 
 def write_messages(messages: DataFrame, path: str) -> None:

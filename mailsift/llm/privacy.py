@@ -1,10 +1,10 @@
 """Personal data: pattern spans, and terms that give protected entities away.
 
 Patterns find e-mail and network addresses, card and telephone numbers: the protected
-entities. Terms that stand near an entity are counted with it over the corpus. A term t
-reveals an entity e as far as p(e | t) is high: the documents that hold t near e, over
-all documents that hold t. Terms above the disclosure threshold are marked, and
-``sanitise`` replaces marked terms and entities by their kinds.
+entities. Terms and entities of a document are counted together over the corpus, however
+far apart they stand. A term t reveals an entity e as far as p(e | t) is high: the
+documents that hold both, over all documents that hold t. Terms above the disclosure
+threshold are marked, and ``sanitise`` replaces marked terms and entities by their kinds.
 """
 
 from __future__ import annotations
@@ -29,12 +29,14 @@ KINDS = ("email", "ip", "card", "phone", "term")
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
 TERM = re.compile(r"[^\W_][\w'-]+")
-# Words on each side of an entity that count as near it.
+# Words on each side that make up the surroundings, by which copies are told from other texts.
 NEAR = 8
-# Share of a term's documents that hold the entity near it, from which on it discloses.
+# Share of a term's documents that hold the entity, from which on it discloses.
 DISCLOSURE = 0.9
-# Different surroundings in which term and entity must have met; copies count once.
+# Different surroundings of the term, and of the entity, in which they must have met.
 SUPPORT = 2
+# Rows of meetings that a worker puts out at once.
+MEETINGS = 1 << 18
 # Bits of the filter that finds candidate terms; false hits are joined away.
 FILTER_BITS = 1 << 23
 # Documents that a worker looks into at once.
@@ -93,60 +95,111 @@ def _hash(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def near_terms(text: str, start: int, end: int) -> tuple[set[str], int]:
-    """Terms within NEAR words of a span, and a hash of these surroundings."""
+def surroundings(text: str, start: int, end: int) -> int:
+    """A hash of the terms within NEAR words of a span."""
     before = [m[0].lower() for m in TERM.finditer(" ".join(text[:start].rsplit(None, NEAR)[-NEAR:]))]
     after = [m[0].lower() for m in TERM.finditer(" ".join(text[end:].split(None, NEAR)[:NEAR]))]
-    return {*before, *after}, _hash(" ".join([*before, "|", *after]))
+    return _hash(" ".join([*before, "|", *after]))
 
 
-# Stands for whichever entity in the count of a term's documents near any of them.
-ANY = 0
-# Stands for whichever surroundings in the count of a pair's documents.
-WHOLE = 0
+def _entity_hash(kind: int, value: str) -> int:
+    return _hash(f"{kind}:{value}")
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (term, entity, surroundings), as hashes, once per document.
+def repeated_entities(rows: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(entity): hashes of the entities that at least ``support`` documents hold; no others can be disclosed."""
 
-    Rows with WHOLE for the surroundings are there once per document and pair.
-    """
-    names = ["term", "entity", "near"]
-    for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            met = set()
-            for start, kind, end, value in entities(text or ""):
-                terms, near = near_terms(text, start, end)
-                met |= {(_hash(t), _hash(f"{kind}:{value}"), near) for t in terms}
-            out += sorted(met | {(t, e, WHOLE) for t, e, _ in met} | {(t, ANY, WHOLE) for t, _, _ in met})
-        table = np.array(out, np.int64).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(3)], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[int] = []
+            for text in batch.column("text").to_pylist():
+                found += {_entity_hash(kind, value) for _, kind, _, value in entities(text or "")}
+            values, counts = np.unique(np.array(found, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["entity", "n"])
+
+    counted = rows.select("text").mapInArrow(run, "entity long, n long").groupBy("entity").agg(F.sum("n").alias("n"))
+    return counted.filter(F.col("n") >= support).select("entity")
+
+
+def _let_through(found: list[tuple[int, int, int, str]], table: np.ndarray) -> list[tuple[int, int, int]]:
+    """Spans as (hash of the entity, start, end), of the entities that a filter lets through."""
+    hashes = np.array([_entity_hash(kind, value) for _, kind, _, value in found], np.int64)
+    return [(int(hashes[i]), found[i][0], found[i][2]) for i in np.flatnonzero(may_hold(table, hashes))]
+
+
+def terms_with_entities(rows: DataFrame, repeated: np.ndarray) -> DataFrame:
+    """(term, beside): in how many documents with a repeated entity each of their terms is, wherever it stands."""
+    shared = rows.sparkSession.sparkContext.broadcast(repeated)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            found: list[int] = []
+            for text in batch.column("text").to_pylist():
+                if (spans := entities(text or "")) and _let_through(spans, shared.value):
+                    found += {_hash(t) for t in {w.lower() for w in TERM.findall(text)}}
+            terms, counts = np.unique(np.array(found, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], names=["term", "n"])
+
+    return rows.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("beside"))
+
+
+def surroundings_of_terms(text: str, table: np.ndarray) -> list[tuple[int, int]]:
+    """Terms of a text that a filter lets through, with a hash of the words around the first place of each."""
+    pieces = text.split()
+    first: dict[str, int] = {}
+    for place, piece in enumerate(pieces):
+        for term in TERM.findall(piece):
+            first.setdefault(term.lower(), place)
+    words = list(first)
+    hashes = np.array([_hash(w) for w in words], np.int64)
+    out = []
+    for i in np.flatnonzero(may_hold(table, hashes)):
+        at = first[words[i]]
+        around = [*pieces[max(0, at - NEAR) : at], "|", *pieces[at + 1 : at + 1 + NEAR]]
+        out.append((int(hashes[i]), _hash(" ".join(around).lower())))
+    return out
 
 
-def candidate_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """Pairs of term and entity that met often enough, with the documents of their meetings.
+def meetings(rows: DataFrame, terms: np.ndarray, repeated: np.ndarray) -> DataFrame:
+    """(term, entity, near_term, near_entity), as hashes: one row per document that holds both, at any distance.
 
-    A pair is dropped here when even the term's documents near entities are too many.
+    Both filters only spare rows. The surroundings of an entity with several places are the smallest hash.
     """
-    met = (
-        docs.select(F.col("text").cast("string"))
-        .mapInArrow(_meetings, "term long, entity long, near long")
-        .groupBy("term", "entity", "near")
-        .agg(F.count(F.lit(1)).alias("documents"))
-    )
-    whole = F.col("near") == WHOLE
-    pairs = met.groupBy("term", "entity").agg(
-        F.sum(F.when(whole, F.col("documents"))).alias("together"), F.count_if(~whole).alias("surroundings")
-    )
-    pairs = staged(pairs, "privacy-pairs")
-    near_any = pairs.filter(F.col("entity") == ANY).select("term", F.col("together").alias("at_least"))
-    return (
-        pairs.filter((F.col("entity") != ANY) & (F.col("surroundings") >= support))
-        .join(near_any, "term")
-        .filter(F.col("together") >= disclosure * F.col("at_least"))
-        .select("term", "entity", "together")
-    )
+    shared = rows.sparkSession.sparkContext.broadcast((terms, repeated))
+    names = ["term", "entity", "near_term", "near_entity"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_terms, known = shared.value
+        held: list[np.ndarray] = []
+        size = 0
+
+        def emit() -> pa.RecordBatch:
+            table = np.concatenate(held)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, i])) for i in range(4)], names=names)
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                spans = _let_through(entities(text or ""), known)
+                if not spans or not (found := surroundings_of_terms(text, known_terms)):
+                    continue
+                near: dict[int, int] = {}
+                for entity, start, end in spans:
+                    around = surroundings(text, start, end)
+                    near[entity] = min(near.get(entity, around), around)
+                sides = np.array(found, np.int64)
+                others = np.array(list(near.items()), np.int64)
+                step = max(1, MEETINGS // len(others))
+                for at in range(0, len(sides), step):
+                    t, e = sides[at : at + step].repeat(len(others), 0), np.tile(others, (len(sides[at : at + step]), 1))
+                    held.append(np.stack([t[:, 0], e[:, 0], t[:, 1], e[:, 1]], 1))
+                    size += len(t)
+                    if size >= MEETINGS:
+                        yield emit()
+                        held, size = [], 0
+        if held:
+            yield emit()
+
+    return rows.select("text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def held_terms(text: str, table: np.ndarray) -> dict[str, int]:
@@ -181,10 +234,33 @@ def term_documents(rows: DataFrame, table: np.ndarray) -> DataFrame:
 
 
 def disclosing_terms(rows: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """Terms of which some entity stands near in at least ``disclosure`` of their documents."""
-    pairs = staged(candidate_terms(rows, support, disclosure), "privacy-candidates")
-    spread = term_documents(rows, key_filter(pairs, F.col("term"), FILTER_BITS))
-    told = pairs.join(spread, "term").filter(F.col("together") >= disclosure * F.col("documents"))
+    """Terms of which at least ``disclosure`` of the documents hold one entity, anywhere in the text.
+
+    A pair counts once per document. Only terms are followed that could still reach the share: of their
+    documents, enough hold some entity that ``support`` documents have. A text and its copies would
+    disclose all their words, so the documents of a pair must show ``support`` different surroundings
+    of the entity, and as many of the term. With 2, the least number that is more than one text,
+    an entity that is in one text only, or in copies of it, is disclosed by none of its words.
+    """
+    repeated = key_filter(repeated_entities(rows, support), F.col("entity"), FILTER_BITS)
+    beside = terms_with_entities(rows, repeated).filter(F.col("beside") >= support)
+    beside = staged(beside, "privacy-beside")
+    spread = term_documents(rows, key_filter(beside, F.col("term")))
+    reach = beside.join(spread, "term").filter(F.col("beside") >= disclosure * F.col("documents"))
+    reach = staged(reach.select("term", "documents"), "privacy-reach")
+    pairs = (
+        meetings(rows, key_filter(reach, F.col("term"), FILTER_BITS), repeated)
+        .groupBy("term", "entity", "near_term", "near_entity")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("term", "entity")
+        .agg(
+            F.sum("n").alias("together"),
+            F.count_distinct("near_term").alias("term_places"),
+            F.count_distinct("near_entity").alias("entity_places"),
+        )
+    )
+    told = pairs.filter((F.col("term_places") >= support) & (F.col("entity_places") >= support)).join(reach, "term")
+    told = told.filter(F.col("together") >= disclosure * F.col("documents"))
     return staged(told.select("term").distinct(), "privacy-terms")
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 from hypothesis import given
@@ -77,6 +78,58 @@ def test_an_entity_counts_once_per_document(documents):
     assert all(got[i].spans == "" for i in range(1, 11))
 
 
+def test_terms_count_at_any_distance(documents):
+    far = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [{"doc_id": i, "text": f"Quillworth {far(i, 40)} q@mail.example.com {far(i + 50, 9)}"} for i in range(10)]
+    rows += [{"doc_id": 20 + i, "text": f"Umbrellina {far(i + 100, 30)}"} for i in range(10)]
+    got = {r.doc_id: r for r in privacy.digest(privacy.scan(documents(rows))).collect()}
+    assert all(got[i].spans.startswith("term:0:10,email:") and got[i].n_term == 1 for i in range(10))
+    assert all(got[20 + i].spans == "" for i in range(10))
+
+
+def told(rows, disclosure):
+    """Disclosing terms by plain counting."""
+    holds, where = {}, {}
+    for text in rows:
+        found = privacy.entities(text or "")
+        near = {}
+        for s, k, e, v in found:
+            near.setdefault((k, v), []).append(privacy.surroundings(text, s, e))
+        pieces = (text or "").split()
+        first = {}
+        for at, piece in enumerate(pieces):
+            for t in privacy.TERM.findall(piece):
+                first.setdefault(t.lower(), at)
+        for t, at in first.items():
+            holds[t] = holds.get(t, 0) + 1
+            around = " ".join([*pieces[max(0, at - 8) : at], "|", *pieces[at + 1 : at + 9]]).lower()
+            for entity, places in near.items():
+                where.setdefault((t, entity), []).append((around, min(places)))
+    return {
+        t
+        for (t, _), met in where.items()
+        if len(met) >= disclosure * holds[t] and min(len({a for a, _ in met}), len({b for _, b in met})) >= 2
+    }
+
+
+def test_equals_plain_counts(documents):
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(60)]
+    kinds = ["a@b.example.org", "10.1.2.3", "c@d.example.org", "+1 202 555 01 99"]
+    rows = []
+    for i in range(120):
+        text = rng.choices(words, k=rng.randrange(0, 9))
+        for e in rng.sample(range(4), rng.choice([0, 0, 1, 1, 2])):
+            text += [kinds[e], f"Name{e}"] if rng.random() < 0.95 else [kinds[e]]
+            text += [f"tail{e}x{rng.randrange(6)}"]
+        rng.shuffle(text)
+        rows.append(" ".join(text) if i % 40 else None)
+    for disclosure in (0.5, 0.9):
+        df = documents([{"doc_id": i, "text": t} for i, t in enumerate(rows)])
+        want = {privacy._hash(t) for t in told(rows, disclosure)}
+        assert {r.term for r in privacy.disclosing_terms(df, disclosure).collect()} == want and want
+
+
 def test_copies_count_once(documents):
     docs = documents([{"doc_id": i, "text": "ask Umbrellina at 10.0.0.1 now"} for i in range(5)])
     assert {r.spans for r in privacy.digest(privacy.scan(docs)).collect()} == {"ip:18:26"}

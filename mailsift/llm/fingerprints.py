@@ -3,7 +3,8 @@
 Leaves are sentences (longer runs are cut every 100 code points), their parents
 paragraphs, then sections, then the root. Roots are equal exactly for equal texts; where
 roots differ, the hashes of sections and paragraphs say where. The likeness of two trees
-is the share of code points in leaves that both hold. Only DataFrame functions are used.
+is the share of code points in leaves that both hold; it comes from the trees' leaves, not
+from their roots. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -68,24 +69,75 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(whole > 0, 2.0 * size(F.array_intersect(a, b)) / whole).otherwise(1.0)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _ends(a: Column, b: Column) -> Column:
+    """How many children two nodes share at their beginnings, and at their ends in what is left."""
+    least = F.least(F.size(a), F.size(b))
+    steps = F.slice(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), F.lit(1), least)
+
+    def run(same) -> Column:
+        other = F.array_position(F.transform(steps, same), F.lit(False)).cast("int")
+        return F.when(other > 0, other - 1).otherwise(least)
+
+    lead = run(lambda i: F.get(a, i - 1) == F.get(b, i - 1))
+    tail = run(lambda i: F.get(a, F.size(a) - i) == F.get(b, F.size(b) - i))
+    return _let(lead, lambda n: F.struct(n.alias("lead"), F.least(tail, least - n).alias("tail")))
+
+
+def _inner(x: Column, ends: Column) -> Column:
+    return F.slice(x, ends["lead"] + 1, F.size(x) - ends["lead"] - ends["tail"])
+
+
 def differing(a: Column, b: Column) -> Column:
-    """Section and paragraph numbers, from 0, at which two trees differ.
+    """Section and paragraph numbers, from 0, in tree ``b`` of what tree ``a`` does not hold there.
 
-    Sections with equal hashes are not looked into.
+    With the trees exchanged it tells what was removed. Sections that both trees begin or end
+    with are not looked into, nor are paragraphs that the sections between begin or end with.
+    Of the paragraphs left, each is matched with the next equal one of ``a``, in order, so
+    what was put in shifts nothing, and a moved paragraph shows at its new or its old place.
+    Empty in both directions exactly for equal trees.
     """
-    places = F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b), F.lit(1)) - 1)
-
-    def inside(i: Column) -> Column:
-        x, y = F.get(a, i), F.get(b, i)
-        within = F.sequence(F.lit(0), F.greatest(F.coalesce(F.size(x), F.lit(0)), F.coalesce(F.size(y), F.lit(0)), F.lit(1)) - 1)
-        return F.when(x.eqNullSafe(y), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(
-            F.transform(
-                F.filter(within, lambda j: ~F.get(x, j).eqNullSafe(F.get(y, j))),
-                lambda j: F.struct(i.alias("section"), j.alias("paragraph")),
-            )
+    place = "array<struct<section:int,paragraph:int>>"
+    places = lambda x: F.transform(x, lambda p: F.struct(p["section"], p["paragraph"]))
+
+    def paragraphs(t: Column, ends: Column) -> Column:
+        return F.struct(
+            F.flatten(_inner(t["a"], ends)).alias("a"),
+            F.flatten(
+                F.transform(
+                    _inner(t["b"], ends),
+                    lambda s, i: F.transform(
+                        s,
+                        lambda h, j: F.struct((ends["lead"] + i).alias("section"), j.alias("paragraph"), h.alias("hash")),
+                    ),
+                )
+            ).alias("b"),
         )
 
-    return F.flatten(F.transform(places, inside))
+    def step(state: Column, p: Column) -> Column:
+        found = F.array_position(state["rest"], p["hash"]).cast("int")
+        after = F.slice(state["rest"], found + 1, F.size(state["rest"]))
+        here = F.struct(p["section"].alias("section"), p["paragraph"].alias("paragraph"))
+        return F.when(found > 0, F.struct(after.alias("rest"), state["out"].alias("out"))).otherwise(
+            F.struct(state["rest"].alias("rest"), F.array_append(state["out"], here).alias("out"))
+        )
+
+    def unmatched(rest: Column, own: Column) -> Column:
+        start = F.struct(rest.alias("rest"), F.array().cast(place).alias("out"))
+        walked = F.aggregate(own, start, step, lambda state: state["out"])
+        apart = F.size(F.array_intersect(rest, own["hash"])) == 0
+        return F.when(apart, places(own).cast(place)).otherwise(walked)
+
+    def inside(t: Column) -> Column:
+        ends = _ends(t["a"], t["b"]["hash"])
+        return _let(ends, lambda e: unmatched(_inner(t["a"], e), _inner(t["b"], e)))
+
+    trees = F.struct(a.alias("a"), b.alias("b"))
+    return _let(trees, lambda t: _let(_ends(t["a"], t["b"]), lambda e: _let(paragraphs(t, e), inside)))
 
 
 def following(keys: DataFrame, level: int = 0) -> DataFrame:
@@ -112,6 +164,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Order is by doc_id, then text. Texts are shuffled once: documents of nearby ids share
     a window, and the first document of each window also goes, as a guest, into the window before.
+    Documents without an id lie scattered, and each is its own next.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
@@ -130,7 +183,10 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.explode(
             F.array_compact(
                 F.array(
-                    F.struct(F.shiftright("doc_id", SPAN_BITS).alias("g"), F.lit(False).alias("guest")),
+                    F.struct(
+                        F.coalesce(F.shiftright("doc_id", SPAN_BITS), F.xxhash64("text")).alias("g"),
+                        F.lit(False).alias("guest"),
+                    ),
                     F.when(F.col("home").isNotNull(), F.struct(F.col("home").alias("g"), F.lit(True).alias("guest"))),
                 )
             )
@@ -138,7 +194,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
     window = Window.partitionBy("at.g").orderBy("at.guest", "doc_id", "text")
     return (
-        placed.withColumn("next_text", F.lead("text").over(window))
+        placed.withColumn("next_text", F.when(F.col("doc_id").isNotNull(), F.lead("text").over(window)))
         .filter(~F.col("at.guest"))
         .select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
     )
@@ -147,9 +203,10 @@ def with_next(docs: DataFrame) -> DataFrame:
 def compare(docs: DataFrame) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, with likenesses.
 
-    Null text counts as empty. A document without an id has no place in the order: such
-    rows follow one another by their texts, and the last of them is its own next. Rows
-    that repeat an id follow one another by text. Only doc_id and text are read.
+    Null text counts as empty. A document without an id has no place in the order and is
+    its own next. Rows that repeat an id follow one another by text. ``changed_paragraphs``
+    counts the paragraphs of the edited text that the text does not hold in their places.
+    Only doc_id and text are read.
     """
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(

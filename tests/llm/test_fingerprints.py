@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from mailsift.llm import fingerprints
@@ -71,6 +73,46 @@ def test_differing_branches_are_located(value):
     assert value(fingerprints.differing(trees[0], trees[0])) == []
 
 
+def test_what_is_put_in_shifts_nothing(value):
+    def places(a, b):
+        trees = [fingerprints.paragraph_hashes(F.lit(t)) for t in (a, b)]
+        return [tuple(x) for x in value(fingerprints.differing(*trees))]
+
+    thirty = "Equal line.\n" * 30
+    assert places(thirty, "New.\n" + thirty) == [(0, 0)] and places("New.\n" + thirty, thirty) == []
+    assert places(thirty, "Equal line.\n" + thirty) == [(0, 30)]
+    sections = "".join(f"Head {i}.\nBody {i}.\n\n" for i in range(6))
+    assert places(sections, "A.\n\n" + sections.replace("Body 4", "Corpse 4")) == [(0, 0), (5, 1)]
+    assert places("a\nb\nc\n", "b\na\nc\n") == [(0, 1)]
+    assert places("", "") == [] and places("", "x") == [(0, 0)] and places("x", "") == []
+
+
+@given(st.lists(st.sampled_from(["a\n", "b\n", "c\n\n", "d"]), max_size=12), st.lists(st.sampled_from(["a\n", "b\n", "c\n\n", "d"]), max_size=12))
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_differences_in_both_directions_explain_the_edit(value, x, y):
+    a, b = "".join(x), "".join(y)
+    trees = [fingerprints.paragraph_hashes(F.lit(t)) for t in (a, b)]
+
+    def left(text, places):
+        parts = [[p for p in re.split(r"(?<=\n)(?!\n)", s) if p] for s in re.split(r"(?<=\n\n)(?!\n)", text) if s]
+        return [p for i, s in enumerate(parts) for j, p in enumerate(s) if (i, j) not in places]
+
+    new, old = ({tuple(p) for p in value(fingerprints.differing(*t))} for t in (trees, trees[::-1]))
+    assert (a == b) == (not new and not old)
+    assert is_part(left(b, new), left(a, set())) and is_part(left(a, old), left(b, set()))
+
+
+def is_part(some, whole):
+    """Whether a list comes out of another by leaving out."""
+    rest = iter(whole)
+    return all(p in rest for p in some)
+
+
+def test_documents_without_ids_are_their_own_next(documents):
+    rows = fingerprints.compare(documents([{"doc_id": None, "text": f"No id {i}. At all."} for i in range(5)])).collect()
+    assert len(rows) == 5 and all(r.near_next == 1.0 for r in rows)
+
+
 def test_odd_rows(odd_documents, documents):
     rows = fingerprints.compare(odd_documents).collect()
     assert len(rows) == 10

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.checks.noise_queries import manifest
@@ -15,7 +15,7 @@ from mailsift.checks.views import Views
 from mailsift.functions.measure import iso_instant
 from mailsift.operators import decisions as dc
 from mailsift.operators import normalize
-from mailsift.ranking import chunk
+from mailsift.ranking import chunk, number_by_sequence
 from mailsift.session import scratch_path
 from mailsift.sources import readers, writers
 from mailsift.streaming import jobs
@@ -33,8 +33,8 @@ def a1(v):
     root = scratch_path(v.spark, "shards")
     writers.write_shards(v.messages, root)
     read = readers.read_messages(v.spark, root)
-    rank = read.select("message_id", F.row_number().over(Window.orderBy("ingest_seq")).cast("bigint").alias("read_order"))
-    return flat_messages(read).join(rank, "message_id")
+    ranked = number_by_sequence(read, [], "ingest_seq", "read_order")
+    return flat_messages(ranked, "read_order")
 
 
 @query(
@@ -167,8 +167,7 @@ def a9(v):
     log = dc.with_feedback(v.decisions).withColumn("system_recommendation", F.lit("keep")).withColumn("email_count", F.lit(1))
     record = F.struct(*_renamed(readers.DECISION_FIELDS), iso_instant("decided_at").alias("timestamp"))
     path = _envelopes(log, "log_seq", record, "decisions", "log")
-    order = F.row_number().over(Window.orderBy("log_seq")).cast("bigint")
-    return readers.read_decisions(v.spark, path).withColumn("read_order", order).select(
+    return number_by_sequence(readers.read_decisions(v.spark, path), [], "log_seq", "read_order").select(
         "run_id",
         "batch_id",
         "sender_email",

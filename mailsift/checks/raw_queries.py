@@ -36,7 +36,7 @@ SELECT *, coalesce(CASE WHEN id IS NULL THEN 'Missing id' WHEN no_from = 1 THEN
 CC = "CASE WHEN cc_text IS NULL THEN '' ELSE concat('c', ingest_seq % 7, '@z.org,d@z.org') END"
 
 
-def flat_messages(df: DataFrame) -> DataFrame:
+def flat_messages(df: DataFrame, *more: str) -> DataFrame:
     return df.select(
         "message_id",
         "thread_id",
@@ -49,6 +49,7 @@ def flat_messages(df: DataFrame) -> DataFrame:
         "category",
         texts("labels", ","),
         "is_unread",
+        *more,
     )
 
 

@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # Folders of many small files are listed by a few hundred tasks, not by one task for each path.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "256",
 }
 
 

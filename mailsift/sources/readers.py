@@ -18,7 +18,7 @@ from mailsift.schema import (
     SENDER_STATE_JSON,
 )
 from mailsift.session import durable
-from mailsift.sources.json_arrays import elements
+from mailsift.sources.json_arrays import checked_objects, elements, listed
 
 # Shards of a folder: files named batch-NNNNN.json, or one file in each folder shard=NNNNN.
 SHARD_GLOBS = ["batch-*.json", "shard=*/part-*"]
@@ -43,22 +43,12 @@ def _existing(spark: SparkSession, patterns: list[str]) -> list[str]:
     return [p for p in patterns if matches(p)]
 
 
-def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The files that hold anything; nothing of their contents is read."""
-    return spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"))
-
-
 def _ranked_files(files: DataFrame, *order: str) -> DataFrame:
     """(file, file_no): files numbered from 0 in an order, by ranges; no task holds all of them."""
     ranked = number_by_order(files.select("file", *order), [], [*order, "file"], "file_no")
     return ranked.select("file", (F.col("file_no") - 1).alias("file_no"))
 
 
-def _complaints(around: DataFrame) -> DataFrame:
-    """No rows, but an error where a file is not one well-formed array; to be joined to its records by a union."""
-    return computed_once(around.filter(F.length("text") < 0).select("file"))
-
-
 def _text_or(c: Column, default: str) -> Column:
     return F.coalesce(c, F.lit(default))
 
@@ -103,26 +93,24 @@ def _empty_messages(spark: SparkSession) -> DataFrame:
     return spark.range(0).select(*_to_messages(record, F.col("id")))
 
 
-def _shard_records(spark: SparkSession, paths: list[str], run: bool = False) -> DataFrame:
-    """(file, run, file_no, pos, record) of all shard records; a file that is no JSON array fails.
+def _shard_records(spark: SparkSession, paths: list[str], runs: DataFrame | None = None) -> DataFrame:
+    """(file, file_no, pos, record) of all shard records, or those of ``runs``; a file that is no JSON array fails.
 
     Files are in order of their run, if any, and of their digits as a text.
     """
-
-    def named(df: DataFrame) -> DataFrame:
-        digits = F.coalesce(
-            F.nullif(F.regexp_extract("file", SHARD_NAME, 1), F.lit("")),
-            F.nullif(F.regexp_extract("file", SHARD_NAME, 2), F.lit("")),
-        )
-        of_run = F.regexp_extract("file", RUN_FOLDER, 1) if run else F.lit("")
-        return df.withColumns({"digits": digits, "run": of_run}).filter("digits is not null")
-
-    files = named(_files(spark, paths))
-    objects, around = elements(spark, paths)
-    order = _ranked_files(files, "run", "digits").join(files.select("file", "run"), "file")
+    digits = F.coalesce(
+        F.nullif(F.regexp_extract("file", SHARD_NAME, 1), F.lit("")),
+        F.nullif(F.regexp_extract("file", SHARD_NAME, 2), F.lit("")),
+    )
+    of_run = F.lit("") if runs is None else F.regexp_extract("file", RUN_FOLDER, 1)
+    files = listed(spark, paths).withColumns({"digits": digits, "run": of_run}).filter("digits is not null")
+    order = _ranked_files(files, "run", "digits")
+    if runs is not None:
+        files = files.join(runs, "run", "left_semi")
+        order = order.join(files.select("file"), "file", "left_semi")
+    objects = checked_objects(spark, paths, files=files)
     record = F.from_json("text", MESSAGE_JSON, {"mode": "FAILFAST"}).alias("record")
-    records = objects.join(order, "file").select("file", "run", "file_no", "pos", record)
-    return records.unionByName(_complaints(named(around)), allowMissingColumns=True)
+    return objects.join(order, "file").select("file", "file_no", "pos", record)
 
 
 def _seq(first_file: int) -> Column:
@@ -193,8 +181,7 @@ def read_backfill(spark: SparkSession, root: str) -> DataFrame:
         .select(F.regexp_extract("_metadata.file_path", RUN_FOLDER, 1).alias("run"), state.alias("s"))
         .filter((F.col("s.status") == "complete") & F.col("s.runId").isNotNull())
     )
-    records = _shard_records(spark, paths, run=True)
-    return _messages(records.join(runs.select("run"), "run"), FILES, "FAILFAST")
+    return _messages(_shard_records(spark, paths, runs.select("run")), FILES, "FAILFAST")
 
 
 def load_all(spark: SparkSession, root: str) -> DataFrame:
@@ -287,10 +274,10 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame | None:
     """Rows of decision log files; ``log_seq`` orders them by file name, then position."""
     if not _existing(spark, [path]):
         return None
-    files = _files(spark, [path])
-    objects, around = elements(spark, [path], "decisions")
+    files = listed(spark, [path])
+    objects = checked_objects(spark, [path], "decisions", files)
     parsed = objects.select("file", "pos", F.from_json("text", DECISION_JSON, {"mode": "FAILFAST"}).alias("d"))
-    rows = parsed.join(_ranked_files(files), "file").unionByName(_complaints(around), allowMissingColumns=True)
+    rows = parsed.join(_ranked_files(files), "file")
     return rows.select(
         *_snake("d", DECISION_FIELDS),
         F.to_timestamp("d.timestamp").alias("decided_at"),

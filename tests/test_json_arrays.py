@@ -8,7 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mailsift.sources import readers, writers
+from mailsift import checks
+from mailsift.sources import json_arrays, readers, writers
 from mailsift.sources.json_arrays import elements
 
 from conftest import rows  # noqa: I001
@@ -119,3 +120,58 @@ def test_no_plan_gathers_all_files_in_one_task(spark, tmp_path):
     for df in (readers.read_messages(spark, str(tmp_path)), readers.read_raw_gmail(spark, str(tmp_path / "lines-*.jsonl"))):
         assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString().replace("EnsureRequirements", "")
         assert df.count() in (5, 10)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [150, 1 << 20])
+def test_split_files_equal_a_json_parser(spark, tmp_path, small_splits, monkeypatch, size):
+    """The way of large files, taken for all of them."""
+    monkeypatch.setattr(json_arrays, "SMALL", 0)
+    small_splits(size)
+    rows_ = objects(size, 40)
+    (tmp_path / "a.json").write_text(json.dumps(rows_))
+    assert read(spark, tmp_path / "a.json") == (rows_, [[]])
+    (tmp_path / "b.json").write_text(json.dumps({"version": 3, "rows": rows_}))
+    assert read(spark, tmp_path / "b.json", "rows") == (rows_, [{"version": 3, "rows": []}])
+
+
+@pytest.mark.parametrize("text", BROKEN[:6])
+def test_a_large_file_of_anything_else_is_an_error(spark, tmp_path, monkeypatch, text):
+    monkeypatch.setattr(json_arrays, "SMALL", 0)
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception, match="not a JSON array"):
+        read(spark, tmp_path / "a.json")
+
+
+def test_small_and_large_files_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(json_arrays, "SMALL", 1000)
+    for number, n in ((1, 3), (2, 40), (3, 2)):
+        (tmp_path / f"batch-{number:05d}.json").write_text(json.dumps([RECORD | {"messageId": f"m{number}-{i}"} for i in range(n)]))
+    got = [r["message_id"] for r in readers.read_messages(spark, str(tmp_path)).orderBy("ingest_seq").collect()]
+    assert got == [f"m{k}-{i}" for k, n in ((1, 3), (2, 40), (3, 2)) for i in range(n)]
+    (tmp_path / "batch-00002.json").write_text(json.dumps([RECORD] * 40)[:-1])
+    with pytest.raises(Exception, match="not a JSON array"):
+        readers.read_messages(spark, str(tmp_path)).collect()
+
+
+def test_small_files_are_read_in_one_pass(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([RECORD]))
+    found, _ = elements(spark, [str(tmp_path / "a.json")])
+    assert "Window" not in plan_of(found) and "Join" not in plan_of(found) and "Aggregate" not in plan_of(found)
+
+
+def test_broken_shards_of_a_failed_run_are_not_read(spark, tmp_path):
+    for run, status, text in (("a", "complete", json.dumps([RECORD])), ("b", "failed", "[{")):
+        folder = tmp_path / "backfills" / run
+        folder.mkdir(parents=True)
+        (folder / "batch-00001.json").write_text(text)
+        (folder / "backfill-checkpoint.json").write_text(json.dumps({"runId": run, "status": status}))
+    assert readers.load_all(spark, str(tmp_path)).count() == 1
+
+
+@pytest.mark.parametrize("name", ["a1_read_messages", "a9_read_decisions"])
+def test_read_order_is_no_single_window(spark, name):
+    assert "Window" not in plan_of(checks.QUERIES[name](spark, "/root/testdata/sf0.001"))

@@ -16,7 +16,7 @@ from mailsift.functions.address import sender_key
 from mailsift.functions.flags import has_label, with_flags
 from mailsift.operators.noise import in_scope, sweep_plan
 from mailsift.operators.normalize import parse_gmail, parse_graph, split
-from mailsift.ranking import first_wins, number_by_order
+from mailsift.ranking import first_wins, running_total
 from mailsift.schema import INBOX, MESSAGE, RAW_GMAIL, RAW_GRAPH, STARRED
 from mailsift.session import durable, scratch_run
 from mailsift.streaming.runs import FAN, RunTable
@@ -69,9 +69,12 @@ def pull_stream(
 
     def save(batch: DataFrame, batch_id: int) -> None:
         with scratch_run(batch.sparkSession):
+            # Only the counts of the splits are put in order; the lines stay where they were read.
             lines = durable(batch.withColumn("line", F.monotonically_increasing_id()), "lines")
-            placed = number_by_order(lines, [], ["file", "line"], "place")
-            seq = (F.lit(batch_id).cast("long") * (1 << BATCH_BITS) + F.col("place") - 1).alias("ingest_seq")
+            splits = lines.groupBy("file", "block").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n"))
+            placed = lines.join(running_total(splits, ["file", "block"], "n", "before"), ["file", "block"])
+            place = F.col("before") + F.col("line") - F.col("first")
+            seq = (F.lit(batch_id).cast("long") * (1 << BATCH_BITS) + place).alias("ingest_seq")
             raw = placed.select(F.from_json("value", schema).alias("r"), seq).select("r.*", "ingest_seq")
             parsed = durable(parse_gmail(raw) if inbox_id is None else parse_graph(raw, inbox_id), "parsed")
             messages, bad = split(parsed)
@@ -79,7 +82,9 @@ def pull_stream(
             bad.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
 
     source = spark.readStream.text(src).filter(F.trim("value") != "")
-    source = source.select("value", F.col("_metadata.file_path").alias("file"))
+    source = source.select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    )
     return _start(source.writeStream.foreachBatch(save).option("checkpointLocation", ckpt), every)
 
 

@@ -123,3 +123,14 @@ def test_packing_rejects_bad_caps(spark):
     for caps in ({"max_chars": 0}, {"max_items": 0}):
         with pytest.raises(ValueError):
             pack_or_queries(df, **caps)
+
+
+def test_running_total(spark):
+    df = spark.createDataFrame([(f"f{i % 5}", i, i % 4) for i in range(100)], "file string, block long, n long").repartition(7)
+    got = sorted(tuple(r) for r in ranking.running_total(df, ["file", "block"], "n", "before").select("file", "block", "n", "before").collect())
+    assert len(got) == 100
+    total = 0
+    for _, _, n, before in got:
+        assert before == total
+        total += n
+    assert ranking.running_total(df.limit(0), ["file", "block"], "n", "before").collect() == []

@@ -1,15 +1,19 @@
 """Language-model scores by an n-gram trie in Elias-Fano levels.
 
-All words of the training texts are counted. The most frequent ``CLASSES`` of them, the
-end of a text, and one class for all other words are the alphabet of the trie; it holds
-pairs of these, and triples of the ``INNER`` most frequent. A word of the rest class is
-scored by its class in context and by its own share of the class, so the model is one
-distribution over all words. The trie's size is bounded by the two alphabet sizes, not
-by the corpus, and it is broadcast. The counts of words are not bounded: those of the
-most frequent words are broadcast, and for all others the words of a batch of texts go
-to the bucket that holds their counts, and sums per text come back. A bucket holds a
-bounded number of words; the tokens that ask are dealt to copies of it, so no group of
-words or of tokens grows with the corpus.
+All words, pairs and triples of the training texts are counted. The trie is dealt to
+shards by the word before the last one of a triple, and a token goes once to the shard
+of its context, where its texts are both learned from and scored: a shard holds all
+pairs and triples of its contexts. A word that is too frequent for one shard deals its
+triples by the first word instead; its pairs, and triples of two such words, are counted
+in Spark as rows. What a shard can't know, the probability of a rare word or of a pair
+of such a frequent word, is asked for by key: the counts of the most frequent words are
+broadcast, and all others lie in buckets. A bucket holds a bounded number of keys; the
+tokens that ask are dealt to copies of it, so no group of words or of tokens grows with
+the corpus.
+
+A smaller model comes from bounded alphabets (``classes`` and ``inner``): pairs of the
+most frequent words, triples of fewer of them, and one class for all other words. It
+is broadcast.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 from mailsift.llm.common import fold, staged
 from mailsift.llm.elias_fano import EliasFano
 
-# The alphabets of pairs and triples, without end and rest.
-CLASSES, INNER = 2048, 128
+# Tokens of one shard of the trie on average, and of one word before it is dealt by the word before it.
+SHARD_TOKENS, HOT_TOKENS = 1 << 19, 1 << 20
 # Words with broadcast counts at most; the cut is at a count, so ties stay together.
 FREQUENT = 1 << 17
 # Rare words that one bucket holds on average.
@@ -82,19 +86,30 @@ def _pairs_of(schema: tuple[str, str], keys: np.ndarray, counts: np.ndarray) ->
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(word, n): every word of ``texts`` (row, text) by its hash, ends included."""
+    """(word, n, uses): every word of ``texts`` (learn, text) by its hash, ends included.
+
+    ``n`` counts texts that are learned from, ``uses`` all texts.
+    """
+
+    def emit(tokens: list[np.ndarray], learn: list[np.ndarray]) -> pa.RecordBatch:
+        word, where, uses = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+        n = np.bincount(where, np.concatenate(learn), len(word)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(n), pa.array(uses)], names=["word", "n", "uses"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for _, tokens, _ in _chunks(batches):
-            held.append(tokens)
-            if len(held) == 8:
-                yield _pairs_of(("word", "n"), *np.unique(np.concatenate(held), return_counts=True))
-                held = []
-        if held:
-            yield _pairs_of(("word", "n"), *np.unique(np.concatenate(held), return_counts=True))
+        held: tuple[list, list] = ([], [])
+        for learns, tokens, text in _chunks(batches):
+            held[0].append(tokens)
+            held[1].append(np.array(learns, bool)[text])
+            if len(held[0]) == 8:
+                yield emit(*held)
+                held = ([], [])
+        if held[0]:
+            yield emit(*held)
 
-    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    marked = texts.select(F.col("learn").cast("long").alias("row"), "text")
+    counted = marked.mapInArrow(run, "word long, n long, uses long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
 
 
 @dataclass(frozen=True)
@@ -134,7 +149,7 @@ class Words:
         return np.maximum(weight / self.total, 1e-300)
 
 
-def frequent_words(counts: DataFrame, limit: int = FREQUENT, classes: int = CLASSES) -> Words:
+def frequent_words(counts: DataFrame, limit: int = FREQUENT, classes: int = FREQUENT) -> Words:
     """The words at or above the smallest count that at most ``limit`` words reach.
 
     What comes to the driver is a row per distinct count and at most ``limit`` words.
@@ -289,8 +304,8 @@ def score(
     docs: DataFrame,
     folds: int = 7,
     held: int = 2,
-    classes: int = CLASSES,
-    inner: int = INNER,
+    classes: int | None = None,
+    inner: int | None = None,
     group_tokens: int = GROUP_TOKENS,
 ) -> DataFrame:
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score and score.
@@ -298,6 +313,9 @@ def score(
     Null and empty texts are an end alone. A document without an id lies in no fold: it is
     neither held out nor learned from. Rows that repeat are documents of their own.
     Without training texts every word is unknown. Only doc_id and text are read.
+
+    The model has all pairs and triples of all words; with ``classes`` and ``inner``, those of
+    these alphabets only.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -305,10 +323,19 @@ def score(
         F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out"),
         (F.coalesce(fold("doc_id", folds), F.lit(held)) != held).alias("learn"),
     )
+    if (classes is None) != (inner is None):
+        raise ValueError("classes and inner are given together")
+    if classes is None:
+        return _score_all(rows, group_tokens)
+    return _score_classes(rows, classes, inner, group_tokens)
+
+
+def _score_classes(rows: DataFrame, classes: int, inner: int, group_tokens: int) -> DataFrame:
+    """Scores by the smaller model of bounded alphabets."""
     training = rows.filter("learn").select(F.lit(0).cast("long").alias("row"), "text")
-    counts = staged(count_words(training), "ngram-words")
+    counts = staged(count_words(rows), "ngram-words").filter("n > 0")
     words = frequent_words(counts, classes=classes)
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(words)
     trie = Trie(words.class_share(), min(inner, words.classes), *count_grams(training, shared, min(inner, words.classes)))
     shared_trie = spark.sparkContext.broadcast(trie)
@@ -427,6 +454,390 @@ def score(
     )
 
 
+def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Keys of sequences: a hash of two hashes, in order."""
+    z = x.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + y.astype(np.int64).view(np.uint64)
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (z ^ (z >> np.uint64(32))).view(np.int64)
+
+
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are among some sorted ones."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
+def _befores(tokens: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two words before each token; before a text stand ends."""
+    before = np.append(END, tokens[:-1])
+    before2 = np.append([END, END], tokens[:-2])[: len(tokens)]
+    first = np.append(True, text[1:] != text[:-1])
+    second = np.append(False, first[:-1])
+    return np.where(first | second, END, before2), np.where(first, END, before)
+
+
+_HOT_GRAMS = "key long, context long, shorter long, word long, n long"
+
+
+def hot_grams(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(key, context, shorter, word, n): pairs after a hot word, and triples after two of them.
+
+    All texts are looked at, so that everything asked for is there; ``n`` counts those learned
+    from. The key of the pair that a triple ends with is ``shorter``, null for a pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for learns, tokens, text in _chunks(batches):
+            learn = np.array(learns, bool)[text]
+            before2, before = _befores(tokens, text)
+            pairs = _among(before, hot)
+            triples = pairs & _among(before2, hot)
+            for inside, triple in ((pairs, False), (triples, True)):
+                if not inside.any():
+                    continue
+                word, context = tokens[inside], before[inside]
+                shorter = _mix(context, word)
+                if triple:
+                    context = _mix(before2[inside], context)
+                key, first, where = np.unique(
+                    _mix(context, word) if triple else shorter, return_index=True, return_inverse=True
+                )
+                n = np.bincount(where, learn[inside], len(key)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(key),
+                        pa.array(context[first]),
+                        pa.array(shorter[first]) if triple else pa.nulls(len(key), pa.int64()),
+                        pa.array(word[first]),
+                        pa.array(n),
+                    ],
+                    names=["key", "context", "shorter", "word", "n"],
+                )
+
+    marked = rows.select(F.col("learn").cast("long").alias("row"), "text")
+    return marked.mapInArrow(run, _HOT_GRAMS).groupBy("key", "context", "shorter", "word").agg(F.sum("n").alias("n"))
+
+
+def hot_values(grams: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(key, p): the probability of each of the ``hot_grams``."""
+
+    def discounted(of: DataFrame) -> DataFrame:
+        seen = of.filter("n > 0").groupBy("context")
+        seen = seen.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        own = F.greatest(F.col("n") - F.lit(DISCOUNT), F.lit(0.0)) / F.col("total")
+        back = F.lit(DISCOUNT) * F.col("kinds") / F.col("total")
+        p = F.when(F.col("total").isNull(), F.col("less")).otherwise(own + back * F.col("less"))
+        return of.join(seen, "context", "left").select("key", p.alias("p"))
+
+    alone = (F.coalesce("uni", F.lit(0)) + 1) / F.lit(float(total))
+    words = counts.select("word", F.col("n").alias("uni"))
+    pairs = grams.filter("shorter IS NULL").join(words, "word", "left").withColumn("less", alone)
+    pairs = staged(discounted(pairs), "ngram-hot-pairs")
+    shorter = pairs.select(F.col("key").alias("shorter"), F.col("p").alias("less"))
+    return pairs.unionByName(discounted(grams.join(shorter, "shorter")))
+
+
+class Shard:
+    """All seen successors of some contexts, one Elias-Fano level, with their counts.
+
+    Successors of all contexts in a row never fall once each context's number times the
+    alphabet's size is added to them.
+    """
+
+    def __init__(self, seen: np.ndarray, contexts: int, width: int):
+        keys, self.counts = np.unique(seen, return_counts=True)
+        self.level = EliasFano.of(keys, contexts * width)
+        self.total = np.bincount(keys // width, self.counts, contexts)
+        self.kinds = np.bincount(keys // width, minlength=contexts)
+
+    def parts(self, context: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The share of each key's own count, and the weight of the shorter context."""
+        if not self.level.size:
+            return np.zeros(len(keys)), np.ones(len(keys))
+        found, n = _find(self.level, self.counts, keys)
+        total = np.maximum(self.total[context], 1)
+        own = np.where(found, n - DISCOUNT, 0.0) / total
+        return own, np.where(self.total[context] > 0, DISCOUNT * self.kinds[context] / total, 1.0)
+
+
+# Words of lower rank travel as two bytes, others as this mark and their hash.
+_LONG = 0xFFFF
+
+
+def _coded(codes: np.ndarray, words: np.ndarray) -> bytes:
+    return codes.tobytes() + words[codes == _LONG].tobytes()
+
+
+def _decoded(data: bytes, size: int, by_rank: np.ndarray) -> np.ndarray:
+    codes = np.frombuffer(data, np.uint16, size)
+    words = np.zeros(size, np.int64)
+    short = codes != _LONG
+    words[short] = by_rank[codes[short]]
+    words[~short] = np.frombuffer(data, np.int64, offset=2 * size)
+    return words
+
+
+# Kinds of parts: documents, tokens for a shard, sums of texts, questions for a bucket.
+_DOCUMENT, _TOKENS, _SUMS, _ASKED = range(4)
+_PART = pa.schema(
+    [
+        ("kind", pa.int32()), ("shard", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()),
+        ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_known", pa.int64()), ("log_count", pa.float64()),
+        ("one", pa.binary()), ("two", pa.binary()), ("three", pa.binary()), ("texts", pa.binary()),
+    ]
+)
+_PART_SQL = (
+    "kind int, shard int, chunk long, n long, bucket int, doc_id long, held_out boolean, n_known long, "
+    "log_count double, one binary, two binary, three binary, texts binary"
+)
+
+
+def _parts(size: int, **columns) -> pa.RecordBatch:
+    arrays = []
+    for field in _PART:
+        value = columns.get(field.name)
+        if value is None:
+            arrays.append(pa.nulls(size, field.type))
+        else:
+            arrays.append(pa.array([value] * size if isinstance(value, int) else value, field.type))
+    return pa.RecordBatch.from_arrays(arrays, schema=_PART)
+
+
+def _questions(key: np.ndarray, x: np.ndarray, y: np.ndarray, row: np.ndarray, buckets: int, shard: int) -> pa.RecordBatch:
+    """Tokens whose log10(x + y * p) waits for the p of a key; a row for each bucket that is asked."""
+    bucket = np.mod(key, buckets)
+    order = np.argsort(bucket, kind="stable")
+    names, starts = np.unique(bucket[order], return_index=True)
+    cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(order)]))
+    columns = (key[order], x[order].astype(np.float32), y[order].astype(np.float32), row[order])
+    one, two, three, texts = ([c[i:j].tobytes() for i, j in cuts] for c in columns)
+    return _parts(
+        len(cuts), kind=_ASKED, shard=shard, chunk=int(row[0]), n=[j - i for i, j in cuts],
+        bucket=names.tolist(), one=one, two=two, three=three, texts=texts,
+    )
+
+
+def _score_all(rows: DataFrame, group_tokens: int) -> DataFrame:
+    """Scores by all pairs and triples of all words."""
+    spark = rows.sparkSession
+    used = staged(count_words(rows), "ngram-words")
+    counts = used.filter("n > 0")
+    words = frequent_words(counts)
+    tokens = int(used.agg(F.sum("uses")).first()[0] or 0)
+    shards = tokens // SHARD_TOKENS + 1
+    hot = np.sort(used.filter(F.col("uses") > HOT_TOKENS).select("word").toArrow().column("word").to_numpy())
+    by_rank = words.word[np.lexsort((words.word, -words.count))]
+    rank = np.full(len(words.word), _LONG)
+    rank[np.lexsort((words.word, -words.count))] = np.minimum(np.arange(len(words.word)), _LONG)
+    shared = spark.sparkContext.broadcast((words, hot, by_rank, rank.astype(np.uint16)))
+
+    # What is asked for by key: rare words, with their counts, and what follows hot words.
+    total = float(words.total)
+    least = min(words.count[words.word != END].tolist(), default=1 << 62)
+    values = counts.filter((F.col("n") < least) & (F.col("word") != END))
+    values = values.select(F.col("word").alias("key"), "n", ((F.col("n") + 1) / F.lit(total)).alias("p"))
+    asked_keys = max(0, words.distinct - len(words.word))
+    if len(hot):
+        grams = hot_values(staged(hot_grams(rows, hot), "ngram-hot"), counts, words.total)
+        grams = staged(grams.select("key", F.lit(-1).cast("long").alias("n"), "p"), "ngram-hot-values")
+        asked_keys += grams.count()
+        values = values.unionByName(grams)
+    buckets = asked_keys // BUCKET_WORDS + 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, hot, _, rank = shared.value
+        table = {"doc_id": [], "held_out": [], "learn": []}
+
+        def taken() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name, column in table.items():
+                    column += batch.column(name).to_pylist()
+                yield batch
+
+        for names, tokens, text in _chunks(taken()):
+            size = len(names)
+            learn = np.array(table["learn"][:size], bool)
+            place = known.place(tokens)
+            rare = place < 0
+            count = np.where(rare, 0, known.count[place] if len(known.count) else 0)
+            here = names[0] % shards
+            yield _parts(
+                size,
+                kind=_DOCUMENT,
+                shard=here,
+                chunk=names,
+                n=np.bincount(text, minlength=size),
+                doc_id=table["doc_id"][:size],
+                held_out=table["held_out"][:size],
+                n_known=np.bincount(text, count > 0, size).astype(np.int64),
+                log_count=np.bincount(text, np.log10(count + 1), size),
+            )
+            for column in table.values():
+                del column[:size]
+            before2, before = _befores(tokens, text)
+            after_hot = _among(before, hot)
+            after_two = after_hot & _among(before2, hot)
+            row = text + names[0]
+            if after_two.any():
+                key = _mix(_mix(before2[after_two], before[after_two]), tokens[after_two])
+                yield _questions(key, np.zeros(len(key)), np.ones(len(key)), row[after_two], buckets, here)
+            # A shard asks about rare words itself, except after hot words; there the count alone is asked for.
+            alone = after_hot & rare
+            if alone.any():
+                key = tokens[alone]
+                yield _questions(key, np.ones(len(key)), np.zeros(len(key)), row[alone], buckets, here)
+
+            code = np.where(rare, np.uint16(_LONG), rank[place] if len(rank) else np.uint16(_LONG)).astype(np.uint16)
+            end_code = code[-1]
+            first = np.append(True, text[1:] != text[:-1])
+            second = first | np.append(False, first[:-1])
+            code1 = np.where(first, end_code, np.append(end_code, code[:-1]))
+            code2 = np.where(second, end_code, np.append([end_code, end_code], code[:-2])[: len(code)])
+            shard = np.mod(np.where(after_hot, before2, before), shards)
+            shard[after_two] = shards
+            order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+            names_of, starts = np.unique(shard[order], return_index=True)
+            cuts = list(zip(names_of.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]))
+            cuts = [c for c in cuts if c[0] < shards]
+            texts = (text * 2 + learn[text]).astype(np.uint16 if 2 * size < 1 << 16 else np.uint32)[order]
+            streams = []
+            for c, w in ((code2, before2), (code1, before), (code, tokens)):
+                c, w = c[order], w[order]
+                streams.append([_coded(c[i:j], w[i:j]) for _, i, j in cuts])
+            if cuts:
+                yield _parts(
+                    len(cuts), kind=_TOKENS, shard=[c[0] for c in cuts], chunk=names[0], n=[j - i for _, i, j in cuts],
+                    one=streams[0], two=streams[1], three=streams[2], texts=[texts[i:j].tobytes() for _, i, j in cuts],
+                )
+
+    def learn_and_score(key: tuple, table: pa.Table) -> pa.Table:
+        known, hot, by_rank, _ = shared.value
+        kinds = table.column("kind").to_numpy()
+        out = [table.filter(pa.array(kinds != _TOKENS))]
+        blocks = table.filter(pa.array(kinds == _TOKENS)).select(["chunk", "n", "one", "two", "three", "texts"]).to_pylist()
+        if not blocks:
+            return out[0]
+        a, b, c = (np.concatenate([_decoded(x[s], x["n"], by_rank) for x in blocks]) for s in ("one", "two", "three"))
+        texts = [np.frombuffer(x["texts"], np.uint16 if len(x["texts"]) == 2 * x["n"] else np.uint32) for x in blocks]
+        row = np.concatenate([(t >> 1).astype(np.int64) + x["chunk"] for t, x in zip(texts, blocks)])
+        learn = np.concatenate([(t & 1).astype(bool) for t in texts])
+
+        # Words and contexts by numbers of this shard; then each different triple once.
+        word, c = np.unique(c, return_inverse=True)
+        context, ab = np.unique(_mix(a, b), return_inverse=True)
+        del a
+        code = ab * len(word) + c
+        triples = Shard(code[learn], len(context), len(word))
+        unique, at, where = np.unique(code, return_index=True, return_inverse=True)
+        del code
+        own3, back3 = triples.parts(ab[at], unique)
+        # Only words that are not hot have all their pairs here.
+        cold = ~_among(b, hot)
+        middle, b_of = np.unique(b, return_inverse=True)
+        pair = b_of * len(word) + c
+        pairs = Shard(pair[learn & cold], len(middle), len(word))
+        ours = cold[at]
+        some = np.flatnonzero(ours)
+        own2, back2 = pairs.parts(b_of[at[some]], pair[at[some]])
+        x, y = own3.copy(), back3.copy()
+        x[some] += back3[some] * own2
+        y[some] *= back2
+        place = known.place(word[c[at]])
+        ready = ours & (place >= 0)
+        share = (np.where(ready, known.count[place] if len(known.count) else 0, 0) + 1) / known.total
+        sums = np.log10(np.where(ready, x + y * share, 1.0))
+        keys = np.where(ours, word[c[at]], _mix(b[at], word[c[at]]))
+
+        waits = ~ready[where]
+        if waits.any():
+            u = where[waits]
+            asked = _questions(keys[u], x[u], y[u], row[waits], buckets, int(blocks[0]["chunk"] % shards))
+            out.append(pa.Table.from_batches([asked]))
+        # Sums per text, packed by chunk.
+        ends = np.cumsum([x["n"] for x in blocks]).tolist()
+        chunks, packed, rows_of = [], [], []
+        for block, i, j in zip(blocks, [0, *ends[:-1]], ends):
+            done = ~waits[i:j]
+            if done.any():
+                touched, member = np.unique(row[i:j][done], return_inverse=True)
+                chunks.append(block["chunk"])
+                rows_of.append((touched - block["chunk"]).astype(np.uint32).tobytes())
+                packed.append(np.bincount(member, sums[where[i:j][done]]).astype(np.float32).tobytes())
+        if chunks:
+            done = _parts(len(chunks), kind=_SUMS, shard=0, chunk=chunks, one=packed, texts=rows_of)
+            out.append(pa.Table.from_batches([done]))
+        return pa.concat_tables([t.cast(_PART) for t in out])
+
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    dealt = numbered.mapInArrow(deal, _PART_SQL)
+    found = staged(dealt.groupBy("shard").applyInArrow(learn_and_score, _PART_SQL), "ngram-scored")
+
+    asked = found.filter(F.col("kind") == _ASKED).select("bucket", "chunk", "n", "one", "two", "three", "texts")
+    # Groups follow the tokens that are asked about, which go on growing where new words become few.
+    loads = asked.groupBy("bucket").agg(F.sum("n").alias("n"))
+    groups = staged(loads.select("bucket", F.ceil(F.col("n") / group_tokens).cast("int").alias("groups")), "ngram-groups")
+    asked = asked.join(groups, "bucket").withColumn("part", F.pmod(F.xxhash64("chunk", "one"), "groups"))
+    values = values.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int")).join(groups, "bucket")
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups").cast("long") - 1))
+    values = values.select("bucket", parts.alias("part"), "key", "n", "p")
+    nothing = 1.0 / total
+
+    def answer(held: pa.Table, questions: pa.Table) -> pa.Table:
+        key, n, p = (held.column(c).to_numpy() for c in ("key", "n", "p"))
+        order = np.argsort(key)
+        key, n, p = key[order], n[order], p[order]
+        out = [[np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0, np.int64)]]
+        for question in questions.select(["one", "two", "three", "texts"]).to_pylist():
+            wanted = np.frombuffer(question["one"], np.int64)
+            x, y = (np.frombuffer(question[c], np.float32).astype(np.float64) for c in ("two", "three"))
+            value, count = np.full(len(wanted), nothing), np.zeros(len(wanted), np.int64)
+            if len(key):
+                at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+                match = key[at] == wanted
+                value, count = np.where(match, p[at], value), np.where(match, np.maximum(n[at], 0), count)
+            touched, where = np.unique(np.frombuffer(question["texts"], np.int64), return_inverse=True)
+            out[0].append(touched)
+            out[1].append(np.bincount(where, np.log10(x + y * value)))
+            out[2].append(np.bincount(where, np.log10(count + 1)))
+            out[3].append(np.bincount(where, count > 0).astype(np.int64))
+        arrays = [pa.array(np.concatenate(c)) for c in out]
+        return pa.Table.from_arrays(arrays, names=["row", "score", "rare_log", "rare_known"])
+
+    def add(table: pa.Table) -> pa.Table:
+        chunk = table.column("chunk")[0].as_py()
+        texts = np.concatenate([np.frombuffer(t, np.uint32) for t in table.column("texts").to_pylist()])
+        sums = np.concatenate([np.frombuffer(t, np.float32) for t in table.column("one").to_pylist()])
+        touched, where = np.unique(texts, return_inverse=True)
+        none = np.zeros(len(touched))
+        arrays = [touched + np.int64(chunk), np.bincount(where, sums), none, none.astype(np.int64)]
+        return pa.Table.from_arrays([pa.array(x) for x in arrays], names=["row", "score", "rare_log", "rare_known"])
+
+    answered = "row long, score double, rare_log double, rare_known long"
+    sums = found.filter(F.col("kind") == _SUMS).select("chunk", "one", "texts").groupBy("chunk").applyInArrow(add, answered)
+    replies = (
+        values.groupBy("bucket", "part")
+        .cogroup(asked.select("bucket", "part", "one", "two", "three", "texts").groupBy("bucket", "part"))
+        .applyInArrow(answer, answered)
+        .unionByName(sums)
+        .groupBy(F.col("row").alias("chunk"))
+        .agg(*[F.sum(c).alias(c) for c in ("score", "rare_log", "rare_known")])
+    )
+    return (
+        found.filter(F.col("kind") == _DOCUMENT)
+        .join(replies, "chunk", "left")
+        .select(
+            "doc_id",
+            "held_out",
+            F.col("n").alias("n_tokens"),
+            (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+            F.lit(words.tokens).cast("long").alias("train_tokens"),
+            (F.col("log_count") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n") * float(np.log10(total))).alias("base_score"),
+            "score",
+        )
+    )
+
+
 def _scored(size: int, **columns) -> pa.RecordBatch:
     types = {
         "kind": pa.int32(), "doc_id": pa.int64(), "held_out": pa.bool_(), "row": pa.int64(), "n_tokens": pa.int64(),

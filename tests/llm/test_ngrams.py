@@ -156,3 +156,32 @@ def test_odd_rows(odd_documents, documents):
     assert ngrams.score(documents([])).collect() == []
     (alone,) = ngrams.score(documents([{"doc_id": None, "text": "no one learns"}])).collect()
     assert (alone.train_tokens, alone.n_known, alone.base_score) == (0, 0, 0.0)
+
+
+@pytest.mark.parametrize("hot", [ngrams.HOT_TOKENS, 150, 25, 0])
+def test_no_word_is_left_out_of_pairs_and_triples(documents, monkeypatch, hot):
+    """More words than any bounded alphabet had for triples, with context after the rare ones too."""
+    rng = np.random.default_rng(9)
+    docs = []
+    for i in range(120):
+        start, text = int(rng.integers(400)), []
+        for _ in range(rng.integers(0, 60)):
+            start = (start * 7 + 1) % 400 if rng.random() < 0.6 else int(400 * rng.random() ** 4)
+            text.append(f"W{start}")
+        docs.append((i if i % 10 else None, " ".join(text)))
+    docs += [(1000 + i, "new words w1 w2 w3 end") for i in range(9)]
+    monkeypatch.setattr(ngrams, "BUCKET_WORDS", 50)
+    monkeypatch.setattr(ngrams, "SHARD_TOKENS", 300)
+    monkeypatch.setattr(ngrams, "HOT_TOKENS", hot)
+    monkeypatch.setattr(ngrams.frequent_words, "__defaults__", (60, 2048))
+    plain = Plain(docs, classes=10_000, inner=20_000)
+    shares = {k: plain.share(w) for w, k in plain.klass.items()}
+    rest = 1 - sum(shares.values())
+    plain.class_share = lambda c: shares.get(c, rest)
+    df = documents([{"doc_id": i, "text": t} for i, t in docs]).repartition(3)
+    got = sorted(ngrams.score(df, group_tokens=100).collect(), key=lambda r: (r.doc_id or -1, r.n_tokens, r.score))
+    want = sorted(((i, len(tokens(t)), plain.score(t), plain.base(t)) for i, t in docs), key=lambda r: (r[0] or -1, *r[1:3]))
+    assert len(got) == len(want)
+    for r, (i, n, score, base) in zip(got, want):
+        assert (r.doc_id, r.n_tokens, r.train_tokens) == (i, n, plain.n)
+        assert r.score == pytest.approx(score, abs=1e-5) and r.base_score == pytest.approx(base, abs=1e-9)

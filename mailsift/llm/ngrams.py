@@ -91,21 +91,22 @@ def count_words(texts: DataFrame) -> DataFrame:
     ``n`` counts texts that are learned from, ``uses`` all texts.
     """
 
-    def emit(tokens: list[np.ndarray], learn: list[np.ndarray]) -> pa.RecordBatch:
-        word, where, uses = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-        n = np.bincount(where, np.concatenate(learn), len(word)).astype(np.int64)
+    def emit(held: list[np.ndarray], learned: bool) -> pa.RecordBatch:
+        word, uses = np.unique(np.concatenate(held), return_counts=True)
+        n = uses if learned else np.zeros(len(uses), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(word), pa.array(n), pa.array(uses)], names=["word", "n", "uses"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
         for learns, tokens, text in _chunks(batches):
-            held[0].append(tokens)
-            held[1].append(np.array(learns, bool)[text])
+            learn = np.array(learns, bool)[text]
+            for kept, part in zip(held, (tokens[~learn], tokens[learn])):
+                kept.append(part)
             if len(held[0]) == 8:
-                yield emit(*held)
+                yield from (emit(kept, learned) for learned, kept in enumerate(held))
                 held = ([], [])
         if held[0]:
-            yield emit(*held)
+            yield from (emit(kept, learned) for learned, kept in enumerate(held))
 
     marked = texts.select(F.col("learn").cast("long").alias("row"), "text")
     counted = marked.mapInArrow(run, "word long, n long, uses long")
@@ -545,8 +546,9 @@ class Shard:
     alphabet's size is added to them.
     """
 
-    def __init__(self, seen: np.ndarray, contexts: int, width: int):
-        keys, self.counts = np.unique(seen, return_counts=True)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, contexts: int, width: int):
+        """From sorted keys (context * width + successor), those without counts left out."""
+        keys, self.counts = keys[counts > 0], counts[counts > 0]
         self.level = EliasFano.of(keys, contexts * width)
         self.total = np.bincount(keys // width, self.counts, contexts)
         self.kinds = np.bincount(keys // width, minlength=contexts)
@@ -561,20 +563,43 @@ class Shard:
         return own, np.where(self.total[context] > 0, DISCOUNT * self.kinds[context] / total, 1.0)
 
 
+# Replies come back by spans of so many rows.
+SPAN_BITS = 10
 # Words of lower rank travel as two bytes, others as this mark and their hash.
 _LONG = 0xFFFF
 
 
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers, the bytes of equal weight together, compressed."""
+    planes = b"".join(c.view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns if len(c))
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _loose(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd"), np.uint8)
+
+
+def _numbers(planes: np.ndarray, start: int, size: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return planes[start : start + size * width].reshape(width, size).T.copy().view(kind).reshape(-1)
+
+
+def _steps(numbers: np.ndarray) -> np.ndarray:
+    """Numbers as the first and the differences, which squeeze better."""
+    return np.diff(numbers, prepend=numbers.dtype.type(0))
+
+
 def _coded(codes: np.ndarray, words: np.ndarray) -> bytes:
-    return codes.tobytes() + words[codes == _LONG].tobytes()
+    return _squeezed(codes, words[codes == _LONG])
 
 
 def _decoded(data: bytes, size: int, by_rank: np.ndarray) -> np.ndarray:
-    codes = np.frombuffer(data, np.uint16, size)
+    planes = _loose(data)
+    codes = _numbers(planes, 0, size, np.uint16)
     words = np.zeros(size, np.int64)
     short = codes != _LONG
     words[short] = by_rank[codes[short]]
-    words[~short] = np.frombuffer(data, np.int64, offset=2 * size)
+    words[~short] = _numbers(planes, 2 * size, int(size - short.sum()), np.int64)
     return words
 
 
@@ -610,12 +635,30 @@ def _questions(key: np.ndarray, x: np.ndarray, y: np.ndarray, row: np.ndarray, b
     order = np.argsort(bucket, kind="stable")
     names, starts = np.unique(bucket[order], return_index=True)
     cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(order)]))
-    columns = (key[order], x[order].astype(np.float32), y[order].astype(np.float32), row[order])
-    one, two, three, texts = ([c[i:j].tobytes() for i, j in cuts] for c in columns)
-    return _parts(
-        len(cuts), kind=_ASKED, shard=shard, chunk=int(row[0]), n=[j - i for i, j in cuts],
-        bucket=names.tolist(), one=one, two=two, three=three, texts=texts,
-    )
+    key, x, y, row = key[order], x[order].astype(np.float32), y[order].astype(np.float32), row[order]
+    one = [_squeezed(key[i:j], x[i:j], y[i:j], _steps(row[i:j])) for i, j in cuts]
+    n = [j - i for i, j in cuts]
+    return _parts(len(cuts), kind=_ASKED, shard=shard, chunk=int(row[0]), n=n, bucket=names.tolist(), one=one)
+
+
+def _replies(row: np.ndarray, sums: np.ndarray, count: np.ndarray | None) -> Iterator[tuple[int, int, bytes]]:
+    """(span, n, packed) of numbers that belong to texts, for each span of rows.
+
+    Counts are those of rare words; without them, sums of a text are added up first.
+    """
+    if count is None:
+        row, where = np.unique(row, return_inverse=True)
+        sums = np.bincount(where, sums)
+        count = np.zeros(0, np.int64)
+    else:
+        order = np.argsort(row, kind="stable")
+        row, sums, count = row[order], sums[order], count[order]
+    span = row >> SPAN_BITS
+    names, starts = np.unique(span, return_index=True)
+    at = (row & ((1 << SPAN_BITS) - 1)).astype(np.uint16)
+    sums = sums.astype(np.float32)
+    for name, i, j in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(row)]):
+        yield name, j - i, _squeezed(_steps(at[i:j]), sums[i:j], count[i:j])
 
 
 def _score_all(rows: DataFrame, group_tokens: int) -> DataFrame:
@@ -700,7 +743,7 @@ def _score_all(rows: DataFrame, group_tokens: int) -> DataFrame:
             names_of, starts = np.unique(shard[order], return_index=True)
             cuts = list(zip(names_of.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]))
             cuts = [c for c in cuts if c[0] < shards]
-            texts = (text * 2 + learn[text]).astype(np.uint16 if 2 * size < 1 << 16 else np.uint32)[order]
+            texts = (text * 2 + learn[text]).astype(np.uint32)[order]
             streams = []
             for c, w in ((code2, before2), (code1, before), (code, tokens)):
                 c, w = c[order], w[order]
@@ -708,7 +751,7 @@ def _score_all(rows: DataFrame, group_tokens: int) -> DataFrame:
             if cuts:
                 yield _parts(
                     len(cuts), kind=_TOKENS, shard=[c[0] for c in cuts], chunk=names[0], n=[j - i for _, i, j in cuts],
-                    one=streams[0], two=streams[1], three=streams[2], texts=[texts[i:j].tobytes() for _, i, j in cuts],
+                    one=streams[0], two=streams[1], three=streams[2], texts=[_squeezed(_steps(texts[i:j])) for _, i, j in cuts],
                 )
 
     def learn_and_score(key: tuple, table: pa.Table) -> pa.Table:
@@ -719,7 +762,7 @@ def _score_all(rows: DataFrame, group_tokens: int) -> DataFrame:
         if not blocks:
             return out[0]
         a, b, c = (np.concatenate([_decoded(x[s], x["n"], by_rank) for x in blocks]) for s in ("one", "two", "three"))
-        texts = [np.frombuffer(x["texts"], np.uint16 if len(x["texts"]) == 2 * x["n"] else np.uint32) for x in blocks]
+        texts = [np.cumsum(_numbers(_loose(x["texts"]), 0, x["n"], np.uint32), dtype=np.uint32) for x in blocks]
         row = np.concatenate([(t >> 1).astype(np.int64) + x["chunk"] for t, x in zip(texts, blocks)])
         learn = np.concatenate([(t & 1).astype(bool) for t in texts])
 
@@ -728,56 +771,49 @@ def _score_all(rows: DataFrame, group_tokens: int) -> DataFrame:
         context, ab = np.unique(_mix(a, b), return_inverse=True)
         del a
         code = ab * len(word) + c
-        triples = Shard(code[learn], len(context), len(word))
         unique, at, where = np.unique(code, return_index=True, return_inverse=True)
         del code
-        own3, back3 = triples.parts(ab[at], unique)
+        n = np.bincount(where, learn, len(unique)).astype(np.int64)
+        triples = Shard(unique, n, len(context), len(word))
+        ab, b, c = ab[at], b[at], c[at]
+        x, y = triples.parts(ab, unique)
         # Only words that are not hot have all their pairs here.
-        cold = ~_among(b, hot)
-        middle, b_of = np.unique(b, return_inverse=True)
-        pair = b_of * len(word) + c
-        pairs = Shard(pair[learn & cold], len(middle), len(word))
-        ours = cold[at]
+        ours = ~_among(b, hot)
         some = np.flatnonzero(ours)
-        own2, back2 = pairs.parts(b_of[at[some]], pair[at[some]])
-        x, y = own3.copy(), back3.copy()
-        x[some] += back3[some] * own2
-        y[some] *= back2
-        place = known.place(word[c[at]])
+        if len(some):
+            middle, b_of = np.unique(b[some], return_inverse=True)
+            pair, of = np.unique(b_of * len(word) + c[some], return_inverse=True)
+            n = np.bincount(of, n[some], len(pair)).astype(np.int64)
+            own, back = Shard(pair, n, len(middle), len(word)).parts(pair // len(word), pair)
+            x[some] += y[some] * own[of]
+            y[some] *= back[of]
+        place = known.place(word)[c]
         ready = ours & (place >= 0)
         share = (np.where(ready, known.count[place] if len(known.count) else 0, 0) + 1) / known.total
         sums = np.log10(np.where(ready, x + y * share, 1.0))
-        keys = np.where(ours, word[c[at]], _mix(b[at], word[c[at]]))
+        keys = np.where(ours, word[c], _mix(b, word[c]))
 
         waits = ~ready[where]
         if waits.any():
             u = where[waits]
             asked = _questions(keys[u], x[u], y[u], row[waits], buckets, int(blocks[0]["chunk"] % shards))
             out.append(pa.Table.from_batches([asked]))
-        # Sums per text, packed by chunk.
-        ends = np.cumsum([x["n"] for x in blocks]).tolist()
-        chunks, packed, rows_of = [], [], []
-        for block, i, j in zip(blocks, [0, *ends[:-1]], ends):
-            done = ~waits[i:j]
-            if done.any():
-                touched, member = np.unique(row[i:j][done], return_inverse=True)
-                chunks.append(block["chunk"])
-                rows_of.append((touched - block["chunk"]).astype(np.uint32).tobytes())
-                packed.append(np.bincount(member, sums[where[i:j][done]]).astype(np.float32).tobytes())
-        if chunks:
-            done = _parts(len(chunks), kind=_SUMS, shard=0, chunk=chunks, one=packed, texts=rows_of)
-            out.append(pa.Table.from_batches([done]))
+        done = ~waits
+        if done.any():
+            spans, sizes, packed = zip(*_replies(row[done], sums[where[done]], None))
+            of_texts = _parts(len(spans), kind=_SUMS, shard=0, chunk=list(spans), n=list(sizes), one=list(packed))
+            out.append(pa.Table.from_batches([of_texts]))
         return pa.concat_tables([t.cast(_PART) for t in out])
 
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     dealt = numbered.mapInArrow(deal, _PART_SQL)
     found = staged(dealt.groupBy("shard").applyInArrow(learn_and_score, _PART_SQL), "ngram-scored")
 
-    asked = found.filter(F.col("kind") == _ASKED).select("bucket", "chunk", "n", "one", "two", "three", "texts")
+    asked = found.filter(F.col("kind") == _ASKED).select("bucket", "chunk", "n", "one")
     # Groups follow the tokens that are asked about, which go on growing where new words become few.
     loads = asked.groupBy("bucket").agg(F.sum("n").alias("n"))
     groups = staged(loads.select("bucket", F.ceil(F.col("n") / group_tokens).cast("int").alias("groups")), "ngram-groups")
-    asked = asked.join(groups, "bucket").withColumn("part", F.pmod(F.xxhash64("chunk", "one"), "groups"))
+    asked = asked.join(groups, "bucket").withColumn("part", F.pmod(F.xxhash64("chunk", "n"), "groups"))
     values = values.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int")).join(groups, "bucket")
     parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups").cast("long") - 1))
     values = values.select("bucket", parts.alias("part"), "key", "n", "p")
@@ -787,41 +823,47 @@ def _score_all(rows: DataFrame, group_tokens: int) -> DataFrame:
         key, n, p = (held.column(c).to_numpy() for c in ("key", "n", "p"))
         order = np.argsort(key)
         key, n, p = key[order], n[order], p[order]
-        out = [[np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0, np.int64)]]
-        for question in questions.select(["one", "two", "three", "texts"]).to_pylist():
-            wanted = np.frombuffer(question["one"], np.int64)
-            x, y = (np.frombuffer(question[c], np.float32).astype(np.float64) for c in ("two", "three"))
-            value, count = np.full(len(wanted), nothing), np.zeros(len(wanted), np.int64)
+        found = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        for question in questions.select(["n", "one"]).to_pylist():
+            planes, size = _loose(question["one"]), question["n"]
+            wanted = _numbers(planes, 0, size, np.int64)
+            x, y = (_numbers(planes, at * size, size, np.float32).astype(np.float64) for at in (8, 12))
+            value, count = np.full(size, nothing), np.zeros(size, np.int64)
             if len(key):
                 at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
                 match = key[at] == wanted
                 value, count = np.where(match, p[at], value), np.where(match, np.maximum(n[at], 0), count)
-            touched, where = np.unique(np.frombuffer(question["texts"], np.int64), return_inverse=True)
-            out[0].append(touched)
-            out[1].append(np.bincount(where, np.log10(x + y * value)))
-            out[2].append(np.bincount(where, np.log10(count + 1)))
-            out[3].append(np.bincount(where, count > 0).astype(np.int64))
-        arrays = [pa.array(np.concatenate(c)) for c in out]
-        return pa.Table.from_arrays(arrays, names=["row", "score", "rare_log", "rare_known"])
+            found.append((np.cumsum(_numbers(planes, 16 * size, size, np.int64)), np.log10(x + y * value), count))
+        packed = list(_replies(*(np.concatenate(c) for c in zip(*found))))
+        spans, sizes, data = zip(*packed) if packed else ((), (), ())
+        kinds = (pa.int64(), pa.int64(), pa.binary())
+        return pa.Table.from_arrays([pa.array(v, k) for v, k in zip((spans, sizes, data), kinds)], names=["span", "n", "one"])
 
     def add(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        texts = np.concatenate([np.frombuffer(t, np.uint32) for t in table.column("texts").to_pylist()])
-        sums = np.concatenate([np.frombuffer(t, np.float32) for t in table.column("one").to_pylist()])
-        touched, where = np.unique(texts, return_inverse=True)
-        none = np.zeros(len(touched))
-        arrays = [touched + np.int64(chunk), np.bincount(where, sums), none, none.astype(np.int64)]
-        return pa.Table.from_arrays([pa.array(x) for x in arrays], names=["row", "score", "rare_log", "rare_known"])
-
-    answered = "row long, score double, rare_log double, rare_known long"
-    sums = found.filter(F.col("kind") == _SUMS).select("chunk", "one", "texts").groupBy("chunk").applyInArrow(add, answered)
+        size = 1 << SPAN_BITS
+        touched = np.zeros(size, bool)
+        score, rare_log, rare_known = np.zeros(size), np.zeros(size), np.zeros(size)
+        for reply in table.select(["n", "one"]).to_pylist():
+            planes, n = _loose(reply["one"]), reply["n"]
+            at = np.cumsum(_numbers(planes, 0, n, np.uint16), dtype=np.uint16)
+            touched[at] = True
+            score += np.bincount(at, _numbers(planes, 2 * n, n, np.float32), size)
+            if len(planes) > 6 * n:
+                count = _numbers(planes, 6 * n, n, np.int64)
+                rare_log += np.bincount(at, np.log10(count + 1), size)
+                rare_known += np.bincount(at, count > 0, size)
+        at = np.flatnonzero(touched)
+        arrays = [at + (table.column("span")[0].as_py() << SPAN_BITS), score[at], rare_log[at], rare_known[at].astype(np.int64)]
+        return pa.Table.from_arrays([pa.array(x) for x in arrays], names=["chunk", "score", "rare_log", "rare_known"])
+
+    sums = found.filter(F.col("kind") == _SUMS).select(F.col("chunk").alias("span"), "n", "one")
     replies = (
         values.groupBy("bucket", "part")
-        .cogroup(asked.select("bucket", "part", "one", "two", "three", "texts").groupBy("bucket", "part"))
-        .applyInArrow(answer, answered)
+        .cogroup(asked.select("bucket", "part", "n", "one").groupBy("bucket", "part"))
+        .applyInArrow(answer, "span long, n long, one binary")
         .unionByName(sums)
-        .groupBy(F.col("row").alias("chunk"))
-        .agg(*[F.sum(c).alias(c) for c in ("score", "rare_log", "rare_known")])
+        .groupBy("span")
+        .applyInArrow(add, "chunk long, score double, rare_log double, rare_known long")
     )
     return (
         found.filter(F.col("kind") == _DOCUMENT)

@@ -147,7 +147,7 @@ def _messages(records: DataFrame, first_file: int, mode: str) -> DataFrame:
         fail = F.raise_error(F.concat(F.lit("invalid record in "), "file"))
         records = records.withColumn("record", F.when(_valid_record(record), record).otherwise(fail))
     else:
-        records = records.filter(_valid_record(record))
+        records = computed_once(records).filter(_valid_record(record))
     return records.select(*_to_messages(F.col("record"), _seq(first_file)))
 
 
@@ -165,7 +165,7 @@ def read_messages(spark: SparkSession, root: str, mode: str = "FAILFAST") -> Dat
 def read_rejects(spark: SparkSession, root: str) -> DataFrame:
     """(file, pos, record as JSON) of invalid records."""
     paths = _existing(spark, [f"{root}/{g}" for g in SHARD_GLOBS])
-    bad = _shard_records(spark, paths).filter(~_valid_record(F.col("record")))
+    bad = computed_once(_shard_records(spark, paths)).filter(~_valid_record(F.col("record")))
     return bad.select("file", "pos", F.to_json("record").alias("record"))
 
 
@@ -192,7 +192,7 @@ def load_all(spark: SparkSession, root: str) -> DataFrame:
 def read_recovered(spark: SparkSession, path: str) -> DataFrame:
     """Append-only staged JSON lines; bad lines are skipped and the last row per id wins."""
     parsed = _numbered_lines(spark, path).select(F.from_json("value", MESSAGE_JSON).alias("record"), "seq")
-    good = parsed.filter(_valid_record(F.col("record")))
+    good = computed_once(parsed).filter(_valid_record(F.col("record")))
     kept = good.groupBy(F.col("record.messageId").alias("_id")).agg(F.max_by(F.struct("record", "seq"), "seq").alias("_r"))
     return kept.select(*_to_messages(F.col("_r.record"), F.col("_r.seq")))
 

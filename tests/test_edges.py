@@ -233,6 +233,16 @@ def test_recovered_last_wins(spark, tmp_path):
     assert rows(got, "message_id", "subject") == [("a", "two"), ("b", "(no subject)")]
 
 
+def test_lines_and_records_are_parsed_once(spark, tmp_path):
+    """The checks of a record read the parsed record; they don't parse its text again, one check at a time."""
+    put(tmp_path / "recovered.jsonl", json.dumps(record("a")))
+    put(tmp_path / "batch-00001.json", [record("a"), record("b", sender={"email": "x"})])
+    dropped = readers.read_messages(spark, str(tmp_path), "DROP")
+    for read in (readers.read_recovered(spark, str(tmp_path / "recovered.jsonl")), dropped, readers.read_rejects(spark, str(tmp_path))):
+        assert read._jdf.queryExecution().optimizedPlan().toString().count("from_json(") <= 1
+        assert read.count() == 1
+
+
 def test_shards_round_trip(spark, messages, tmp_path):
     mail = messages([{"email": f"u{i}@x.org", "labels": ["INBOX"] if i % 2 else []} for i in range(1234)])
     path = str(tmp_path / "out")

@@ -756,6 +756,8 @@ def _score_all(rows: DataFrame, group_tokens: int) -> DataFrame:
 
     def learn_and_score(key: tuple, table: pa.Table) -> pa.Table:
         known, hot, by_rank, _ = shared.value
+        # Only earlier stages look words up; the room is needed here.
+        _hashes.clear()
         kinds = table.column("kind").to_numpy()
         out = [table.filter(pa.array(kinds != _TOKENS))]
         blocks = table.filter(pa.array(kinds == _TOKENS)).select(["chunk", "n", "one", "two", "three", "texts"]).to_pylist()

@@ -80,7 +80,11 @@ class EliasFano:
         return (high << np.uint64(self.low_bits)) | self._lows(index)
 
     def successor(self, values: np.ndarray) -> np.ndarray:
-        """Place of the first value that is not less than each given one; ``size`` where none is.
+        """Place of the first value that is not less than each given one; ``size`` where none is."""
+        return self.find(values)[0]
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each value's successor, and whether that is the value itself.
 
         The high part names a run of values; inside, places are halved by their low bits.
         """
@@ -90,11 +94,15 @@ class EliasFano:
         start = np.zeros(len(values), np.int64)
         later = high > 0
         start[later] = self._select(high[later] - 1, False) - (high[later] - 1)
-        stop = self._select(high, False) - high
+        end = self._select(high, False) - high
+        stop = end.copy()
         while True:
             open_ = np.flatnonzero(start < stop)
             if not len(open_):
-                return start
+                found = start < end
+                inside = np.flatnonzero(found)
+                found[inside] = self._lows(start[inside]) == low[inside]
+                return start, found
             middle = (start[open_] + stop[open_]) >> 1
             less = self._lows(middle) < low[open_]
             start[open_] = np.where(less, middle + 1, start[open_])

@@ -4,12 +4,13 @@ All words, pairs and triples of the training texts are counted. The trie is deal
 shards by the word before the last one of a triple, and a token goes once to the shard
 of its context, where its texts are both learned from and scored: a shard holds all
 pairs and triples of its contexts. A word that is too frequent for one shard deals its
-triples by the first word instead; its pairs, and triples of two such words, are counted
-in Spark as rows. What a shard can't know, the probability of a rare word or of a pair
-of such a frequent word, is asked for by key: the counts of the most frequent words are
-broadcast, and all others lie in buckets. A bucket holds a bounded number of keys; the
-tokens that ask are dealt to copies of it, so no group of words or of tokens grows with
-the corpus.
+triples by both words of their context instead; its pairs are counted in Spark as rows,
+and so are the triples of the few contexts of two words that are themselves too frequent.
+What a shard can't know is the probability of a rare word, or of a pair after such a
+frequent word. The most frequent words and pairs are broadcast, as many as a fixed number,
+and all others are asked for by key, in buckets. A bucket holds a bounded number of keys;
+the tokens that ask are dealt to copies of it, so no group of words or of tokens grows
+with the corpus.
 
 A smaller model comes from bounded alphabets (``classes`` and ``inner``): pairs of the
 most frequent words, triples of fewer of them, and one class for all other words. It
@@ -30,10 +31,12 @@ from pyspark.sql import functions as F
 from mailsift.llm.common import fold, staged
 from mailsift.llm.elias_fano import EliasFano
 
-# Tokens of one shard of the trie on average, and of one word before it is dealt by the word before it.
-SHARD_TOKENS, HOT_TOKENS = 1 << 19, 1 << 20
+# Tokens of one shard of the trie on average, and of one context before it is dealt in parts or counted as rows.
+SHARD_TOKENS, HOT_TOKENS = 1 << 20, 1 << 20
 # Words with broadcast counts at most; the cut is at a count, so ties stay together.
 FREQUENT = 1 << 17
+# Pairs after hot words with broadcast probabilities at most, cut in the same way.
+FREQUENT_PAIRS = 1 << 19
 # Rare words that one bucket holds on average.
 BUCKET_WORDS = 1 << 19
 # Rare tokens that are answered in one group on average; a bucket with more is shared by several groups.
@@ -47,38 +50,99 @@ CHUNK = 1 << 20
 
 # The end of a text: a hash no word gets on purpose.
 END = 0x5E0F7EC7_0DD5EED5 - (1 << 62)
-_hashes: dict[bytes, int] = {}
+# Bytes that are hashed at once; longer words than LONG_WORD are hashed one by one.
+_BLOCK, LONG_WORD = 1 << 18, 64
+_BYTES = np.arange(256, dtype=np.uint8)
+_SPACE = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
+_LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 0x20, _BYTES).astype(np.uint8)
+# A fixed random number for each byte; that of a word is their sum, weighted by powers of an odd number.
+_OF_BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b]), 1) for b in range(256)], np.uint64)
+_BASE = 0xD6E8FEB86659FD95
+
+
+def _powers(base: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(_BLOCK + LONG_WORD, base, np.uint64)), dtype=np.uint64)
+
+
+_POWERS, _INVERSES = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words between some places of lower-case bytes."""
+    out = np.empty(len(starts), np.uint64)
+    short = ends - starts <= LONG_WORD
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + _BLOCK, _BLOCK)).tolist()
+    for i, j in zip(cuts, cuts[1:]):
+        if i == j:
+            continue
+        first = starts[i]
+        values = _OF_BYTE[data[first : starts[j - 1] + LONG_WORD]]
+        values *= _POWERS[: len(values)]
+        sums = np.append(np.uint64(0), np.cumsum(values, dtype=np.uint64))
+        start = starts[i:j] - first
+        end = np.where(short[i:j], ends[i:j] - first, start)
+        out[i:j] = (sums[end] - sums[start]) * _INVERSES[start]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(29)
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out.view(np.int64)
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of some texts, given as bytes and their bounds, and the number of tokens in each."""
+    base = offsets[0]
+    data, offsets = _LOWER[data[base : offsets[-1]]], offsets - base
+    word = np.zeros(len(data) + 2, bool)
+    word[1:-1] = ~_SPACE[data]
+    begins = word[1:-1] & ~word[:-2]
+    stops = word[1:-1] & ~word[2:]
+    # Texts lie side by side; no word goes from one into the next.
+    inside = offsets[(offsets > 0) & (offsets < len(data))]
+    begins[inside] = word[1:-1][inside]
+    stops[inside - 1] = word[1:-1][inside - 1]
+    starts = np.flatnonzero(begins)
+    words = np.searchsorted(starts, offsets)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(words))
+    tokens = np.full(len(starts) + len(offsets) - 1, END, np.int64)
+    tokens[np.arange(len(starts)) + text] = _hashes(data, starts, np.flatnonzero(stops) + 1)
+    return tokens, np.diff(words) + 1
 
 
 def word_hashes(text: str | None) -> list[int]:
     """Hashes of the words, ASCII letters in lower case, and of the end."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    known = _hashes
-    if len(known) > 1 << 20:
-        known.clear()
-    try:
-        return [*[known[w] for w in words], END]
-    except KeyError:
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w) - (1 << 63)
-        return [*[known[w] for w in words], END]
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return _tokens(data, np.array([0, len(data)]))[0].tolist()
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """Rows numbers, hashes of all tokens, and each token's text, by about CHUNK tokens."""
-    rows, tokens, lengths = [], [], []
+    rows, tokens, lengths, size = [], [], [], 0
+
+    def taken():
+        return rows, np.concatenate(tokens), np.repeat(np.arange(len(rows)), np.concatenate(lengths))
+
     for batch in batches:
-        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
-            found = word_hashes(text)
-            rows.append(row)
-            lengths.append(len(found))
-            tokens += found
-            if len(tokens) >= CHUNK:
-                yield rows, np.array(tokens, np.int64), np.repeat(np.arange(len(rows)), lengths)
-                rows, tokens, lengths = [], [], []
+        names = batch.column("row").to_pylist()
+        texts = batch.column("text").fill_null("").cast(pa.large_binary())
+        _, bounds, data = texts.buffers()
+        offsets = np.frombuffer(bounds, np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        i = 0
+        while i < len(names):
+            # Whole texts of about CHUNK bytes.
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
+            some, each = _tokens(data, offsets[i : j + 1])
+            rows += names[i:j]
+            tokens.append(some)
+            lengths.append(each)
+            size += len(some)
+            i = j
+            if size >= CHUNK:
+                yield taken()
+                rows, tokens, lengths, size = [], [], [], 0
     if rows:
-        yield rows, np.array(tokens, np.int64), np.repeat(np.arange(len(rows)), lengths)
+        yield taken()
 
 
 def _pairs_of(schema: tuple[str, str], keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -251,8 +315,8 @@ def _find(level: EliasFano, codes: np.ndarray, keys: np.ndarray) -> tuple[np.nda
     """Whether each key is in a level, and its code."""
     if not level.size:
         return np.zeros(len(keys), bool), np.zeros(len(keys), np.uint8)
-    at = np.minimum(level.successor(keys), level.size - 1)
-    return level.get(at) == keys.astype(np.uint64), codes[at]
+    at, found = level.find(keys)
+    return found, codes[np.minimum(at, level.size - 1)]
 
 
 def contexts(klass: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -478,65 +542,93 @@ def _befores(tokens: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(first | second, END, before2), np.where(first, END, before)
 
 
-_HOT_GRAMS = "key long, context long, shorter long, word long, n long"
+_GRAMS = ["context", "shorter", "word", "n", "uses"]
 
 
-def hot_grams(rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(key, context, shorter, word, n): pairs after a hot word, and triples after two of them.
+def hot_grams(rows: DataFrame, hot: np.ndarray, wide: np.ndarray | None = None) -> DataFrame:
+    """(key, context, shorter, word, n, uses): pairs after a hot word, or triples after a context in ``wide``.
 
     All texts are looked at, so that everything asked for is there; ``n`` counts those learned
-    from. The key of the pair that a triple ends with is ``shorter``, null for a pair.
+    from, ``uses`` all. The key of the pair that a triple ends with is ``shorter``, null for a pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def emit() -> pa.RecordBatch:
+            context, shorter, word, learn = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            _, first, where = np.unique(_mix(context, word), return_index=True, return_inverse=True)
+            n, uses = np.bincount(where, learn, len(first)), np.bincount(where, minlength=len(first))
+            shorter = pa.nulls(len(first), pa.int64()) if wide is None else pa.array(shorter[first])
+            arrays = [pa.array(context[first]), shorter, pa.array(word[first])]
+            arrays += [pa.array(x.astype(np.int64)) for x in (n, uses)]
+            return pa.RecordBatch.from_arrays(arrays, names=_GRAMS)
+
         for learns, tokens, text in _chunks(batches):
-            learn = np.array(learns, bool)[text]
             before2, before = _befores(tokens, text)
-            pairs = _among(before, hot)
-            triples = pairs & _among(before2, hot)
-            for inside, triple in ((pairs, False), (triples, True)):
-                if not inside.any():
-                    continue
-                word, context = tokens[inside], before[inside]
-                shorter = _mix(context, word)
-                if triple:
-                    context = _mix(before2[inside], context)
-                key, first, where = np.unique(
-                    _mix(context, word) if triple else shorter, return_index=True, return_inverse=True
-                )
-                n = np.bincount(where, learn[inside], len(key)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key),
-                        pa.array(context[first]),
-                        pa.array(shorter[first]) if triple else pa.nulls(len(key), pa.int64()),
-                        pa.array(word[first]),
-                        pa.array(n),
-                    ],
-                    names=["key", "context", "shorter", "word", "n"],
-                )
+            at = np.flatnonzero(_among(before, hot))
+            context = before[at]
+            if wide is not None:
+                context = _mix(before2[at], context)
+                inside = _among(context, wide)
+                at, context = at[inside], context[inside]
+            held.append((context, _mix(before[at], tokens[at]), tokens[at], np.array(learns, bool)[text[at]]))
+            if sum(len(x[0]) for x in held) >= CHUNK:
+                yield emit()
+        if any(len(x[0]) for x in held):
+            yield emit()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = _mix(*(batch.column(c).to_numpy() for c in ("context", "word")))
+            yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names=["key", *_GRAMS])
 
+    kinds = ", ".join(f"{name} long" for name in _GRAMS)
     marked = rows.select(F.col("learn").cast("long").alias("row"), "text")
-    return marked.mapInArrow(run, _HOT_GRAMS).groupBy("key", "context", "shorter", "word").agg(F.sum("n").alias("n"))
+    grams = marked.mapInArrow(run, kinds).groupBy("context", "shorter", "word")
+    # The key follows from the rest and is left out of the shuffle.
+    return grams.agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")).mapInArrow(keyed, f"key long, {kinds}")
 
 
-def hot_values(grams: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """(key, p): the probability of each of the ``hot_grams``."""
+def _discounted(grams: DataFrame) -> DataFrame:
+    """(key, word, p, uses) of grams with the probability of the shorter ones, ``less``.
+
+    Contexts are broadcast: each has more than HOT_TOKENS uses, so they are few.
+    """
+    seen = grams.filter("n > 0").groupBy("context")
+    seen = seen.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    own = F.greatest(F.col("n") - F.lit(DISCOUNT), F.lit(0.0)) / F.col("total")
+    back = F.lit(DISCOUNT) * F.col("kinds") / F.col("total")
+    p = F.when(F.col("total").isNull(), F.col("less")).otherwise(own + back * F.col("less"))
+    return grams.join(F.broadcast(seen), "context", "left").select("key", "word", p.alias("p"), "uses")
 
-    def discounted(of: DataFrame) -> DataFrame:
-        seen = of.filter("n > 0").groupBy("context")
-        seen = seen.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        own = F.greatest(F.col("n") - F.lit(DISCOUNT), F.lit(0.0)) / F.col("total")
-        back = F.lit(DISCOUNT) * F.col("kinds") / F.col("total")
-        p = F.when(F.col("total").isNull(), F.col("less")).otherwise(own + back * F.col("less"))
-        return of.join(seen, "context", "left").select("key", p.alias("p"))
 
+def hot_pairs(pairs: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(key, word, p, uses): the probability of each pair of ``hot_grams``."""
     alone = (F.coalesce("uni", F.lit(0)) + 1) / F.lit(float(total))
     words = counts.select("word", F.col("n").alias("uni"))
-    pairs = grams.filter("shorter IS NULL").join(words, "word", "left").withColumn("less", alone)
-    pairs = staged(discounted(pairs), "ngram-hot-pairs")
-    shorter = pairs.select(F.col("key").alias("shorter"), F.col("p").alias("less"))
-    return pairs.unionByName(discounted(grams.join(shorter, "shorter")))
+    return _discounted(pairs.join(words, "word", "left").withColumn("less", alone))
+
+
+def hot_triples(triples: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, word, p, uses): the probability of each triple of ``hot_grams``."""
+    return _discounted(triples.join(pairs.select(F.col("key").alias("shorter"), F.col("p").alias("less")), "shorter"))
+
+
+def frequent_pairs(pairs: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys, sorted, and probabilities of the pairs at or above the smallest number of uses that at most ``limit`` reach.
+
+    That number is the third value.
+    """
+    by_uses = pairs.groupBy("uses").agg(F.count(F.lit(1)).alias("pairs")).orderBy(F.desc("uses")).toArrow()
+    uses, number = (by_uses.column(c).to_numpy() for c in ("uses", "pairs"))
+    fits = int((np.cumsum(number) <= limit).sum())
+    least = int(uses[fits - 1]) if fits else 1 << 62
+    table = pairs.filter(F.col("uses") >= least).select("key", "p").toArrow()
+    key, p = table.column("key").to_numpy(), table.column("p").to_numpy()
+    order = np.argsort(key)
+    return key[order], p[order], least
 
 
 class Shard:
@@ -673,7 +765,6 @@ def _score_all(rows: DataFrame, group_tokens: int) -> DataFrame:
     by_rank = words.word[np.lexsort((words.word, -words.count))]
     rank = np.full(len(words.word), _LONG)
     rank[np.lexsort((words.word, -words.count))] = np.minimum(np.arange(len(words.word)), _LONG)
-    shared = spark.sparkContext.broadcast((words, hot, by_rank, rank.astype(np.uint16)))
 
     # What is asked for by key: rare words, with their counts, and what follows hot words.
     total = float(words.total)
@@ -681,15 +772,27 @@ def _score_all(rows: DataFrame, group_tokens: int) -> DataFrame:
     values = counts.filter((F.col("n") < least) & (F.col("word") != END))
     values = values.select(F.col("word").alias("key"), "n", ((F.col("n") + 1) / F.lit(total)).alias("p"))
     asked_keys = max(0, words.distinct - len(words.word))
+    wide, pair_key, pair_p = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     if len(hot):
-        grams = hot_values(staged(hot_grams(rows, hot), "ngram-hot"), counts, words.total)
-        grams = staged(grams.select("key", F.lit(-1).cast("long").alias("n"), "p"), "ngram-hot-values")
+        pairs = staged(hot_pairs(staged(hot_grams(rows, hot), "ngram-hot"), counts, words.total), "ngram-hot-pairs")
+        pair_key, pair_p, often = frequent_pairs(pairs, FREQUENT_PAIRS)
+        grams = pairs.filter(F.col("uses") < often)
+        # A pair is a context as often as it is used, unless it ends its text; each text begins after two ends.
+        wide = pairs.filter((F.col("uses") > HOT_TOKENS) & (F.col("word") != END)).select("key").toArrow()
+        wide = wide.column("key").to_numpy()
+        if END in hot:
+            wide = np.append(wide, _mix(np.array([END]), np.array([END])))
+        wide = np.sort(wide)
+        if len(wide):
+            triples = hot_triples(staged(hot_grams(rows, hot, wide), "ngram-wide"), pairs)
+            grams = staged(grams.unionByName(triples), "ngram-hot-values")
         asked_keys += grams.count()
-        values = values.unionByName(grams)
+        values = values.unionByName(grams.select("key", F.lit(-1).cast("long").alias("n"), "p"))
+    shared = spark.sparkContext.broadcast((words, hot, wide, pair_key, pair_p, by_rank, rank.astype(np.uint16)))
     buckets = asked_keys // BUCKET_WORDS + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hot, _, rank = shared.value
+        known, hot, wide, _, _, _, rank = shared.value
         table = {"doc_id": [], "held_out": [], "learn": []}
 
         def taken() -> Iterator[pa.RecordBatch]:
@@ -720,11 +823,13 @@ def _score_all(rows: DataFrame, group_tokens: int) -> DataFrame:
                 del column[:size]
             before2, before = _befores(tokens, text)
             after_hot = _among(before, hot)
-            after_two = after_hot & _among(before2, hot)
+            context = before.copy()
+            context[after_hot] = _mix(before2[after_hot], before[after_hot])
+            by_key = after_hot & _among(context, wide)
             row = text + names[0]
-            if after_two.any():
-                key = _mix(_mix(before2[after_two], before[after_two]), tokens[after_two])
-                yield _questions(key, np.zeros(len(key)), np.ones(len(key)), row[after_two], buckets, here)
+            if by_key.any():
+                key = _mix(context[by_key], tokens[by_key])
+                yield _questions(key, np.zeros(len(key)), np.ones(len(key)), row[by_key], buckets, here)
             # A shard asks about rare words itself, except after hot words; there the count alone is asked for.
             alone = after_hot & rare
             if alone.any():
@@ -737,8 +842,8 @@ def _score_all(rows: DataFrame, group_tokens: int) -> DataFrame:
             second = first | np.append(False, first[:-1])
             code1 = np.where(first, end_code, np.append(end_code, code[:-1]))
             code2 = np.where(second, end_code, np.append([end_code, end_code], code[:-2])[: len(code)])
-            shard = np.mod(np.where(after_hot, before2, before), shards)
-            shard[after_two] = shards
+            shard = np.mod(context, shards)
+            shard[by_key] = shards
             order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
             names_of, starts = np.unique(shard[order], return_index=True)
             cuts = list(zip(names_of.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]))
@@ -755,9 +860,7 @@ def _score_all(rows: DataFrame, group_tokens: int) -> DataFrame:
                 )
 
     def learn_and_score(key: tuple, table: pa.Table) -> pa.Table:
-        known, hot, by_rank, _ = shared.value
-        # Only earlier stages look words up; the room is needed here.
-        _hashes.clear()
+        known, hot, _, pair_key, pair_p, by_rank, _ = shared.value
         kinds = table.column("kind").to_numpy()
         out = [table.filter(pa.array(kinds != _TOKENS))]
         blocks = table.filter(pa.array(kinds == _TOKENS)).select(["chunk", "n", "one", "two", "three", "texts"]).to_pylist()
@@ -773,8 +876,14 @@ def _score_all(rows: DataFrame, group_tokens: int) -> DataFrame:
         context, ab = np.unique(_mix(a, b), return_inverse=True)
         del a
         code = ab * len(word) + c
-        unique, at, where = np.unique(code, return_index=True, return_inverse=True)
-        del code
+        # Like np.unique, which would sort stably for the same.
+        at = np.argsort(code)
+        first = np.append(True, code[at[1:]] != code[at[:-1]])
+        where = np.empty(len(at), np.int64)
+        where[at] = np.cumsum(first) - 1
+        at = at[first]
+        unique = code[at]
+        del code, first
         n = np.bincount(where, learn, len(unique)).astype(np.int64)
         triples = Shard(unique, n, len(context), len(word))
         ab, b, c = ab[at], b[at], c[at]
@@ -792,8 +901,14 @@ def _score_all(rows: DataFrame, group_tokens: int) -> DataFrame:
         place = known.place(word)[c]
         ready = ours & (place >= 0)
         share = (np.where(ready, known.count[place] if len(known.count) else 0, 0) + 1) / known.total
-        sums = np.log10(np.where(ready, x + y * share, 1.0))
         keys = np.where(ours, word[c], _mix(b, word[c]))
+        after_hot = np.flatnonzero(~ours)
+        if len(pair_key) and len(after_hot):
+            wanted = keys[after_hot]
+            at = np.minimum(np.searchsorted(pair_key, wanted), len(pair_key) - 1)
+            ready[after_hot] = pair_key[at] == wanted
+            share[after_hot] = pair_p[at]
+        sums = np.log10(np.where(ready, x + y * share, 1.0))
 
         waits = ~ready[where]
         if waits.any():

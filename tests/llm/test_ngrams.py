@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mailsift.llm import ngrams
@@ -185,3 +186,51 @@ def test_no_word_is_left_out_of_pairs_and_triples(documents, monkeypatch, hot):
     for r, (i, n, score, base) in zip(got, want):
         assert (r.doc_id, r.n_tokens, r.train_tokens) == (i, n, plain.n)
         assert r.score == pytest.approx(score, abs=1e-5) and r.base_score == pytest.approx(base, abs=1e-9)
+
+
+def test_words_are_hashed_as_bytes_split_them():
+    """Each word has one hash, wherever it stands and whatever its length, also across pieces of texts."""
+    rng = np.random.default_rng(5)
+    pool = ["a", "A", "é", "É", "b\x00", "\u2028x", "x" * 64, "x" * 65, "x" * 66, "y" * 700_000, *(f"W{i}" for i in range(500))]
+    gaps = [" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x0c"]
+    texts = [None, "", " ", "end", "\tA a\n", *("".join(pool[rng.integers(len(pool))] + gaps[rng.integers(len(gaps))] for _ in range(60)) for _ in range(40)), "end"]
+    rows = [pa.record_batch({"row": list(range(len(part))), "text": pa.array(part, pa.string())}) for part in (texts, [])]
+    got = list(ngrams._chunks(iter([*rows, rows[0].slice(7)])))
+    want = [w for t in [*texts, *texts[7:]] for w in tokens(t)]
+    hashes = np.concatenate([t for _, t, _ in got]).tolist()
+    assert len(hashes) == len(want)
+    by_word = dict(zip(want, hashes))
+    assert [by_word[w] for w in want] == hashes and len(set(by_word.values())) == len(by_word)
+    assert [len(tokens(t)) for t in [*texts, *texts[7:]]] == [n for rows, _, text in got for n in np.bincount(text, minlength=len(rows))]
+    assert ngrams.word_hashes("End") == [by_word[b"end"], ngrams.END]
+
+
+def questions(docs, monkeypatch):
+    """How many tokens ask for a value by key."""
+    asked, staged = [], ngrams.staged
+
+    def kept(df, label):
+        out = staged(df, label)
+        if label == "ngram-scored":
+            asked.append(out.filter(f"kind = {ngrams._ASKED}").agg({"n": "sum"}).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(ngrams, "staged", kept)
+    ngrams.score(docs).collect()
+    return asked[0]
+
+
+def test_what_follows_a_hot_word_is_not_asked_for_by_each_token(documents, monkeypatch):
+    """Contexts of two words are learned in shards, and frequent pairs are broadcast; only rare ones ask."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(30 * rng.random() ** 3)}" for _ in range(50)) for _ in range(60)]
+    docs = documents([{"doc_id": i, "text": t} for i, t in enumerate(texts)])
+    monkeypatch.setattr(ngrams, "SHARD_TOKENS", 300)
+    monkeypatch.setattr(ngrams, "HOT_TOKENS", 500)
+    assert questions(docs, monkeypatch) == 0
+
+
+@pytest.mark.parametrize("pairs", [0, 40])
+def test_rare_pairs_after_hot_words_are_asked_for(documents, monkeypatch, pairs):
+    monkeypatch.setattr(ngrams, "FREQUENT_PAIRS", pairs)
+    test_no_word_is_left_out_of_pairs_and_triples(documents, monkeypatch, 25)
